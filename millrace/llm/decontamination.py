@@ -28,34 +28,32 @@ SENT_ROWS = 500_000
 
 #: Units that may follow a number, and words that are numbers.
 UNITS = ["%", "km", "m", "cm", "mm", "kg", "g", "mg", "l", "ml", "mi", "miles", "mile", "feet", "ft", "inches", "pounds", "lb", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "weeks", "years", "dollars", "euros", "cents", "meters", "metres", "degrees", "liters", "litres", "mph", "kmh"]
-NUMBER_WORDS = ["two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "twenty", "thirty", "fifty", "hundred", "thousand"]
-NAME = r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"
-TOKEN = "\u0001[^\u0002]*\u0002|[0-9]+(?:[.,][0-9]+)*|[\\p{L}\\p{M}]+|%"
+NAME = r"\p{Lu}(?<=[\p{Ll},;] \p{Lu})\p{Ll}+(?: \p{Lu}\p{Ll}+)*"
+NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
+TOKEN = "\u0001[^\u0002]*\u0002|\u0003|" + NUMBER + r"|[\p{L}\p{M}]+|%"
+#: Placeholders as they stand in a template: they are tokens that no text can hold.
+IS_NAME, IS_UNIT, IS_NUMBER = "\u0001\u0002", "\u0003", "0"
+SLOTS = [IS_NAME, IS_UNIT, IS_NUMBER]
 
 
-def templates(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """keep, tokens (as written) and canon (as template), for each row."""
-    marked = F.regexp_replace(F.translate(F.col(text), "\u0001\u0002", "  "), NAME, "\u0001$1\u0002")
-    listed = rows.select(*keep, F.regexp_extract_all(marked, F.lit(TOKEN), F.lit(0)).alias("tokens"))
+def _once(**columns) -> list:
+    """Columns computed once for each row: Spark would else repeat a costly expression wherever it is used."""
+    return [F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))).alias(*columns)]
 
-    def canon(x, before):
-        low = F.lower(x)
-        number = (x >= "0") & (x < ":")
-        return (
-            F.when(x < "\u0002", F.lit("<name>")).when(number | low.isin(NUMBER_WORDS), F.lit("<num>"))
-            .when((before >= "0") & (before < ":") & low.isin(UNITS), F.lit("<unit>")).otherwise(low)
-        )
 
-    before = F.slice(F.concat(F.array(F.lit("")), F.col("tokens")), 1, F.size("tokens"))
-    return listed.select(*keep, "tokens", F.zip_with("tokens", before, canon).alias("canon"))
+def templates(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """keep, tokens (as written) and canon (as template), for each row; both have the same length."""
+    marked = rows.select(*keep, F.regexp_replace(F.translate(F.col(text), "\u0001\u0002\u0003", "   "), NAME, "\u0001$0\u0002").alias("_m"))
+    units = r"(?<=[0-9] ?)(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{M}])"
+    plain = F.regexp_replace(F.lower(F.regexp_replace("_m", "\u0001[^\u0002]*\u0002", IS_NAME)), units, IS_UNIT)
+    shape = F.when(F.col("_m").rlike("[0-9]"), F.regexp_replace(plain, NUMBER, IS_NUMBER)).otherwise(F.lower(F.regexp_replace("_m", "\u0001[^\u0002]*\u0002", IS_NAME)))
+    return marked.select(*keep, *_once(tokens=F.regexp_extract_all("_m", F.lit(TOKEN), F.lit(0)), canon=F.regexp_extract_all(shape, F.lit(TOKEN), F.lit(0))))
 
 
 def windows(rows: DataFrame, length: int, keep: list[str]) -> DataFrame:
     """keep, tokens, canon, at and hash: a row for each window of ``length`` template tokens."""
-    hashed = rows.withColumn("_h", F.transform("canon", lambda x: F.xxhash64(x)))
-    places = F.when(F.size("_h") >= length, F.sequence(F.lit(1), F.size("_h") - length + 1)).otherwise(F.array().cast("array<int>"))
-    slid = hashed.select(*keep, "tokens", "canon", F.transform(places, lambda i: F.xxhash64(F.slice("_h", i, length))).alias("_w"))
-    return slid.select(*keep, "tokens", "canon", F.posexplode("_w").alias("at", "hash"))
+    places = F.when(F.size("canon") >= length, F.sequence(F.lit(1), F.size("canon") - length + 1)).otherwise(F.array().cast("array<int>"))
+    return rows.select(*keep, "tokens", "canon", F.posexplode(F.transform(places, lambda i: F.xxhash64(F.slice("canon", i, length)))).alias("at", "hash"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
@@ -67,7 +65,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     found = None
     for n in lengths:
         own = items.where(F.size("tokens") == n) if n < window else items.where(F.size("tokens") >= n)
-        plain = F.size(F.filter(F.slice("canon", F.col("at") + 1, n), lambda x: ~x.isin("<name>", "<num>", "<unit>")))
+        plain = F.size(F.filter(F.slice("canon", F.col("at") + 1, n), lambda x: ~x.isin(SLOTS)))
         keys = stored(windows(own, n, ["item_id"]).where(plain >= LITERALS * n).select(
             "item_id", "hash", F.col("at").alias("item_at"), F.size("tokens").alias("item_size"),
             F.slice("tokens", F.col("at") + 1, n).alias("item_tokens"), F.slice("canon", F.col("at") + 1, n).alias("item_canon"),
@@ -77,7 +75,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
         met = windows(texts, n, ["row", "doc_id"]).join(keys, "hash").where(F.slice("canon", F.col("at") + 1, n) == F.col("item_canon"))
         slots = F.filter(
             F.arrays_zip(F.col("item_canon").alias("kind"), F.col("item_tokens").alias("was"), F.slice("tokens", F.col("at") + 1, n).alias("now")),
-            lambda s: s["kind"].isin("<name>", "<num>", "<unit>"),
+            lambda s: s["kind"].isin(SLOTS),
         )
         part = met.select("row", "doc_id", "item_id", "item_at", "item_size", (F.col("at") - F.col("item_at")).alias("diagonal"), F.lit(n).alias("n"), slots.alias("slots"))
         found = part if found is None else found.unionByName(part)
