@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, line_dedup, ngram_join, quality_rules
+from . import bpe, decontamination, line_dedup, ngram_join, pseudonyms, quality_rules, secrets
 
-MODULES = (line_dedup, ngram_join, bpe, quality_rules, decontamination)
+MODULES = (line_dedup, ngram_join, bpe, quality_rules, decontamination, pseudonyms, secrets)
 
 
 def queries() -> dict:
