@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-ENTRY = None
+from millrace.plans import cascade, selection
+
+MODULES = [cascade, selection]
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
+ENTRY = cascade.rule_cascade_funnel
