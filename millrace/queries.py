@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.plans import cascade, selection
+from millrace.plans import cascade, extraction, gold, selection, timeseries
 
-MODULES = [cascade, selection]
+MODULES = [cascade, selection, gold, timeseries, extraction]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
 ENTRY = cascade.rule_cascade_funnel
