@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.plans import cascade, evaluation, extraction, gold, selection, timeseries
+from millrace.plans import cascade, evaluation, extraction, gold, selection, streams, timeseries
 
-MODULES = [cascade, selection, gold, timeseries, extraction, evaluation]
+MODULES = [cascade, selection, gold, timeseries, extraction, evaluation, streams]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
 ENTRY = cascade.rule_cascade_funnel
