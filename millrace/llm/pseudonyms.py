@@ -227,7 +227,8 @@ def _first(m: Column, key: str) -> Column:
 
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("_kinds", lambda k, kind=kind: k == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    count = lambda kind: F.size(F.filter("_kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in KINDS]
     return done.select("doc_id", F.col("_text").alias("text"), *counts)
 
 
