@@ -17,7 +17,7 @@ query, QUERIES, SQL = registry()
 
 @query("stream_classified", RULES_SQL + "select label as final_label, count(*) as n, cast(sum(score) as bigint) as score from r group by label")
 def stream_classified(spark, sf):
-    s = streams.source(spark, f"{sf}/documents.parquet").select("doc_id", "text")
+    s = streams.source(spark, sf, "documents").select("doc_id", "text")
     done = streams.drained(streams.classified_stream(s, "doc_id", "text", PROSE).select("doc_id", "final_label", F.col("rule.score").alias("score")), "classified", "final_label")
     return done.groupBy("final_label").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
 
@@ -28,18 +28,18 @@ CLOSED = "(select max(ts) - interval 2 hour from events)"
 
 @query("stream_run_counts", f"select time_bucket(interval 1 day, ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2 having time_bucket(interval 1 day, any_value(ts)) + interval 1 day <= {CLOSED}")
 def stream_run_counts(spark, sf):
-    return streams.drained(streams.run_counts(streams.source(spark, f"{sf}/events.parquet"), "ts", "event_type", "value"), "counts")
+    return streams.drained(streams.run_counts(streams.source(spark, sf, "events"), "ts", "event_type", "value"), "counts").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("stream_sliding_monitor", f"with w as (select time_bucket(interval 1 day, ts) - k * interval 1 day as start, value from events, range(2) r(k)) select start, count(*) as n, round(avg(value), 6) as mean, max(value) as \"max\" from w group by start having start + interval 2 day <= {CLOSED}")
 def stream_sliding_monitor(spark, sf):
-    return streams.drained(streams.sliding_monitor(streams.source(spark, f"{sf}/events.parquet"), "ts", "value"), "monitor")
+    return streams.drained(streams.sliding_monitor(streams.source(spark, sf, "events"), "ts", "value"), "monitor").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("stream_sessions", f"""with o as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hour then 0 else 1 end as fresh from events), s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from o)
  select user_id, min(ts) as start, max(ts) + interval 6 hour as "end", count(*) as n from s group by user_id, k having max(ts) + interval 6 hour <= {CLOSED}""")
 def stream_sessions(spark, sf):
-    return streams.drained(streams.sessions(streams.source(spark, f"{sf}/events.parquet"), "ts", "user_id", "6 hours"), "sessions")
+    return streams.drained(streams.sessions(streams.source(spark, sf, "events"), "ts", "user_id", "6 hours"), "sessions").withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
 @query("summary_long", "select 'n' as measure, cast(count(*) as varchar) as value from orders union all select 'by.status.f', cast(count(*) filter (where o_orderstatus = 'F') as varchar) from orders union all select 'by.status.o', cast(count(*) filter (where o_orderstatus = 'O') as varchar) from orders")

@@ -22,11 +22,12 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType = RECORD,
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON lines; blank lines are skipped, anything that is no object of the schema raises."""
     whole = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.schema(whole).option("columnNameOfCorruptRecord", "_corrupt").json(path).where("_corrupt is null or trim(_corrupt) <> ''")
-    bad = spark.read.text(path).where(F.trim("value") != "").where(F.from_json("value", schema, {"mode": "PERMISSIVE"}).isNull() | ~F.trim("value").startswith("{"))
-    if not bad.isEmpty() or not rows.select("_corrupt", *schema.names).where("_corrupt is not null").isEmpty():
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    read = lines.select("value", F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("_r"))
+    bad = read.where(F.col("_r").isNull() | F.col("_r._corrupt").isNotNull() | ~F.trim("value").startswith("{"))
+    if not bad.isEmpty():
         raise ValueError(f"{path} holds lines that are no objects of the schema")
-    return rows.drop("_corrupt")
+    return read.select(*(F.col(f"_r.{n}").alias(n) for n in schema.names))
 
 
 def keyed(df: DataFrame, key: str) -> DataFrame:

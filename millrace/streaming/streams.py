@@ -11,9 +11,21 @@ from millrace.operators.rules import classified
 from millrace.sources.scratch import folder
 
 
-def source(spark: SparkSession, path: str, files_a_batch: int = 100) -> DataFrame:
-    """A folder or file of Parquet as a stream, with the schema that it has now."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
+def source(spark: SparkSession, folder_: str, name: str, files_a_batch: int = 100) -> DataFrame:
+    """The Parquet files of a table (a file or a folder of files) as a stream, with the schema that the table has now.
+
+    Times without a zone are read as UTC instants, which watermarks need.
+    """
+    path = f"{folder_.rstrip('/')}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_a_batch).option("recursiveFileLookup", True)
+    table = reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder_) if _is_file(spark, path) else reader.parquet(path)
+    return table.withColumns({c: F.col(c).cast("timestamp") for c, kind in table.dtypes if kind == "timestamp_ntz"})
+
+
+def _is_file(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's own file list of the path is the path itself; works in any store that Spark reads."""
+    files = spark.read.parquet(path).inputFiles()
+    return len(files) == 1 and files[0].rstrip("/").endswith("/" + path.rstrip("/").rsplit("/", 1)[-1])
 
 
 def classified_stream(records: DataFrame, key: str, text: str, lexicon: Lexicon = KOREAN, at: str | None = None, delay: str = "1 day") -> DataFrame:
