@@ -230,7 +230,7 @@ def per_fault_summary(spark, sf):
 
 
 BOOT_SQL = CALL_SQL + """, k as (select cluster, count(*) filter (where fault and status = 'FAIL') as tp, count(*) filter (where fault) as faults from c group by cluster), n as (select *, row_number() over (order by cluster) - 1 as at_, count(*) over () as n from k),
- g as (select r.replicate, i.i from range(200) r(replicate), range(30) i(i)), d as (select replicate, tp, faults from g join n on n.at_ = cast('0x' || substr(md5('5|' || replicate || '|' || i), 1, 8) as bigint) % n.n)"""
+ g as (select r.replicate, unnest(range((select count(*) from k))) as i from range(200) r(replicate)), d as (select replicate, tp, faults from g join n on n.at_ = cast('0x' || substr(md5('5|' || replicate || '|' || i), 1, 8) as bigint) % n.n)"""
 
 
 def cluster_cells(spark, sf):
