@@ -30,7 +30,7 @@ SENT_ROWS = 500_000
 UNITS = ["%", "km", "m", "cm", "mm", "kg", "g", "mg", "l", "ml", "mi", "miles", "mile", "feet", "ft", "inches", "pounds", "lb", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "weeks", "years", "dollars", "euros", "cents", "meters", "metres", "degrees", "liters", "litres", "mph", "kmh"]
 NAME = r"\p{Lu}(?<=[\p{Ll},;] \p{Lu})\p{Ll}+(?: \p{Lu}\p{Ll}+)*"
 NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
-TOKEN = "\u0001[^\u0002]*\u0002|\u0003|" + NUMBER + r"|[\p{L}\p{M}]+|%"
+TOKEN = "[\\p{L}\\p{M}]++|\u0001[^\u0002]*\u0002|[0-9]++(?:[.,][0-9]++)*|[\u0003%]"
 #: Placeholders as they stand in a template: they are tokens that no text can hold.
 IS_NAME, IS_UNIT, IS_NUMBER = "\u0001\u0002", "\u0003", "0"
 SLOTS = [IS_NAME, IS_UNIT, IS_NUMBER]
@@ -42,41 +42,71 @@ def _once(**columns) -> list:
 
 
 def templates(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """keep, tokens (as written) and canon (as template), for each row; both have the same length."""
-    marked = rows.select(*keep, F.regexp_replace(F.translate(F.col(text), "\u0001\u0002\u0003", "   "), NAME, "\u0001$0\u0002").alias("_m"))
+    """keep, marked (the text with its names marked) and canon (its template tokens; see written() for the tokens as written)."""
+    t = F.col(text)
+    held = F.contains(t, F.lit("\u0001")) | F.contains(t, F.lit("\u0002")) | F.contains(t, F.lit("\u0003"))
+    free = F.when(held, F.translate(t, "\u0001\u0002\u0003", "   ")).otherwise(t)
+    marked = rows.select(*keep, *_once(marked=F.regexp_replace(free, NAME, "\u0001$0\u0002")))
     units = r"(?<=[0-9] ?)(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{M}])"
-    plain = F.regexp_replace(F.lower(F.regexp_replace("_m", "\u0001[^\u0002]*\u0002", IS_NAME)), units, IS_UNIT)
-    shape = F.when(F.col("_m").rlike("[0-9]"), F.regexp_replace(plain, NUMBER, IS_NUMBER)).otherwise(F.lower(F.regexp_replace("_m", "\u0001[^\u0002]*\u0002", IS_NAME)))
-    return marked.select(*keep, *_once(tokens=F.regexp_extract_all("_m", F.lit(TOKEN), F.lit(0)), canon=F.regexp_extract_all(shape, F.lit(TOKEN), F.lit(0))))
+    named = F.lower(F.when(F.contains("marked", F.lit("\u0001")), F.regexp_replace("marked", "\u0001[^\u0002]*\u0002", IS_NAME)).otherwise(F.col("marked")))
+    shape = F.when(F.col("marked").rlike("[0-9]"), F.regexp_replace(F.regexp_replace(named, units, IS_UNIT), NUMBER, IS_NUMBER)).otherwise(named)
+    return marked.select(*keep, "marked", *_once(canon=F.regexp_extract_all(shape, F.lit(TOKEN), F.lit(0))))
+
+
+def written():
+    """The tokens as written; as many as in canon, so it is worked out only where slots are compared."""
+    return F.regexp_extract_all("marked", F.lit(TOKEN), F.lit(0))
 
 
 def windows(rows: DataFrame, length: int, keep: list[str]) -> DataFrame:
-    """keep, tokens, canon, at and hash: a row for each window of ``length`` template tokens."""
-    places = F.when(F.size("canon") >= length, F.sequence(F.lit(1), F.size("canon") - length + 1)).otherwise(F.array().cast("array<int>"))
-    return rows.select(*keep, "tokens", "canon", F.posexplode(F.transform(places, lambda i: F.xxhash64(F.slice("canon", i, length)))).alias("at", "hash"))
+    """keep, marked, canon, at and hash: a row for each window of ``length`` template tokens.
+
+    Hashes of 1, 2, 4 .. tokens are joined pairwise, so a window costs a few steps, whatever its length.
+    """
+    kept = [*keep, "marked", "canon"]
+    pair = lambda a, b, shift, n: F.zip_with(F.slice(a, 1, n), F.slice(b, shift + 1, n), lambda x, y: F.xxhash64(x, y))
+    count = lambda a, less: F.greatest(F.size(a) - less, F.lit(0))
+    rows = rows.select(*kept, *_once(_w=F.transform("canon", lambda x: F.xxhash64(x))))
+    width, whole = 1, 0  # _w holds windows of ``width``, _a (if any) those of ``whole`` tokens
+    left = length
+    while True:
+        if left & 1:
+            if whole:
+                rows = rows.select(*kept, "_w", *_once(_a=pair("_a", "_w", whole, F.least(count("_a", 0), count("_w", whole)))))
+            else:
+                rows = rows.withColumn("_a", F.col("_w"))
+            whole += width
+        left >>= 1
+        if not left:
+            break
+        more = ["_a"] if whole else []
+        rows = rows.select(*kept, *more, *_once(_w=pair("_w", "_w", width, count("_w", width))))
+        width *= 2
+    return rows.select(*kept, F.posexplode("_a").alias("at", "hash"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """row (a hash of doc_id and text), doc_id, item_id, covered (0 to 1), n_slots: the items found in each document."""
-    items = stored(templates(benchmark.where("text is not null"), "text", ["item_id"]).where("size(tokens) > 0"))
+    items = stored(templates(benchmark.where("text is not null"), "text", ["item_id"]).where("size(canon) > 0"))
     texts = templates(docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text")), "text", ["row", "doc_id"])
     # at most ``window`` different lengths, whatever the size of the benchmark
-    lengths = sorted(r[0] for r in items.select(F.least(F.size("tokens"), F.lit(window))).distinct().collect())
+    lengths = sorted(r[0] for r in items.select(F.least(F.size("canon"), F.lit(window))).distinct().collect())
     found = None
     for n in lengths:
-        own = items.where(F.size("tokens") == n) if n < window else items.where(F.size("tokens") >= n)
+        own = items.where(F.size("canon") == n) if n < window else items.where(F.size("canon") >= n)
         plain = F.size(F.filter(F.slice("canon", F.col("at") + 1, n), lambda x: ~x.isin(SLOTS)))
         keys = stored(windows(own, n, ["item_id"]).where(plain >= LITERALS * n).select(
-            "item_id", "hash", F.col("at").alias("item_at"), F.size("tokens").alias("item_size"),
-            F.slice("tokens", F.col("at") + 1, n).alias("item_tokens"), F.slice("canon", F.col("at") + 1, n).alias("item_canon"),
+            "item_id", "hash", F.col("at").alias("item_at"), F.size("canon").alias("item_size"),
+            F.slice(written(), F.col("at") + 1, n).alias("item_tokens"), F.slice("canon", F.col("at") + 1, n).alias("item_canon"),
         ))
         if keys.count() <= SENT_WINDOWS:
             keys = F.broadcast(keys)  # at most SENT_WINDOWS windows
         met = windows(texts, n, ["row", "doc_id"]).join(keys, "hash").where(F.slice("canon", F.col("at") + 1, n) == F.col("item_canon"))
         slots = F.filter(
-            F.arrays_zip(F.col("item_canon").alias("kind"), F.col("item_tokens").alias("was"), F.slice("tokens", F.col("at") + 1, n).alias("now")),
+            F.arrays_zip(F.col("item_canon").alias("kind"), F.col("item_tokens").alias("was"), F.slice(written(), F.col("at") + 1, n).alias("now")),
             lambda s: s["kind"].isin(SLOTS),
         )
+        slots = F.when(F.exists("item_canon", lambda x: x.isin(SLOTS)), slots).otherwise(F.filter(F.arrays_zip(F.col("item_canon").alias("kind"), F.col("item_canon").alias("was"), F.col("item_canon").alias("now")), lambda s: F.lit(False)))
         part = met.select("row", "doc_id", "item_id", "item_at", "item_size", (F.col("at") - F.col("item_at")).alias("diagonal"), F.lit(n).alias("n"), slots.alias("slots"))
         found = part if found is None else found.unionByName(part)
     if found is None:
