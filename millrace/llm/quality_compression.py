@@ -96,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Pair:
     # shares of both classes among all labelled rows weigh the curve
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-    half = np.array([zlib.crc32(f"half {i}".encode()) % 2 == 0 for i in rows["doc_id"]])
+    half = np.array([zlib.crc32(f"half {i}".encode()) % 2 == 0 for i in rows["doc_id"]], dtype=bool)
     if min((y[half] == 0).sum(), (y[half] == 1).sum(), (y[~half] == 0).sum(), (y[~half] == 1).sum()) < 5:
         none = Pair(b"", b"")
         none.share = share
