@@ -10,6 +10,8 @@ Labels are learnt only from rows whose crc32(doc_id as text) mod 4 is not 2, at
 MAX_LABELLED of each class (a documented bound: those with the smallest hash); whole texts
 of all rows are scored. Labels, lang, source and doc_id are no inputs of a score.
 
+A few words say little, so NEUTRAL bytes at the share of good rows stand beside every text.
+
 Defined results: a null text is scored as an empty one, and an empty one gets the share of
 good rows in the fit; without both classes every score is that share (0.5 without labels);
 repeated rows are scored alike.
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 MAX_LABELLED, DICTIONARY, BLOCK, LEVEL, LEAST = 1_500, 65_536, 2_048, 3, 0.7
+#: Bytes of neutral text that stand beside every text, so that a few words alone decide little.
+NEUTRAL = 96
 #: Bytes of labelled text that a dictionary is trained on at most.
 TRAINED = 6_000_000
 
@@ -66,9 +70,12 @@ class Pair:
     def scores(self, texts) -> np.ndarray:
         if not self.good:
             return np.full(len(texts), self.share)
-        d = self.differences(texts)
-        empty = np.array([not t for t in texts])
-        return np.where(empty, self.share, 1 / (1 + np.exp(-np.clip(self.slope * d + self.shift, -30, 30))))
+        size = np.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], dtype=float)
+        d, still = self.differences(texts), 0.0
+        if self.slope > 0 and 0 < self.share < 1:  # the difference at which the curve gives the share of good rows
+            still = (np.log(self.share / (1 - self.share)) - self.shift) / self.slope
+        d = (d * size + still * NEUTRAL) / (size + NEUTRAL)
+        return np.where(size == 0, self.share, 1 / (1 + np.exp(-np.clip(self.slope * d + self.shift, -30, 30))))
 
 
 def trained(samples: list[str]) -> bytes:
