@@ -90,14 +90,14 @@ def clean_controls(spark, sf):
     return read(spark, sf, "supplier").where("s_acctbal > 5000").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("s_suppkey"), (F.count("*") == 1).alias("one_per_slot"))
 
 
-CASES_SQL = "cases as (select 'C' || lpad(cast(n_nationkey as varchar), 2, '0') as slot_id, case n_nationkey % 4 when 0 then 'rear_end' when 1 then 'intersection_crossing_turning' when 2 then 'lane_change_side_swipe' else 'head_on_centerline_intrusion' end as topology, case when n_nationkey // 4 % 2 = 0 then 'rule' else 'qwen' end as route from nation where n_nationkey < 24)"
+CASES_SQL = "cases as (select 'C' || lpad(cast(n_nationkey as varchar), 2, '0') as slot_id, case n_nationkey % 4 when 0 then 'rear_end' when 1 then 'intersection_crossing_turning' when 2 then 'lane_change_side_swipe' else 'head_on_centerline_intrusion' end as topology, case when n_nationkey // 4 % 2 = 0 then 'rule' else 'model' end as route from nation where n_nationkey < 24)"
 
 
 def cases(spark, sf):
     n = read(spark, sf, "nation").where("n_nationkey < 24")
     k = F.col("n_nationkey")
     topology = F.when(k % 4 == 0, "rear_end").when(k % 4 == 1, "intersection_crossing_turning").when(k % 4 == 2, "lane_change_side_swipe").otherwise("head_on_centerline_intrusion")
-    return n.select(F.concat(F.lit("C"), F.lpad(k.cast("string"), 2, F.lit("0"))).alias("slot_id"), topology.alias("topology"), F.when(F.floor(k / 4) % 2 == 0, "rule").otherwise("qwen").alias("route"))
+    return n.select(F.concat(F.lit("C"), F.lpad(k.cast("string"), 2, F.lit("0"))).alias("slot_id"), topology.alias("topology"), F.when(F.floor(k / 4) % 2 == 0, "rule").otherwise("model").alias("route"))
 
 
 @query("design_balance", f"""with {CASES_SQL}, c as (select topology, route, count(*) as n, grouping_id(topology, route) as g from cases group by cube (topology, route))

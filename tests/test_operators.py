@@ -53,7 +53,7 @@ def test_analysis_text(spark):
 #: Published cells and the metrics they give.
 GOLDEN = [
     ("rule_only", 743, 393, 155, 197, 40, 1, 0.794872, 0.993590, 0.883191, 0.807128, 0.528937, 0.104326),
-    ("qwen_only", 743, 704, 277, 415, 8, 4, 0.971930, 0.985765, 0.978799, 0.964615, 0.947510, 0.017045),
+    ("model_only", 743, 704, 277, 415, 8, 4, 0.971930, 0.985765, 0.978799, 0.964615, 0.947510, 0.017045),
     ("hybrid", 743, 659, 273, 340, 41, 5, 0.869427, 0.982014, 0.922297, 0.864614, 0.886945, 0.069803),
     ("hybrid_forced_reject", 743, 743, 273, 421, 41, 8, 0.869427, 0.971530, 0.917647, 0.866634, 1.0, 0.065949),
 ]
@@ -146,7 +146,7 @@ def test_largest_remainder_is_exact(spark):
 
 def cases(spark):
     topologies = contracts.TOPOLOGIES
-    rows = [(f"S{i:02d}", topologies[i % 4], "rule" if i // 4 % 2 == 0 else "qwen") for i in range(24)]
+    rows = [(f"S{i:02d}", topologies[i % 4], "rule" if i // 4 % 2 == 0 else "model") for i in range(24)]
     return spark.createDataFrame(rows, "slot_id string, topology string, route string")
 
 
