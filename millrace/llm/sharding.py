@@ -68,7 +68,7 @@ def assigned(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     # fewer than shards * LARGE records exceed the limit, so these are few whatever the input
     rank = F.row_number().over(Window.orderBy(F.desc("size"), "key", "doc_id"))
-    large = stored(rows.where(F.col("size") > limit).coalesce(1).withColumn("rank", rank))
+    large = stored(rows.where(F.col("size") > limit).withColumn("rank", rank))
     heap, used, held, where = [(0, k) for k in range(shards)], [0] * shards, [0] * shards, []
     for r in large.select("rank", "size").orderBy("rank").collect():
         _, k = heapq.heappop(heap)
