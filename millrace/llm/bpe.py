@@ -40,7 +40,7 @@ def byte_letters() -> list[str]:
 
 
 class Codec:
-    def __init__(self, content: str, keep: int = 300_000):
+    def __init__(self, content: str, keep: int = 150_000):
         import ahocorasick
         import regex
 
@@ -104,8 +104,9 @@ class Codec:
                 bound, a = rank[a], halves[a][1]
             else:
                 bound, b = rank[b] + 0.5, halves[b][0]
-        if len(self.fits) < 2_000_000:
-            self.fits[key] = answer
+        if len(self.fits) >= self.keep:
+            self.fits.clear()
+        self.fits[key] = answer
         return answer
 
     def word(self, letters: str) -> list[int]:
