@@ -2,14 +2,17 @@
 
 1. Every text becomes its set of distinct word shingles (64-bit hashes in one global order).
    Equal sets are one node from here on, so copies cost nothing more.
-2. Two sets at the threshold differ in at most D shingles. Cut into D + 1 parts by hash, they
-   must agree in one whole part (pigeonhole); so the digests of the parts are the keys under
-   which possible partners meet. All nodes of a key form a star around its smallest node,
-   never pairs. Sizes fall into classes, and a set is cut for its own and the next class.
-3. The nodes of a star form a cluster. Each cluster is joined in a prefix tree of its sets:
-   the tree is walked once for each set, what is shared is compared once, and a subtree is
-   left when its remaining length cannot reach the overlap needed, or when all of it is
-   linked to the set already. Only links that join two parts come out.
+2. Two sets at the threshold differ in at most D shingles. Cut by hash into more than D parts,
+   they must agree in one whole part (pigeonhole); so the digests of the parts are the keys
+   under which possible partners meet (empty parts only where too many are empty). All nodes
+   of a key form a star around its smallest node, never pairs. Sizes fall into classes, and a
+   set is cut for its own and the next class.
+3. The nodes of a star form a cluster. Clusters of each node's smallest leader come first;
+   then those that still hold nodes of different components. Each cluster is joined in a
+   prefix tree of its sets: the tree is walked once for each set, what is shared is compared
+   once, and a subtree is left when no set in it shares one of the set's rarest shingles, when
+   its remaining length cannot reach the overlap needed, or when all of it is linked to the
+   set already. Only links that join two parts come out.
 4. A cluster over BLOCK nodes is dealt to several tasks: each block against itself and the
    first block; then whatever is not in the cluster's largest part against every block.
 5. Links give components by repeated minima over neighbours.
@@ -22,6 +25,8 @@ unless it is alone.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -49,7 +54,7 @@ class _Words(dict):
         import xxhash
 
         got = xxhash.xxh64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < 100_000:
             self[word] = got
         return got
 
@@ -92,21 +97,32 @@ class Rule:
             b.append(max(b[-1] + 1, self.den * (b[-1] - 1) // self.num + 1))
         return int(np.searchsorted(b, size, side="right")) - 1
 
-    def parts(self, kind: int) -> int:
+    def parts(self, kind: int) -> tuple[int, int]:
+        """Parts for a class, and how many of them may be empty in a set whose full parts alone still decide."""
         while len(self.bounds) < kind + 2:
             self.class_of(self.bounds[-1])
-        return self.most_apart(2 * (self.bounds[kind + 1] - 1)) + 1
+        need = self.most_apart(2 * (self.bounds[kind + 1] - 1)) + 1
+        empty = need * np.exp(-self.bounds[max(0, kind - 1)] / need)
+        spare = int(np.ceil(empty + 2 * np.sqrt(empty))) if need > 1 else 0
+        return need + spare, spare
 
     def keys(self, found: np.ndarray) -> np.ndarray:
-        """Digests of the parts of a set, for its own class and the one above; none where only equal sets can link."""
+        """Digests of the parts of a set, for its own class and the one above; none where only equal sets can link.
+
+        Two linked sets agree in more parts than can be empty in both, unless both have more
+        empty parts than are to spare; so only such sets also stand under their empty parts.
+        """
         kind, h = self.class_of(len(found)), _mix(found.view(np.uint64))
         out = []
         for k in (kind, kind + 1):
-            if (parts := self.parts(k)) > 1:
+            parts, spare = self.parts(k)
+            if parts > 1:
                 at = ((h >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
                 one = np.zeros(parts, dtype=np.uint64)
                 np.bitwise_xor.at(one, at, h)
-                out.append(_mix(one ^ _mix(np.arange(parts, dtype=np.uint64) + np.uint64((k + 1) << 32))))
+                full = np.bincount(at, minlength=parts) > 0
+                got = _mix(one ^ _mix(np.arange(parts, dtype=np.uint64) + np.uint64((k + 1) << 32)))
+                out.append(got if parts - int(full.sum()) > spare else got[full])
         return np.concatenate(out).view(np.int64) if out else np.empty(0, dtype=np.int64)
 
 
@@ -179,12 +195,13 @@ def stars(keys: DataFrame) -> DataFrame:
 class _Branch:
     """A node of the prefix tree: the shingles on the way to it, its children, and what is known of all sets below."""
 
-    __slots__ = ("least", "longest", "own", "start", "stop", "under", "whole")
+    __slots__ = ("first", "last", "least", "longest", "own", "start", "stop", "under", "whole")
 
     def __init__(self, own, start, stop):
         self.own, self.start, self.stop = own, start, stop  # the slice of set ``own`` that leads here
         self.under, self.whole = [], None
         self.least = self.longest = 0
+        self.first = self.last = own  # the sets below stand side by side in the order of sets
 
 
 def _tree(sets: list[np.ndarray]) -> list:
@@ -216,11 +233,34 @@ def _tree(sets: list[np.ndarray]) -> list:
     return root
 
 
+def _meeting(sets: list[np.ndarray], rule: Rule) -> list[np.ndarray]:
+    """For each set, those that share one of its rarest shingles; a linked set must (prefix filter over one order of all shingles)."""
+    size = np.array([len(s) for s in sets])
+    kinds, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    own = np.repeat(np.arange(len(sets)), size)
+    order = np.lexsort((place, count[place], own))  # by set, then rarest first
+    at = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
+    need = size - (-(-rule.num * size // rule.den)) + 1
+    rare = order[at < np.repeat(need, size)]
+    key, who = place[rare], own[rare]
+    by = np.argsort(key, kind="stable")
+    starts = np.searchsorted(key[by], np.arange(len(kinds) + 1))
+    held = np.split(key, np.cumsum(np.bincount(who, minlength=len(sets)))[:-1])  # rare keeps the order of sets
+    out = []
+    for mine in held:
+        lists = [who[by[starts[k]: starts[k + 1]]] for k in mine if starts[k + 1] - starts[k] > 1]
+        out.append(np.unique(np.concatenate(lists)) if lists else np.empty(0, dtype=np.int64))
+    return out
+
+
 def tree_links(sets: list[np.ndarray], probes: list[int], rule: Rule) -> list[tuple[int, int]]:
     """Links between probes and all sets that join two parts: enough for the components, never all pairs."""
+    if len(sets) < 2:
+        return []
     order = sorted(range(len(sets)), key=lambda i: (sets[i].astype(">i8").view(np.uint64) ^ np.uint64(128)).tobytes() if len(sets[i]) else b"")
     ranked = [sets[i] for i in order]
     root = _tree(ranked)
+    meeting = _meeting(ranked, rule)
     parent = list(range(len(sets)))
 
     def find(i: int) -> int:
@@ -237,6 +277,7 @@ def tree_links(sets: list[np.ndarray], probes: list[int], rule: Rule) -> list[tu
                 b.whole, b.least, b.longest = b.own, b.stop, b.stop
             elif done:
                 b.least, b.longest = min(u.least for u in b.under), max(u.longest for u in b.under)
+                b.first, b.last = b.under[0].first, b.under[-1].last
             else:
                 stack.append((b, True))
                 stack += [(u, False) for u in b.under]
@@ -247,9 +288,16 @@ def tree_links(sets: list[np.ndarray], probes: list[int], rule: Rule) -> list[tu
     for i in probes:
         me, x = place[i], sets[i]
         size = len(x)
+        mine = find(me)
+        near = [k for k in meeting[me].tolist() if k != me and find(k) != mine]
+        if not near:
+            continue
         stack = [(root, 0)]
         while stack:
             b, got = stack.pop()
+            at = bisect.bisect_left(near, b.first)
+            if at == len(near) or near[at] > b.last:
+                continue  # no set below shares a rare shingle with this one
             if b.whole is not None and find(b.whole) == find(me):
                 continue  # all of it is linked to this set already
             if b.under and b.whole is None:
@@ -305,6 +353,35 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
+def _meet(docs: DataFrame, known: DataFrame, clusters: DataFrame, before: DataFrame | None, rule: Rule, block: int, sent_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Links found so far and components, after joining clusters (leader, member; the leader is a member of its own)."""
+    size = clusters.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    inside = clusters.join(size, "leader").where(F.col("blocks") > 0).select("leader", F.col("member").alias("node"), "blocks")
+    inside = stored(inside.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")))
+    everyone = F.sequence(F.lit(0), F.col("blocks") - 1)
+    first = inside.withColumn("part", F.explode(F.when(F.col("block") == 0, everyone).otherwise(F.array("block"))))
+    joined = _joined(_with_text(docs, known, first.select(F.col("leader").alias("task"), "part", F.lit(0).alias("probe"), F.lit(2).alias("role"), "node"), sent_rows), rule)
+    found = stored(joined if before is None else before.unionByName(joined))
+    roots = components(found)
+
+    large = inside.where("blocks > 1")
+    if large.isEmpty():
+        return found, roots
+    placed = stored(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    main = placed.groupBy("leader", "root").agg(F.count("*").alias("size")).groupBy("leader").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
+    rest = stored(placed.join(main, "leader").where("root <> main").select("leader", "node", "blocks"))
+    if rest.isEmpty():
+        return found, roots
+    many = rest.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("probes"))
+    tree = placed.join(many, "leader").withColumn("probe", F.explode(F.sequence(F.lit(0), F.col("probes") - 1))).select(F.col("leader").alias("task"), F.col("block").alias("part"), "probe", F.lit(0).alias("role"), "node")
+    ask = (
+        rest.join(many, "leader").withColumn("probe", F.pmod(F.xxhash64("node", F.lit(6)), F.col("probes")).cast("int"))
+        .withColumn("part", F.explode(everyone)).select(F.col("leader").alias("task"), "part", "probe", F.lit(1).alias("role"), "node")
+    )
+    found = stored(found.unionByName(_joined(_with_text(docs, known, tree.unionByName(ask), sent_rows), rule)))
+    return found, components(found)
+
+
 def linked(docs: DataFrame, n: int, num: int, den: int, block: int = BLOCK, sent_rows: int = SENT_ROWS) -> DataFrame:
     """doc_id, row, n_shingles and component_id for every row of docs (doc_id, text)."""
     rule = Rule(n, num, den)
@@ -313,36 +390,22 @@ def linked(docs: DataFrame, n: int, num: int, den: int, block: int = BLOCK, sent
     known = stored(nodes(docs, rule))
     edges = stored(stars(keyed(docs, rule)))
 
-    # A cluster whose nodes all belong to one smaller leader's cluster adds nothing to it.
-    top = edges.groupBy("member").agg(F.min("leader").alias("top"))
-    led = edges.join(top, "member").groupBy("leader").agg(F.min("top").alias("low"), F.max("top").alias("high"), F.count("*").alias("members"))
-    kept = (
-        led.join(top.select(F.col("member").alias("leader"), F.col("top").alias("own")), "leader", "left")
-        .where(~F.coalesce((F.col("own") == F.col("low")) & (F.col("own") == F.col("high")), F.lit(False)))
-        .select("leader", F.ceil((F.col("members") + 1) / F.lit(block)).cast("int").alias("blocks"))
+    # First each node meets the smallest of its leaders: a row or two for each node.
+    top = edges.groupBy("member").agg(F.min("leader").alias("leader"))
+    own = top.select(F.col("leader").alias("member")).distinct().select(F.col("member").alias("leader"), "member")
+    found, roots = _meet(docs, known, top.select("leader", "member").unionByName(own), None, rule, block, sent_rows)
+
+    # Of the other stars, only those that still hold nodes of different parts are joined.
+    part = edges.join(roots.select(F.col("node").alias("member"), F.col("root").alias("_m")), "member", "left").withColumn("_m", F.coalesce("_m", "member"))
+    open_ = (
+        part.groupBy("leader").agg(F.min("_m").alias("low"), F.max("_m").alias("high"))
+        .join(roots.select(F.col("node").alias("leader"), F.col("root").alias("_l")), "leader", "left")
+        .where((F.col("low") != F.col("high")) | (F.col("low") != F.coalesce("_l", "leader"))).select("leader")
     )
-    inside = edges.join(kept, "leader").select("leader", F.col("member").alias("node"), "blocks").unionByName(kept.select("leader", F.col("leader").alias("node"), "blocks"))
-    inside = stored(inside.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")))
-
-    everyone = F.sequence(F.lit(0), F.col("blocks") - 1)
-    first = inside.withColumn("part", F.explode(F.when(F.col("block") == 0, everyone).otherwise(F.array("block"))))
-    found = stored(_joined(_with_text(docs, known, first.select(F.col("leader").alias("task"), "part", F.lit(0).alias("probe"), F.lit(2).alias("role"), "node"), sent_rows), rule))
-    roots = components(found)
-
-    large = inside.where("blocks > 1")
-    if not large.isEmpty():
-        placed = stored(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        main = placed.groupBy("leader", "root").agg(F.count("*").alias("size")).groupBy("leader").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
-        rest = stored(placed.join(main, "leader").where("root <> main").select("leader", "node", "blocks"))
-        if not rest.isEmpty():
-            many = rest.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("probes"))
-            tree = placed.join(many, "leader").withColumn("probe", F.explode(F.sequence(F.lit(0), F.col("probes") - 1))).select(F.col("leader").alias("task"), F.col("block").alias("part"), "probe", F.lit(0).alias("role"), "node")
-            ask = (
-                rest.join(many, "leader").withColumn("probe", F.pmod(F.xxhash64("node", F.lit(6)), F.col("probes")).cast("int"))
-                .withColumn("part", F.explode(everyone)).select(F.col("leader").alias("task"), "part", "probe", F.lit(1).alias("role"), "node")
-            )
-            found = stored(found.unionByName(_joined(_with_text(docs, known, tree.unionByName(ask), sent_rows), rule)))
-            roots = components(found)
+    left = stored(edges.join(open_, "leader", "left_semi"))
+    if not left.isEmpty():
+        heads = left.select("leader").distinct()
+        found, roots = _meet(docs, known, left.unionByName(heads.select("leader", F.col("leader").alias("member"))), found, rule, block, sent_rows)
 
     full = known.where("node is not null").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
