@@ -205,7 +205,10 @@ class _Branch:
 
 
 def _tree(sets: list[np.ndarray]) -> list:
-    """A prefix tree of sets that stand in lexicographic order: nested lists built from neighbours' common prefixes."""
+    """A prefix tree of sets that stand in lexicographic order: nested lists built from neighbours' common prefixes.
+
+    Every set ends in a leaf; one that others begin with has an empty leaf as the first child of its branch.
+    """
 
     def shared(a: np.ndarray, b: np.ndarray) -> int:
         n = min(len(a), len(b))
@@ -227,6 +230,8 @@ def _tree(sets: list[np.ndarray]) -> list:
             middle.under.append(last)
             path.append(middle)
             top = middle
+        if top is not root and not top.under:  # the set before is a prefix of this one: it stays a set of its own
+            top.under.append(_Branch(top.own, common, common))
         leaf = _Branch(i, common, len(s))
         top.under.append(leaf)
         path.append(leaf)

@@ -149,6 +149,48 @@ def test_ngram_on_documents(spark):
     assert got == brute_components([tuple(r) for r in d.collect()], 3, 90, 100)
 
 
+def grown(text, steps):
+    """Texts in which each begins with the one before, and so do their sets as sorted lists: every new hash comes last."""
+    out = [text]
+    for _ in range(steps):
+        had, good, k = ngram_join.shingles(out[-1], 3), [], 0
+        while k < 300 or not good:  # the least of many, so that there is room for the next ones
+            got = ngram_join.shingles(f"{out[-1]} w{k}", 3)
+            if len(got) == len(had) + 1 and got[-1] != had[-1]:
+                good.append((int(got[-1]), k))
+            k += 1
+        out.append(f"{out[-1]} w{min(good)[1]}")
+    return out
+
+
+def some_words(seed, n):
+    return " ".join(f"v{seed}x{k}" for k in range(n))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_tree_finds_prefixes(seed):
+    """Single probes against brute force: no set is lost as a target, though others begin with it."""
+    rule = ngram_join.Rule(3, 90, 100)
+    sets = [ngram_join.shingles(t, 3) for k in range(3) for t in grown(some_words(10 * seed + k, 16 + seed), 4)]
+    random.Random(seed).shuffle(sets)
+    both = lambda a, b: len(set(a.tolist()) & set(b.tolist()))
+    for i, a in enumerate(sets):
+        want = {j for j, b in enumerate(sets) if j != i and both(a, b) * 100 >= 90 * (len(a) + len(b) - both(a, b))}
+        assert want and {j for _, j in ngram_join.tree_links(sets, [i], rule)} == want
+
+
+def test_ngram_prefix_chains(spark):
+    """Two prefixes of other sets, linked only to each other; and chains dealt in small blocks."""
+    texts = [t for k in (100, 101) for t in grown(some_words(k, 22), 4)]
+    for k in (0, 1):  # 20 shingles, 19 of them in both; the longer ones have 24, too many for a link
+        for end in ("this", "that"):
+            texts += [(chain := grown(f"{some_words(100 + k, 21)} {end}", 4))[0], chain[4]]
+    rows = list(enumerate(texts))
+    random.Random(1).shuffle(rows)
+    got = ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100, block=3)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_components(rows, 3, 90, 100)
+
+
 def test_keys_meet_every_link():
     for rule in (ngram_join.Rule(3, 90, 100), ngram_join.Rule(5, 80, 100), ngram_join.Rule(2, 60, 100)):
         sets = [ngram_join.shingles(t, rule.n) for t in near_copies(7, 20, 10, (12, 300))]
