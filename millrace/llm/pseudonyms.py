@@ -7,6 +7,11 @@ check digits and calendar validity stay. Equal values have equal pseudonyms in e
 document under one key, whatever their separators, and different values different ones.
 The local part of a mail address becomes a keyed token at a reserved domain.
 
+Card and account numbers have no fixed end, so every end at a group border is tried from every
+start, and only the numbers that validate are cut out of a text: what stands before or after
+them cannot hide them, and what fails is open to the other kinds. Phone numbers without a plus
+sign are looked for in what is left between the other kinds.
+
 Defined results: a null text stays null with zero counts; an empty text stays empty; what
 fails its validation is left as it is; repeated rows are treated alike.
 """
@@ -30,7 +35,10 @@ IDENTITY = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|\+[0-9]{8,15}(?![0-9])"
 KINDS = {"mail": MAIL, "iban": IBAN, "ip": IP, "iso": ISO, "identity": IDENTITY, "card": CARD, "day": DAY, "phone": PHONE}
-ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: The longest run that can be a card or account number, and one place more, at each start.
+CARD_RUN = r"(?<![0-9])(?=([0-9](?:[ -]?[0-9]){12,19}))"
+IBAN_RUN = r"\b(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){8,32}))"
+PLUS = rf"(?=\+)(?:{PHONE})"
 
 #: 400 years have 146,097 = 189 * 773 days, so a date within them is a pair of numbers that a Feistel network permutes.
 CYCLE, HIGH, LOW, SINCE_1800 = 146_097, 189, 773, 62_091
@@ -206,16 +214,52 @@ MAKERS = {"mail": _mail, "iban": _iban, "ip": _ip, "iso": _iso, "identity": _ide
 
 def pseudonymised(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """docs with _text, the text with pseudonyms, and _kinds, the kind of each value that was replaced."""
-    some = F.col(text).rlike("[0-9@]")
-    cut = docs.withColumn("_cut", F.when(some, F.struct(F.split(F.col(text), ANY, -1).alias("pieces"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)).alias("found"))))
-    made = cut.withColumn("_made", F.transform("_cut.found", lambda m: _let(_first(m, key), lambda p: F.struct(p["kind"].alias("kind"), F.coalesce(p["new"], m).alias("new")))))
-    joined = F.concat_ws("", F.flatten(F.zip_with("_cut.pieces", F.concat(F.transform("_made", lambda p: p["new"]), F.array(F.lit(""))), lambda a, b: F.array(a, b))))
+    t = F.col(text)
+    cut = docs.withColumn("_pattern", F.when(t.rlike("[0-9@]"), _pattern(t)))
+    cut = cut.withColumn("_cut", F.when(F.col("_pattern").isNotNull(), F.struct(F.split(t, F.col("_pattern"), -1).alias("pieces"), F.regexp_extract_all(t, F.col("_pattern"), F.lit(0)).alias("found"))))
+    made = cut.withColumn("_between", F.transform("_cut.pieces", lambda p: _phones(p, key)))
+    made = made.withColumn("_made", F.transform("_cut.found", lambda m: _let(_first(m, key), lambda p: F.struct(F.coalesce(p["new"], m).alias("new"), F.filter(F.array(p["kind"]), lambda k: k.isNotNull()).alias("kinds")))))
+    end = F.array(F.struct(F.lit("").alias("new"), F.array().cast("array<string>").alias("kinds")))
+    all_ = F.flatten(F.zip_with("_between", F.concat("_made", end), lambda a, b: F.array(a, b)))
+    made = made.withColumn("_all", all_)
     return (
-        made.withColumn("_text", F.when(F.col("_cut").isNull(), F.col(text)).otherwise(joined))
-        .withColumn("_kinds", F.coalesce(F.filter(F.transform("_made", lambda p: p["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))).drop("_cut", "_made")
+        made.withColumn("_text", F.when(F.col("_cut").isNull(), t).otherwise(F.concat_ws("", F.transform("_all", lambda p: p["new"]))))
+        .withColumn("_kinds", F.coalesce(F.flatten(F.transform("_all", lambda p: p["kinds"])), F.array().cast("array<string>"))).drop("_pattern", "_cut", "_between", "_made", "_all")
+    )
+
+
+def _numbers(text: Column, run: str, pattern: str, valid) -> Column:
+    """The numbers of a text that validate, whatever start or end they have, as alternatives of a pattern; the longest first."""
+    ends = lambda r: F.filter(
+        F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.struct(r.substr(F.lit(1), i).alias("m"), r.substr(i + 1, F.lit(1)).alias("next"))),
+        lambda e: e["next"].isin("", " ", "-") & e["m"].rlike(f"^(?:{pattern})$") & valid(e["m"]),
+    )
+    found = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(run), F.lit(1)), lambda r: F.transform(ends(r), lambda e: e["m"]))))
+    by_length = F.reverse(F.array_sort(F.transform(found, lambda m: F.struct(F.length(m).alias("n"), m.alias("m")))))
+    return F.when(text.rlike(run), F.nullif(F.array_join(F.transform(by_length, lambda e: e["m"]), "|"), F.lit("")))
+
+
+def _pattern(text: Column) -> Column:
+    """The pattern of all values in a text but phone numbers without a plus sign."""
+    iban = _numbers(text, IBAN_RUN, IBAN, lambda m: _let(F.replace(m, F.lit(" "), F.lit("")), lambda x: (mod97(x) == 1) & (F.length(_digits(x.substr(F.lit(5), F.length(x)))) > 1)))
+    card = _numbers(text, CARD_RUN, CARD, lambda m: luhn_sum(_digits(m), 1) % 10 == 0)
+    return F.concat(
+        F.lit(f"(?:{MAIL})"), F.coalesce(F.concat(F.lit(r"|\b(?:"), iban, F.lit(r")\b")), F.lit("")),
+        F.lit(f"|(?:{IP})|(?:{ISO})|(?:{IDENTITY})"), F.coalesce(F.concat(F.lit("|(?<![0-9])(?:"), card, F.lit(")(?![0-9])")), F.lit("")),
+        F.lit(f"|(?:{DAY})|(?:{PLUS})"),
     )
 
 
+def _phones(piece: Column, key: str) -> Column:
+    """struct(new, kinds) of a piece of text that holds no value but phone numbers."""
+    found = F.transform(F.regexp_extract_all(piece, F.lit(PHONE), F.lit(0)), lambda m: F.struct(_phone(m, key).alias("new"), m.alias("old")))
+    joined = _let(found, lambda f: F.struct(
+        F.concat_ws("", F.flatten(F.zip_with(F.split(piece, PHONE, -1), F.concat(F.transform(f, lambda p: F.coalesce(p["new"], p["old"])), F.array(F.lit(""))), lambda a, b: F.array(a, b)))).alias("new"),
+        F.transform(F.filter(f, lambda p: p["new"].isNotNull()), lambda p: F.lit("phone")).alias("kinds"),
+    ))
+    return F.when(piece.rlike(PHONE), joined).otherwise(F.struct(piece.alias("new"), F.array().cast("array<string>").alias("kinds")))
+
+
 def _first(m: Column, key: str) -> Column:
     """The first kind in order whose pattern and validation hold; struct(kind, new), null fields if none."""
     tried = F.array(*(

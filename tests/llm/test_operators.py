@@ -328,6 +328,18 @@ def test_pseudonyms(spark):
     assert int("".join(str(int(c, 36)) for c in moved[4:] + moved[:4])) % 97 == 1
 
 
+def test_numbers_beside_others(spark):
+    """What stands before or after a card or account number does not keep it in clear."""
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    texts = [f"{card} 03/27", f"{card} 123", f"03 {card}", f"{card} {card}", f"{card} 03/12/2027", f"{iban} EUR", f"{iban} EUR {card}", f"AB12 CDEF 1234 {card} x", f"2024-01-01 {card} 555 123 4567", f"AB12 CDEF GHIJ 555 123 4567 x", "+49 1512 345 6789"]
+    got = {r["doc_id"]: r for r in pseudonyms.pseudonymised(table(spark, texts)).select("doc_id", "_text", "_kinds").collect()}
+    want = [["card"], ["card"], ["card"], ["card"] * 2, ["card", "day"], ["iban"], ["iban", "card"], ["card"], ["iso", "card", "phone"], ["phone"], ["phone"]]
+    for i, t in enumerate(texts):
+        assert card not in got[i]["_text"] and iban not in got[i]["_text"] and len(got[i]["_text"]) == len(t)
+        assert "555 123 4567" not in got[i]["_text"]
+        assert list(got[i]["_kinds"]) == want[i], t
+
+
 def test_pseudonyms_are_permutations(spark):
     df = spark.createDataFrame([(f"10.0.{i // 256}.{i % 256}",) for i in range(600)], "text string")
     assert pseudonyms.pseudonymised(df).select("_text").distinct().count() == 600
