@@ -6,8 +6,9 @@ that merging would have left exactly this border; otherwise a shorter token, or
 is tried. Places that proved dead are marked, so each is left at most once and a word takes
 linear time. Decoding cuts token strings out of one text by an offset table.
 
-Words repeat, so each Python worker keeps a bounded table of encoded pieces. The vocabulary
-file is a parameter and is read in each worker (or sent with the closure).
+Words repeat, so each Python worker keeps a bounded table of encoded words in two halves: when
+the newer half is full it becomes the older one, and what is asked for again moves over, so
+frequent words stay. The vocabulary file is a parameter and is sent with the closure.
 
 Defined results: a null or empty text has no tokens (the hash of nothing); special tokens
 written in a text are taken as those tokens; repeated rows are encoded alike.
@@ -29,6 +30,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
 #: Blanks for str.split() that the vocabulary does not take for white space.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
+ENDS = ".,;:!?"
 END = "\x00"  # stands for the end of a word inside the automaton; no mapped byte is \x00
 
 
@@ -40,7 +42,7 @@ def byte_letters() -> list[str]:
 
 
 class Codec:
-    def __init__(self, content: str, keep: int = 150_000):
+    def __init__(self, content: str, keep: int = 250_000):
         import ahocorasick
         import regex
 
@@ -82,8 +84,11 @@ class Codec:
             self.offsets[i] = (at, at + len(t))
             at += len(t)
         self.blob = "".join(blob)
+        self.numbers = {i: str(i) for i in self.offsets}
+        self.whole = {s: i for s, i in by.items() if s.endswith(END) or not suffix}
         self.known: dict[str, tuple[int, str, str]] = {}
-        self.words: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
+        self.mixed: dict[str, tuple[int, str, str]] = {}  # stretches of several pieces
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the two tokens' letters leaves a border between them; undone merges are taken latest first."""
@@ -112,11 +117,11 @@ class Codec:
     def word(self, letters: str) -> list[int]:
         """Exact merges of one word of mapped bytes."""
         text = letters + END if self.suffix else letters
+        if (only := self.whole.get(text)) is not None:
+            return [only]
         longest: dict[int, int] = {}
         for end, (token, back) in self.auto.iter(text):  # ends come in order, so the last of a start is its longest
             longest[end - back] = token
-        if (only := longest.get(0)) is not None and self.lengths[only] == len(text):
-            return [only]
         lengths, shorter, fits = self.lengths, self.shorter, self.fits
         out: list[int] = []
         dead, place, token, n = set(), 0, longest.get(0), len(text)
@@ -145,29 +150,45 @@ class Codec:
 
     def chunk(self, chunk: str) -> tuple[int, str, str]:
         """Count, ids and decoded tokens, each joined by a space, of a stretch without white space."""
-        plain = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
-        plain = plain.replace("Σ", "σ").lower()  # letter by letter: no form for the end of a word
-        if plain.isascii() and plain.isalpha():
-            got = self.piece(plain)
-        else:
-            found = [self.piece(p) for p in self.pieces.findall(plain)]
-            got = (sum([f[0] for f in found]), " ".join([f[1] for f in found]), " ".join([f[2] for f in found]))
-        if len(chunk) < 200:
+        got = self.older.get(chunk)
+        if got is not None:  # asked for again: it moves to the newer half
+            return self.keeps(chunk, got)
+        got = self.mixed.get(chunk)
+        if got is not None:
+            return got
+        if chunk.isascii():
+            plain = chunk.lower()
+            if chunk[-1] in ENDS and (head := plain[:-1]).isalpha():  # a word and the mark after it: two pieces
+                n, ids, shown = self.known.get(head) or self.piece(head)
+                m, mark, seen = self.known.get(chunk[-1]) or self.piece(chunk[-1])
+                return n + m, f"{ids} {mark}", f"{shown} {seen}"
+        else:  # letter by letter: no form for the end of a word
+            plain = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        pieces = (plain,) if plain.isascii() and plain.isalpha() else self.pieces.findall(plain)
+        if len(pieces) == 1:
+            return self.piece(pieces[0])
+        found = [self.known.get(p) or self.piece(p) for p in pieces]
+        got = (sum([f[0] for f in found]), " ".join([f[1] for f in found]), " ".join([f[2] for f in found]))
+        if len(chunk) < 100:
+            if len(self.mixed) >= self.keep // 4:
+                self.mixed.clear()
+            self.mixed[chunk] = got
+        return got
+
+    def keeps(self, piece: str, got: tuple[int, str, str]) -> tuple[int, str, str]:
+        if len(piece) < 100:
             if len(self.known) >= self.keep:
-                self.known.clear()
-            self.known[chunk] = got
+                self.older, self.known = self.known, {}
+            self.known[piece] = got
         return got
 
     def piece(self, piece: str) -> tuple[int, str, str]:
-        got = self.words.get(piece)
-        if got is None:
-            ids = self.word("".join(map(self.letters.__getitem__, piece.encode("utf-8", "replace"))))
-            got = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-            if len(piece) < 100:
-                if len(self.words) >= self.keep:
-                    self.words.clear()
-                self.words[piece] = got
-        return got
+        return self.keeps(piece, self.known.get(piece) or self.older.get(piece) or self.merge(piece))
+
+    def merge(self, piece: str) -> tuple[int, str, str]:
+        plain = piece.isascii() and piece.isprintable()
+        ids = self.word(piece if plain else "".join(map(self.letters.__getitem__, piece.encode("utf-8", "replace"))))
+        return len(ids), " ".join(map(self.numbers.__getitem__, ids)), self.decode(ids)
 
     def decode(self, ids: list[int]) -> str:
         offsets, blob = self.offsets, self.blob
