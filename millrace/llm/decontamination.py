@@ -4,12 +4,17 @@ Texts become tokens; numbers, names (capitalised words within a sentence) and un
 typed placeholders, other words are lower-cased. Windows of W template tokens are hashed and
 joined with the windows of the benchmark, so a question whose numbers, names or units were
 changed still meets its original. The slots of the windows that meet on one diagonal must
-then fit: one value of the benchmark stands for one value in the document throughout. An
-item counts as leaked in a document when windows on consistent diagonals cover enough of it.
-
-The benchmark's windows are sent to every task if their counted number is within
-SENT_WINDOWS; beyond that the join is an ordinary one. Items shorter than W tokens are one
-window of their own length.
+then fit: one value of the benchmark stands for one value in the document, in FITTING of the
+slots at least. Windows of the lower-cased words as written are joined beside them, so that a
+copy is found whatever its letter case, its line breaks or its share of slots. An item counts
+as leaked in a document when its windows there cover enough of it in one of both forms.
+
+First only hashes are joined: which rows hold any window of the benchmark. Tokens, places and
+slots are worked out again for those rows alone. The benchmark's hashes are sent to every task
+if their counted number is within SENT_WINDOWS; beyond that the join is an ordinary one, of
+longs. Items shorter than W tokens are one window of their own length. Template windows with
+fewer than LITERALS words that are no slots are not keys, as any table of numbers would hold
+them; as written they are.
 
 Defined results: null or empty texts have no windows and leak nothing; an item that repeats
 is reported for each of its ids; repeated rows are reported once for each doc_id and item.
@@ -34,6 +39,7 @@ TOKEN = "[\\p{L}\\p{M}]++|\u0001[^\u0002]*\u0002|[0-9]++(?:[.,][0-9]++)*|[\u0003
 #: Placeholders as they stand in a template: they are tokens that no text can hold.
 IS_NAME, IS_UNIT, IS_NUMBER = "\u0001\u0002", "\u0003", "0"
 SLOTS = [IS_NAME, IS_UNIT, IS_NUMBER]
+FORMS = ["template", "plain"]
 
 
 def _once(**columns) -> list:
@@ -42,84 +48,104 @@ def _once(**columns) -> list:
 
 
 def templates(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """keep, marked (the text with its names marked) and canon (its template tokens; see written() for the tokens as written)."""
+    """keep, marked (the text with its names marked), template (its template tokens) and plain (its lower-cased words as written)."""
     t = F.col(text)
     held = F.contains(t, F.lit("\u0001")) | F.contains(t, F.lit("\u0002")) | F.contains(t, F.lit("\u0003"))
     free = F.when(held, F.translate(t, "\u0001\u0002\u0003", "   ")).otherwise(t)
-    marked = rows.select(*keep, *_once(marked=F.regexp_replace(free, NAME, "\u0001$0\u0002")))
+    marked = rows.select(*keep, *_once(marked=F.regexp_replace(free, NAME, "\u0001$0\u0002"), low=F.lower(free)))
     units = r"(?<=[0-9] ?)(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{M}])"
     named = F.lower(F.when(F.contains("marked", F.lit("\u0001")), F.regexp_replace("marked", "\u0001[^\u0002]*\u0002", IS_NAME)).otherwise(F.col("marked")))
     shape = F.when(F.col("marked").rlike("[0-9]"), F.regexp_replace(F.regexp_replace(named, units, IS_UNIT), NUMBER, IS_NUMBER)).otherwise(named)
-    return marked.select(*keep, "marked", *_once(canon=F.regexp_extract_all(shape, F.lit(TOKEN), F.lit(0))))
+    return marked.select(*keep, "marked", *_once(template=F.regexp_extract_all(shape, F.lit(TOKEN), F.lit(0)), plain=F.regexp_extract_all("low", F.lit(TOKEN), F.lit(0))))
 
 
 def written():
-    """The tokens as written; as many as in canon, so it is worked out only where slots are compared."""
+    """The tokens as written; as many as in template, so it is worked out only where slots are compared."""
     return F.regexp_extract_all("marked", F.lit(TOKEN), F.lit(0))
 
 
-def windows(rows: DataFrame, length: int, keep: list[str]) -> DataFrame:
-    """keep, marked, canon, at and hash: a row for each window of ``length`` template tokens.
+def _hashed(tokens: str, form: int):
+    return F.transform(tokens, lambda x: F.xxhash64(x, F.lit(form)))
+
+
+def windows(rows: DataFrame, lengths: dict[str, list[int]], keep: list[str]) -> DataFrame:
+    """keep and, for each form and length, a column form_length of the hashes of all windows.
 
     Hashes of 1, 2, 4 .. tokens are joined pairwise, so a window costs a few steps, whatever its length.
     """
-    kept = [*keep, "marked", "canon"]
-    pair = lambda a, b, shift, n: F.zip_with(F.slice(a, 1, n), F.slice(b, shift + 1, n), lambda x, y: F.xxhash64(x, y))
-    count = lambda a, less: F.greatest(F.size(a) - less, F.lit(0))
-    rows = rows.select(*kept, *_once(_w=F.transform("canon", lambda x: F.xxhash64(x))))
-    width, whole = 1, 0  # _w holds windows of ``width``, _a (if any) those of ``whole`` tokens
-    left = length
-    while True:
-        if left & 1:
-            if whole:
-                rows = rows.select(*kept, "_w", *_once(_a=pair("_a", "_w", whole, F.least(count("_a", 0), count("_w", whole)))))
-            else:
-                rows = rows.withColumn("_a", F.col("_w"))
-            whole += width
-        left >>= 1
-        if not left:
-            break
-        more = ["_a"] if whole else []
-        rows = rows.select(*kept, *more, *_once(_w=pair("_w", "_w", width, count("_w", width))))
-        width *= 2
-    return rows.select(*kept, F.posexplode("_a").alias("at", "hash"))
+    pair = lambda a, b, shift: F.zip_with(F.slice(a, 1, F.greatest(F.size(b) - shift, F.lit(0))), F.slice(b, shift + 1, F.greatest(F.size(b) - shift, F.lit(0))), lambda x, y: F.xxhash64(x, y))
+    kept = [*keep, *FORMS]
+    for k, form in enumerate(FORMS):
+        own = lengths.get(form, [])
+        if not own:
+            continue
+        width, have = 1, [f"_{form}_1"]
+        rows = rows.select(*kept, *_once(**{f"_{form}_1": _hashed(form, k)}))
+        while 2 * width <= max(own):
+            rows = rows.select(*kept, *have, *_once(**{f"_{form}_{2 * width}": pair(F.col(f"_{form}_{width}"), F.col(f"_{form}_{width}"), width)}))
+            width *= 2
+            have.append(f"_{form}_{width}")
+        made = []
+        for n in own:
+            powers = [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
+            got, whole = F.col(f"_{form}_{powers[0]}"), powers[0]
+            for w in powers[1:]:
+                got, whole = pair(got, F.col(f"_{form}_{w}"), whole), whole + w
+            made.append((f"{form}_{n}", got))
+        rows = rows.select(*kept, *_once(**dict(made)))
+        kept += [c for c, _ in made]
+    return rows
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """row (a hash of doc_id and text), doc_id, item_id, covered (0 to 1), n_slots: the items found in each document."""
-    items = stored(templates(benchmark.where("text is not null"), "text", ["item_id"]).where("size(canon) > 0"))
-    texts = templates(docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text")), "text", ["row", "doc_id"])
-    # at most ``window`` different lengths, whatever the size of the benchmark
-    lengths = sorted(r[0] for r in items.select(F.least(F.size("canon"), F.lit(window))).distinct().collect())
+    items = stored(templates(benchmark.where("text is not null"), "text", ["item_id"]))
+    # at most ``window`` different lengths of each form, whatever the size of the benchmark
+    lengths = {f: sorted(r[0] for r in items.where(F.size(f) > 0).select(F.least(F.size(f), F.lit(window))).distinct().collect()) for f in FORMS}
+    own = windows(items, lengths, ["item_id", "marked"])
+    keys = None
+    for form, n in ((f, n) for f in FORMS for n in lengths[f]):
+        fits = (F.size(form) == n) if n < window else (F.size(form) >= n)
+        one = own.where(fits).select("item_id", "marked", form, F.posexplode(f"{form}_{n}").alias("item_at", "hash"))
+        if form == "template":
+            one = one.where(F.size(F.filter(F.slice(form, F.col("item_at") + 1, n), lambda x: ~x.isin(SLOTS))) >= LITERALS * n)
+        tokens = F.slice(written(), F.col("item_at") + 1, n) if form == "template" else F.slice(form, F.col("item_at") + 1, n)
+        one = one.select("item_id", "hash", "item_at", F.lit(form).alias("form"), F.lit(n).alias("n"), F.size(form).alias("item_size"), F.slice(form, F.col("item_at") + 1, n).alias("item_form"), tokens.alias("item_tokens"))
+        keys = one if keys is None else keys.unionByName(one)
+    if keys is None:
+        return docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id").where("false").join(benchmark.select("item_id").where("false")).withColumns({"covered": F.lit(0.0), "n_slots": F.lit(0).cast("long")})
+    keys = stored(keys)
+    hashes = keys.select("hash").distinct()
+    few = hashes.count() <= SENT_WINDOWS
+
+    rows = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
+    every = [f"{f}_{n}" for f in FORMS for n in lengths[f]]
+    each = windows(templates(rows, "text", ["row"]), lengths, ["row"]).select("row", F.explode(F.concat(*every)).alias("hash"))
+    hit = stored(each.join(F.broadcast(hashes) if few else hashes, "hash", "left_semi").select("row").distinct())  # at most SENT_WINDOWS longs
+    some = hit if hit.count() > SENT_ROWS else F.broadcast(hit)  # at most SENT_ROWS longs
+    texts = windows(templates(rows.join(some, "row", "left_semi"), "text", ["row", "doc_id"]), lengths, ["row", "doc_id", "marked"])
+
     found = None
-    for n in lengths:
-        own = items.where(F.size("canon") == n) if n < window else items.where(F.size("canon") >= n)
-        plain = F.size(F.filter(F.slice("canon", F.col("at") + 1, n), lambda x: ~x.isin(SLOTS)))
-        keys = stored(windows(own, n, ["item_id"]).where(plain >= LITERALS * n).select(
-            "item_id", "hash", F.col("at").alias("item_at"), F.size("canon").alias("item_size"),
-            F.slice(written(), F.col("at") + 1, n).alias("item_tokens"), F.slice("canon", F.col("at") + 1, n).alias("item_canon"),
-        ))
-        if keys.count() <= SENT_WINDOWS:
-            keys = F.broadcast(keys)  # at most SENT_WINDOWS windows
-        met = windows(texts, n, ["row", "doc_id"]).join(keys, "hash").where(F.slice("canon", F.col("at") + 1, n) == F.col("item_canon"))
-        slots = F.filter(
-            F.arrays_zip(F.col("item_canon").alias("kind"), F.col("item_tokens").alias("was"), F.slice(written(), F.col("at") + 1, n).alias("now")),
-            lambda s: s["kind"].isin(SLOTS),
-        )
-        slots = F.when(F.exists("item_canon", lambda x: x.isin(SLOTS)), slots).otherwise(F.filter(F.arrays_zip(F.col("item_canon").alias("kind"), F.col("item_canon").alias("was"), F.col("item_canon").alias("now")), lambda s: F.lit(False)))
-        part = met.select("row", "doc_id", "item_id", "item_at", "item_size", (F.col("at") - F.col("item_at")).alias("diagonal"), F.lit(n).alias("n"), slots.alias("slots"))
+    for form, n in ((f, n) for f in FORMS for n in lengths[f]):
+        mine = keys.where((F.col("form") == form) & (F.col("n") == n)).drop("form", "n")
+        met = texts.select("row", "doc_id", "marked", form, F.posexplode(f"{form}_{n}").alias("at", "hash"))
+        met = met.join(F.broadcast(mine) if few else mine, "hash").where(F.slice(form, F.col("at") + 1, n) == F.col("item_form"))
+        none = F.filter(F.arrays_zip(F.col("item_form").alias("kind"), F.col("item_form").alias("was"), F.col("item_form").alias("now")), lambda s: F.lit(False))
+        if form == "template":
+            slots = F.arrays_zip(F.col("item_form").alias("kind"), F.col("item_tokens").alias("was"), F.slice(written(), F.col("at") + 1, n).alias("now"))
+            none = F.when(F.exists("item_form", lambda x: x.isin(SLOTS)), F.filter(slots, lambda s: s["kind"].isin(SLOTS))).otherwise(none)
+        part = met.select("row", "doc_id", "item_id", "item_at", "item_size", F.lit(form).alias("form"), (F.col("at") - F.col("item_at")).alias("diagonal"), F.lit(n).alias("n"), none.alias("slots"))
         found = part if found is None else found.unionByName(part)
-    if found is None:
-        return docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id").where("false").join(benchmark.select("item_id").where("false")).withColumns({"covered": F.lit(0.0), "n_slots": F.lit(0).cast("long")})
     # every set below is bounded by the length of one benchmark item
-    lines = found.groupBy("row", "doc_id", "item_id", "diagonal").agg(F.collect_set("item_at").alias("places"), F.first("n").alias("n"), F.first("item_size").alias("item_size"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    lines = found.groupBy("row", "doc_id", "item_id", "form", "diagonal").agg(F.collect_set("item_at").alias("places"), F.first("n").alias("n"), F.first("item_size").alias("item_size"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     was = F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["was"])))
     fitting = lines.withColumn("n_was", F.size(was)).where((F.size("slots") == 0) | (F.col("n_was") >= FITTING * F.size("slots")))
     covered = F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("n") - 1)))
     return (
-        fitting.select("row", "doc_id", "item_id", "item_size", "n_was", covered.alias("covered"))
-        .groupBy("row", "doc_id", "item_id").agg(F.first("item_size").alias("item_size"), F.size(F.array_distinct(F.flatten(F.collect_set("covered")))).alias("c"), F.max("n_was").cast("long").alias("n_slots"))
-        .withColumn("covered", F.col("c") / F.col("item_size")).where(F.col("covered") >= coverage).select("row", "doc_id", "item_id", "covered", "n_slots")
+        fitting.select("row", "doc_id", "item_id", "form", "item_size", "n_was", covered.alias("covered"))
+        .groupBy("row", "doc_id", "item_id", "form").agg(F.first("item_size").alias("item_size"), F.size(F.array_distinct(F.flatten(F.collect_set("covered")))).alias("c"), F.max("n_was").cast("long").alias("n_slots"))
+        .withColumn("covered", F.col("c") / F.col("item_size")).where(F.col("covered") >= coverage)
+        .groupBy("row", "doc_id", "item_id").agg(F.max("covered").alias("covered"), F.max("n_slots").alias("n_slots"))
     )
 
 
@@ -129,11 +155,15 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs in which no benchmark item leaks, with all their columns."""
-    found = stored(leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")).select(F.col("row").alias("_row")).distinct())
+    """The rows of docs in which no benchmark item leaks, with all their columns.
+
+    Rows with a null or empty text stay; of repeated rows all stay or go; an empty benchmark or table removes nothing.
+    """
+    found = stored(leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")).select("row").distinct())
     if found.count() <= SENT_ROWS:
         found = F.broadcast(found)  # at most SENT_ROWS longs
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(found, "_row", "left_anti").select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("doc_id", "text").alias("row"))  # columns may carry any name
+    return packed.join(found, "row", "left_anti").select(*(F.col("doc")[c].alias(c) for c in docs.columns))
 
 
 QUERIES = {"op7_decontamination": op7_decontamination}
