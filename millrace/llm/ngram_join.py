@@ -57,25 +57,34 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        got = xxhash.xxh64_intdigest(word)
-        if len(self) < 100_000:
-            self[word] = got
-        return got
-
-
-_WORDS = _Words()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LETTERS = _mix((np.arange(64 * 256, dtype=np.uint64) + np.uint64(1)) * _A)  # by place in the word and byte
+
+
+def words(text: str | None) -> np.ndarray:
+    """A hash of each word, A-Z lower-cased: the sum of what its bytes are worth at their places."""
+    data = _LOWER[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)]
+    solid = ~_BLANK[data]
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    at = np.flatnonzero(solid)
+    if not len(at):
+        return np.empty(0, dtype=np.uint64)
+    firsts = np.flatnonzero(begins[at])
+    place = at - np.repeat(at[firsts], np.diff(np.append(firsts, len(at))))
+    code = place << 8 | data[at]
+    with np.errstate(over="ignore"):
+        worth = _LETTERS[code] if int(place.max()) < 64 else _mix((code.astype(np.uint64) + np.uint64(1)) * _A)
+        return _mix(np.add.reduceat(worth, firsts))
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
     """The text's set, ascending; the whole sequence as one shingle where it has fewer than n words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and blanks are \x20 and \x09-\x0D
-    if not words:
+    h = words(text)
+    if not len(h):
         return np.empty(0, dtype=np.int64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
     size = min(n, len(h))
     with np.errstate(over="ignore"):
         out = np.full(len(h) - size + 1, size, dtype=np.uint64)
@@ -126,8 +135,9 @@ class Rule:
                 one = np.zeros(parts, dtype=np.uint64)
                 np.bitwise_xor.at(one, at, h)
                 got = _mix(one ^ _mix(np.arange(parts, dtype=np.uint64) + np.uint64((k + 1) << 32)))
-                strength = np.bincount(at, weights=weight, minlength=parts)
-                out.append(got[np.lexsort((got, -strength))[:need]])
+                strength = np.bincount(at, weights=weight, minlength=parts).astype(np.uint64)
+                rank = np.minimum(strength, np.uint64(0xFFFF)) << np.uint64(48) | got >> np.uint64(16)
+                out.append(got[np.argpartition(rank, parts - need)[parts - need:]])
         return np.concatenate(out).view(np.int64) if out else np.empty(0, dtype=np.int64)
 
 
@@ -277,18 +287,20 @@ def _tree(sets: list[np.ndarray], sizes: list[int]) -> _Branch:
     return root
 
 
-def _ordered(sets: list[np.ndarray], rule: Rule) -> tuple[list[int], list[np.ndarray]]:
-    """The sets that can have a link here, in the tree's order, each as the ascending places of what it shares with others.
+def _ordered(sets: list[np.ndarray], labels: np.ndarray, rule: Rule) -> tuple[list[int], list[np.ndarray]]:
+    """The sets that can join another part here, in the tree's order, each as the ascending places of what it shares with other parts.
 
     A linked set shares num / den of its shingles with one partner, so it goes if fewer stand in
-    any other set; that may leave others with too few, so it is repeated until none goes.
+    sets of other labels; that may leave others with too few, so it is repeated until none goes.
     """
     size = np.array([len(s) for s in sets])
     kinds, place = np.unique(np.concatenate(sets), return_inverse=True)
     own, left = np.repeat(np.arange(len(sets)), size), np.ones(len(sets), dtype=bool)
     while True:
-        count = np.bincount(place, minlength=len(kinds))
-        both = count[place] > 1
+        low, high = np.full(len(kinds), len(sets)), np.full(len(kinds), -1)
+        np.minimum.at(low, place, labels[own])
+        np.maximum.at(high, place, labels[own])
+        both = (low < high)[place]
         place, own = place[both], own[both]
         stays = left & (np.bincount(own, minlength=len(sets)) * rule.den >= size * rule.num) & (size > 0)
         if (stays == left).all():
@@ -306,16 +318,21 @@ def _ordered(sets: list[np.ndarray], rule: Rule) -> tuple[list[int], list[np.nda
     return order, [ways[i] for i in order]
 
 
-def tree_links(sets: list[np.ndarray], probes: list[int], rule: Rule) -> list[tuple[int, int]]:
-    """Links between probes and all sets that join two parts: enough for the components, never all pairs."""
+def tree_links(sets: list[np.ndarray], probes: list[int], rule: Rule, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links between probes and all sets that join two parts: enough for the components, never all pairs.
+
+    ``known`` gives sets of one part the same number, where links are known already.
+    """
     if len(sets) < 2:
         return []
-    order, ways = _ordered(sets, rule)
+    labels = np.arange(len(sets)) if known is None else np.unique(np.array(known, dtype=np.int64), return_inverse=True)[1]
+    order, ways = _ordered(sets, labels, rule)
     if len(order) < 2:
         return []
     sizes = [len(sets[i]) for i in order]
     root = _tree(ways, sizes)
-    parent = list(range(len(order)))
+    heads: dict[int, int] = {}
+    parent = [heads.setdefault(int(labels[i]), k) for k, i in enumerate(order)]
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -361,21 +378,21 @@ def tree_links(sets: list[np.ndarray], probes: list[int], rule: Rule) -> list[tu
 
 
 def _joined(rows: DataFrame, rule: Rule) -> DataFrame:
-    """left, right: links inside each task; rows hold task, part, probe, role (0 tree, 1 probe, 2 both), node and text."""
+    """left, right: links inside each task; rows hold task, part, probe, role (0 tree, 1 probe, 2 both), node, its root and text."""
 
     def links(group: list) -> pa.RecordBatch | None:
         one = {}
-        for node, role, text in group:  # a node may stand in a task both as tree and as probe
-            one[node] = (max(role, one[node][0]) if node in one else role, text)
+        for node, role, root, text in group:  # a node may stand in a task both as tree and as probe
+            one[node] = (max(role, one[node][0]) if node in one else role, text, root)
         own = sorted(one)
         sets = [shingles(one[k][1], rule.n) for k in own]
-        got = tree_links(sets, [i for i, k in enumerate(own) if one[k][0] > 0], rule)
+        got = tree_links(sets, [i for i, k in enumerate(own) if one[k][0] > 0], rule, [one[k][2] for k in own])
         return pa.RecordBatch.from_arrays([pa.array([own[i] for i, _ in got], pa.int64()), pa.array([own[j] for _, j in got], pa.int64())], names=["left", "right"]) if got else None
 
     def run(batches):
         last, group = None, []
         for b in batches:  # a task's rows stand together; at most two blocks of them are held
-            for key, row in zip(zip(*(b.column(c).to_pylist() for c in ("task", "part", "probe"))), zip(*(b.column(c).to_pylist() for c in ("node", "role", "text"))), strict=True):
+            for key, row in zip(zip(*(b.column(c).to_pylist() for c in ("task", "part", "probe"))), zip(*(b.column(c).to_pylist() for c in ("node", "role", "root", "text"))), strict=True):
                 if key != last:
                     if group and (out := links(group)):
                         yield out
@@ -402,7 +419,7 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
-def _meet(texts: DataFrame, clusters: DataFrame, before: DataFrame | None, rule: Rule, block: int) -> tuple[DataFrame, DataFrame]:
+def _meet(texts: DataFrame, clusters: DataFrame, before: tuple[DataFrame, DataFrame] | None, rule: Rule, block: int) -> tuple[DataFrame, DataFrame]:
     """Links found so far and components, after joining clusters (leader, member; the leader is a member of its own)."""
     large = clusters.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")).where("blocks > 1")
     salts = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -411,8 +428,9 @@ def _meet(texts: DataFrame, clusters: DataFrame, before: DataFrame | None, rule:
     inside = stored(inside.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")))
     everyone = F.sequence(F.lit(0), F.col("blocks") - 1)
     first = inside.withColumn("part", F.explode(F.when(F.col("block") == 0, everyone).otherwise(F.array("block"))))
-    joined = _joined(first.select(F.col("leader").alias("task"), "part", F.lit(0).alias("probe"), F.lit(2).alias("role"), "node").join(texts, "node"), rule)
-    found = stored(joined if before is None else before.unionByName(joined))
+    first = first.select(F.col("leader").alias("task"), "part", F.lit(0).alias("probe"), F.lit(2).alias("role"), "node")
+    joined = _joined(_with_text(first, texts, before and before[1]), rule)
+    found = stored(joined if before is None else before[0].unionByName(joined))
     roots = components(found)
 
     placed = stored(inside.where("blocks > 1").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
@@ -428,10 +446,16 @@ def _meet(texts: DataFrame, clusters: DataFrame, before: DataFrame | None, rule:
         rest.join(many, ["leader", "salt"]).withColumn("probe", F.pmod(F.xxhash64("node", F.lit(6)), F.col("probes")).cast("int"))
         .withColumn("part", F.explode(everyone)).select(F.col("leader").alias("task"), "part", "probe", F.lit(1).alias("role"), "node")
     )
-    found = stored(found.unionByName(_joined(tree.unionByName(ask).join(texts, "node"), rule)))
+    found = stored(found.unionByName(_joined(_with_text(tree.unionByName(ask), texts, roots), rule)))
     return found, components(found)
 
 
+def _with_text(rows: DataFrame, texts: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """rows with the text and the root (itself where it has none) of each node."""
+    root = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return root.join(texts, "node")
+
+
 def linked(docs: DataFrame, n: int, num: int, den: int, block: int = BLOCK, sent_rows: int = SENT_ROWS) -> DataFrame:
     """doc_id, row, n_shingles and component_id for every row of docs (doc_id, text)."""
     rule = Rule(n, num, den)
@@ -465,7 +489,7 @@ def linked(docs: DataFrame, n: int, num: int, den: int, block: int = BLOCK, sent
     left = stored(edges.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(SALTS)).cast("int")).join(salts, ["leader", "salt"], "left_semi").select("leader", "member"))
     if not left.isEmpty():
         heads = left.select("leader").distinct()
-        found, roots = _meet(texts, left.unionByName(heads.select("leader", F.col("leader").alias("member"))), found, rule, block)
+        found, roots = _meet(texts, left.unionByName(heads.select("leader", F.col("leader").alias("member"))), (found, roots), rule, block)
 
     full = known.where("node is not null").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
