@@ -420,8 +420,98 @@ def test_html(spark):
 
 def test_classes_share_vectors(spark):
     rows = [(i, f"http://a.example/{i}", page(i, f"<article><p>Text {i}</p></article>")) for i in range(8)]
-    t = html_extraction.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert t[0]["main"] == "/html/body/article" and any("/nav" in x for x in t[0]["tokens"])
+    rows += [rows[0]] * 2  # repeated rows count as one page
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    t = html_extraction.templates(pages).collect()
+    elements, blocks = html_extraction.read(rows[0][2])
+    assert t[0]["main"] == next(e.path for e in elements if e.name == "article")
+    fixed = {html_extraction._hash(elements[b.element].path, b.text) for b in blocks if b.text in ("Home", "© all")}
+    assert len(fixed) == 2 and fixed <= set(t[0]["tokens"])
+    vectors = {r["token"]: r["vector"] for r in html_extraction.occurrences(pages).where("pages = 8 and count = 8").collect()}
+    assert len(set(vectors.values())) == 1 and len(vectors) > 5
+
+
+def test_repeated_pages_stay_apart(spark):
+    """Two equal pages: their tokens do not cancel, and those of one page only are of another class."""
+    rows = [(1, "http://a.example/1", "<article><p>one</p></article>")] * 2 + [(2, "http://a.example/2", "<article><ul><li>two</ul></article>")]
+    got = html_extraction.occurrences(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len({r["vector"] for r in got}) == 3 and {r["pages"] for r in got} == {1, 2}
+
+
+CASES = [
+    ('<article><p><img alt="5" tall">Lost words here</p>', "Lost words here"),
+    ("<article><p>a <a title=it's href=x>link</a> end", "a link end"),
+    ("<article><p>one <svg><title>x</title></svg> two <script>3</script>four", "one two four"),
+    ("<article><p>x is <math><mi>y</mi><mo>+</mo></math> z<figure><figcaption>Seen here</figcaption></figure>", "x is y+ z\n\nSeen here"),
+    ("<article><header><h1>Title</h1></header><p>Text</p><footer>By us</footer></article><footer>End</footer>", "Title\n\nText"),
+    ('<div class="article-header"><h1>Title</h1></div><div class="site-header">Site</div><div><p>A first text of this page.</div>', "Title\n\nA first text of this page."),
+    ("<head><title>T</title><body><p>Head never closed", "Head never closed"),
+    ("<div>" + "A story in a plain element that is told at some length here. " * 4 + "</div><article><h3>Teaser</h3></article>", ("A story in a plain element that is told at some length here. " * 4).strip() + "\n\nTeaser"),
+    ("<div><p>A lead that stands beside the body of the text.</p><div>" + "<p>Body text of some length stands in here too.</p>" * 9 + "</div></div>", "\n\n".join(["A lead that stands beside the body of the text."] + ["Body text of some length stands in here too."] * 9)),
+    ("<p>a &lt;b&gt; &#x41;&nbsp;c\n\td", "a <b> A c d"),
+]
+
+
+def test_html_cases():
+    for html, want in CASES:
+        assert html_extraction.extract(html) == want, html
+
+
+def test_deep_nesting_takes_a_step_an_element():
+    import time
+
+    began = time.time()
+    assert html_extraction.extract("<div><p>x" * 40_000).count("x") == 40_000
+    assert len(html_extraction.extract("<b>y<p>" * 20_000).split()) == 20_000
+    assert time.time() - began < 20
+
+
+def brute_text(html):
+    """An independent reader for well-formed pages: html.parser, a skip counter, block borders."""
+    from html.parser import HTMLParser
+
+    skip, blocks, line = {"nav", "footer", "aside", "form", "script", "style", "head", "header"}, [], []
+
+    class Reader(HTMLParser):
+        depth = 0
+
+        def handle_starttag(self, tag, attrs):
+            hidden = tag in skip or any(k == "class" and set(v.split()) & {"ad", "sidebar", "comments", "cookie"} for k, v in attrs)
+            if self.depth or hidden:
+                self.depth += tag not in {"br", "meta", "input", "img", "p", "b"}
+            if tag == "br":
+                line.append(" ")
+            if tag not in {"b", "a", "br", "i"}:
+                self.cut()
+
+        def handle_endtag(self, tag):
+            if tag not in {"b", "a", "i"}:
+                self.cut()
+            if self.depth and tag not in {"p", "b"}:
+                self.depth -= 1
+
+        def handle_data(self, data):
+            if not self.depth:
+                line.append(data)
+
+        def cut(self):
+            text = " ".join("".join(line).split())
+            line.clear()
+            if text:
+                blocks.append(text)
+
+    r = Reader()
+    r.feed(html or "")
+    r.close()
+    r.cut()
+    return "\n\n".join(blocks)
+
+
+def test_html_on_pages(spark):
+    pages = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet")
+    want = {r["page_id"]: brute_text(r["html"]) for r in pages.collect()}
+    got = {r["page_id"]: r["text"] for r in html_extraction.extracted(pages).collect()}
+    assert got == want
 
 
 # -- all of them: empty tables -------------------------------------------------------------------
