@@ -42,7 +42,7 @@ def byte_letters() -> list[str]:
 
 
 class Codec:
-    def __init__(self, content: str, keep: int = 250_000):
+    def __init__(self, content: str, keep: int = 200_000):
         import ahocorasick
         import regex
 

@@ -147,14 +147,24 @@ def _digest(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).view(np.int64))
 
 
+def _rows(batch: pa.RecordBatch, *names: str):
+    """A batch's rows, a few at a time: its texts never stand in memory twice."""
+    for at in range(0, batch.num_rows, 256):
+        yield from zip(*(batch.column(c).slice(at, 256).to_pylist() for c in names), strict=True)
+
+
 def nodes(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, row (a hash of doc_id and text), n_shingles, node (a digest of the set; null if empty) of every row."""
 
     def run(batches):
         for b in batches:
-            sets = [shingles(t, rule.n) for t in b.column("text").to_pylist()]
+            sizes, digests = [], []
+            for (t,) in _rows(b, "text"):
+                found = shingles(t, rule.n)
+                sizes.append(len(found))
+                digests.append(_digest(found) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.int64())],
+                [b.column("doc_id"), b.column("row"), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64())],
                 names=["doc_id", "row", "n_shingles", "node"],
             )
 
@@ -166,7 +176,7 @@ def common_shingles(docs: DataFrame, rule: Rule) -> np.ndarray:
 
     def run(batches):
         for b in batches:
-            for t in b.column("text").to_pylist():
+            for (t,) in _rows(b, "text"):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t, rule.n), pa.int64())], names=["shingle"])
 
     found = docs.select("text").distinct().mapInArrow(run, "shingle long").groupBy("shingle").count()
@@ -182,24 +192,31 @@ def common_keys(docs: DataFrame, rule: Rule, common: np.ndarray) -> np.ndarray:
 def keyed(docs: DataFrame, rule: Rule, common: np.ndarray, hot: np.ndarray) -> DataFrame:
     """key, node, salt: a row for each key of each node; a task emits a node once. Keys that many nodes hold get a salt."""
 
+    def put(keys: list, own: list) -> pa.RecordBatch:
+        key, node = np.concatenate(keys), np.concatenate(own)
+        salt = np.zeros(len(key), dtype=np.int32)
+        if len(hot):
+            held = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+            salt[held] = 1 + node[held] % SALTS
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.int64()), pa.array(salt, pa.int32())], names=["key", "node", "salt"])
+
     def run(batches):
         seen: set[int] = set()
+        keys, own, held = [], [], 0
         for b in batches:
-            keys, own = [], []
-            for t in b.column("text").to_pylist():
+            for (t,) in _rows(b, "text"):
                 found = shingles(t, rule.n)
                 if len(found) and (node := _digest(found)) not in seen:
                     seen.add(node)
                     k = rule.keys(found, common)
                     keys.append(k)
                     own.append(np.full(len(k), node))
-            if keys:
-                key, node = np.concatenate(keys), np.concatenate(own)
-                salt = np.zeros(len(key), dtype=np.int32)
-                if len(hot):
-                    held = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
-                    salt[held] = 1 + node[held] % SALTS
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.int64()), pa.array(salt, pa.int32())], names=["key", "node", "salt"])
+                    held += len(k)
+                    if held >= 100_000:
+                        yield put(keys, own)
+                        keys, own, held = [], [], 0
+        if keys:
+            yield put(keys, own)
 
     return docs.select("text").mapInArrow(run, "key long, node long, salt int")
 
@@ -392,7 +409,8 @@ def _joined(rows: DataFrame, rule: Rule) -> DataFrame:
     def run(batches):
         last, group = None, []
         for b in batches:  # a task's rows stand together; at most two blocks of them are held
-            for key, row in zip(zip(*(b.column(c).to_pylist() for c in ("task", "part", "probe"))), zip(*(b.column(c).to_pylist() for c in ("node", "role", "root", "text"))), strict=True):
+            for task, part, probe, *row in _rows(b, "task", "part", "probe", "node", "role", "root", "text"):
+                key = task, part, probe
                 if key != last:
                     if group and (out := links(group)):
                         yield out
