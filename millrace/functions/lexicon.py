@@ -78,4 +78,4 @@ PROSE = Lexicon(
 )
 
 #: Fields of a record whose text is analysed, in order.
-RECORD_FIELDS = ("source_text", "accident_trajectory", "casualty_result", "vehicle_type", "location", "road_type")
+RECORD_FIELDS = ("source_text", "accident_trajectory", "vehicle_type", "location", "road_type", "weather_or_environment")

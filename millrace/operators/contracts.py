@@ -12,6 +12,9 @@ BLUEPRINTS = [("truck", ("트럭", "화물")), ("bus", ("버스",)), ("suv", ("s
 TOPOLOGIES = ["rear_end", "intersection_crossing_turning", "lane_change_side_swipe", "head_on_centerline_intrusion"]
 MUTABLE, IMMUTABLE, REVIEW = "mutable", "immutable", "review"
 LATE = 10**12
+#: Default speeds in metres a second, and the texts of review issues.
+EGO_SPEED, OTHER_SPEED = 8.0, 3.0
+ISSUES = {"claim": "collision is grounded only in a party claim", "tier": "Tier C cannot be promoted automatically", "actors": "contract requires at least two vehicle actors", "collision": "grounded collision agent/target is missing"}
 
 
 def any_of(text: Column, words) -> Column:
@@ -42,7 +45,7 @@ def actors(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """nodes with role (ego, target, other) by the first collision edge, blueprint and default speed."""
     m = nodes.join(first_edge(edges, key), key, "left")
     role = F.when(F.col("node_id") == F.col("agent"), "ego").when(F.col("node_id") == F.col("other"), "target").otherwise("other")
-    return m.select(key, "node_id", "label", role.alias("role"), blueprint(F.col("label")).alias("blueprint"), F.when(role == "ego", 50.0).otherwise(30.0).alias("speed_kph"))
+    return m.select(key, "node_id", "label", role.alias("role"), blueprint(F.col("label")).alias("blueprint"), F.when(role == "ego", EGO_SPEED).otherwise(OTHER_SPEED).alias("speed_mps"))
 
 
 def event_sequence(events: DataFrame, key: str) -> DataFrame:
@@ -55,8 +58,8 @@ def event_sequence(events: DataFrame, key: str) -> DataFrame:
 def status(graphs: DataFrame) -> DataFrame:
     """graphs (notes, party_claim, tier, actor_count, has_collision) with review issues and status; 'ready' is never given here."""
     issues = F.array_distinct(F.concat("notes", F.array_compact(F.array(
-        F.when(F.col("party_claim"), F.lit("collision is grounded only in a party claim")), F.when(F.col("tier").startswith("C"), F.lit("tier C needs re-extraction")),
-        F.when(F.col("actor_count") < 2, F.lit("fewer than two actors")), F.when(~F.col("has_collision"), F.lit("no collision event")),
+        F.when(F.col("party_claim"), F.lit(ISSUES["claim"])), F.when(F.col("tier").startswith("C"), F.lit(ISSUES["tier"])),
+        F.when(F.col("actor_count") < 2, F.lit(ISSUES["actors"])), F.when(~F.col("has_collision"), F.lit(ISSUES["collision"])),
     ))))
     return graphs.withColumn("review_issues", issues).withColumn("status", F.when(F.col("actor_count") < 2, "blocked").when(F.size("review_issues") > 0, "needs_review").otherwise("needs_defaults"))
 
@@ -77,18 +80,21 @@ def mutability(provenance: Column) -> Column:
 def guarded_patch(fields: DataFrame, instructions: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """Patched fields and one outcome for each instruction.
 
-    Instructions stand in order ``ord``; immutable and unreviewed paths are rejected; paths that
-    are no value are noted as invalid and use up nothing; at most ``most`` are accepted.
+    Instructions stand in order ``ord``. Unknown paths and those that are not mutable are
+    rejected; mutable paths that hold no value are invalid; neither uses up anything. At most
+    ``most`` are accepted: the next instruction reaches the limit and later ones are not judged.
     """
     seen = instructions.join(fields.select("scenario", "path", F.col("provenance").alias("_p"), F.col("has_value").alias("_v")), ["scenario", "path"], "left")
-    kind = F.when(F.col("_p").isNull() | ~F.col("_v"), "invalid repair path").when(mutability(F.col("_p")) != MUTABLE, "rejected")
-    open_ = F.when(kind.isNull(), 1).otherwise(0)
-    w = Window.partitionBy("scenario").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    judged = seen.withColumn("_k", kind).withColumn("_n", F.sum(open_).over(w))
-    outcome = judged.select("scenario", "ord", "path", "value", F.coalesce("_k", F.when(F.col("_n") <= most, "accepted").otherwise("limit reached")).alias("outcome"))
-    last = outcome.where("outcome = 'accepted'").groupBy("scenario", "path").agg(F.max_by("value", "ord").alias("_new"))
+    kind = F.when(F.coalesce(mutability(F.col("_p")) != MUTABLE, F.lit(True)), "rejected").when(~F.coalesce("_v", F.lit(False)), "invalid repair path").otherwise("accepted")
+    w = Window.partitionBy("scenario").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    judged = seen.withColumn("_k", kind).withColumn("_n", F.coalesce(F.sum((F.col("_k") == "accepted").cast("int")).over(w), F.lit(0)))
+    past = judged.withColumn("_past", (F.col("_n") >= most).cast("int"))
+    late = past.withColumn("_late", F.coalesce(F.sum("_past").over(w), F.lit(0)))
+    outcome = late.select("scenario", "ord", "path", "value", F.when(F.col("_past") == 0, F.col("_k")).when(F.col("_late") == 0, "limit reached").otherwise("not judged").alias("outcome"))
+    last = outcome.where("outcome = 'accepted'").groupBy("scenario", "path").agg(F.max_by(F.struct("value"), "ord").alias("_new"))
     m = fields.join(last, ["scenario", "path"], "left")
-    patched = m.withColumn("value", F.coalesce("_new", "value")).withColumn("provenance", F.when(F.col("_new").isNotNull(), "defaulted").otherwise(F.col("provenance"))).drop("_new")
+    new = F.col("_new").isNotNull()  # an accepted value may be null
+    patched = m.withColumn("value", F.when(new, F.col("_new.value")).otherwise(F.col("value"))).withColumn("provenance", F.when(new, "defaulted").otherwise(F.col("provenance"))).drop("_new")
     return patched, outcome
 
 

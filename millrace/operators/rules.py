@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.lexicon import KOREAN, Lexicon
+from millrace.functions.lexicon import KOREAN, RECORD_FIELDS, Lexicon
 
 ACCEPT, REJECT, AMBIGUOUS = "car_to_car", "not_car_to_car", "ambiguous"
 EMPTY_SCORE, MOST_MENTIONS = -5, 8
@@ -24,6 +24,11 @@ def analysis_text(*fields: Column) -> Column:
     return F.trim(F.regexp_replace(joined, r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x1c-\x1f]+", " "))
 
 
+def record_text(parsed: str = "parsed") -> Column:
+    """The analysis text of a record: its source text, then the fields of its struct ``parsed``."""
+    return analysis_text(F.col(RECORD_FIELDS[0]), *(F.col(f"{parsed}.{f}") for f in RECORD_FIELDS[1:]))
+
+
 def keyword_hits(text: Column, words: tuple[str, ...]) -> Column:
     """The distinct words that occur, in list order."""
     return F.filter(F.array(*map(F.lit, words)), lambda k: F.contains(text, k))

@@ -21,7 +21,9 @@ class Terms:
     maneuvers: tuple[tuple[str, str], ...]
     statuses: tuple[tuple[str, tuple[str, ...]], ...]
     driver: str
-    instrument: str = r"(?:으로|로)"
+    gate: str = "운전"
+    roles: tuple[str, ...] = ("피고", "원고", "자신의")
+    instrument: str = r"(?:으로|로)(?:\s|,|$)"
     object: str = r"(?:을|를)(?:\s|,|$)"
     subject: str = r"(?:이|가)(?:\s|,)"
     reach: int = 35
@@ -42,16 +44,29 @@ KOREAN = Terms(
     statuses=(
         ("party_claim", ("주장", "항소이유", "원고는", "피고는")), ("accepted_fact", ("인정사실", "범죄사실", "공소사실", "인정된다")), ("court_reasoning", ("판단", "살피건대", "법원은", "보건대")),
     ),
-    driver=r"([가-힣A-Za-z0-9·-]{1,20})가\s+운전하던",
+    driver=r"(피고인|피해자(?:\s+[A-Z가-힣0-9]+)?|원고(?:\s+[A-Z가-힣0-9]+)?)",
 )
 
 
+def _once(**columns: Column) -> Column:
+    """Columns worked out once for each row, however often they are used."""
+    return F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))).alias(*columns)
+
+
+def _placed(df: DataFrame, keys: list[str], text: str, pattern: str) -> DataFrame:
+    """keys, text, found: the matches of each row with their places, summed up within the row; nothing is shuffled."""
+    t = F.col(text)
+    cut = df.select(*keys, text, _once(_gaps=F.split(t, pattern, -1), _found=F.regexp_extract_all(t, F.lit(pattern), F.lit(0))))
+    steps = F.zip_with(F.slice("_gaps", 1, F.size("_found")), "_found", lambda p, m: F.length(p) + F.length(m))
+    start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("at"))
+    ends = F.aggregate(steps, start, lambda a, n: F.struct(F.array_append(a["ends"], a["at"] + n).alias("ends"), (a["at"] + n).alias("at")), lambda a: a["ends"])
+    place = lambda m, e: F.struct((e - F.length(m)).cast("long").alias("start"), e.cast("long").alias("end"), m.alias("match"))
+    return cut.select(*keys, text, F.zip_with("_found", ends, place).alias("found"))
+
+
 def occurrences(df: DataFrame, keys: list[str], text: str, pattern: str) -> DataFrame:
     """keys, start, end, match: every leftmost, non-overlapping match with its place; texts without one take no part."""
-    found = df.where(F.col(text).rlike(pattern)).select(*keys, F.posexplode(F.zip_with(F.split(F.col(text), pattern, -1), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("match")))))
-    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    ended = found.where(F.col("col.match").isNotNull()).withColumn("end", F.sum(F.col("col.gap") + F.length("col.match")).over(w))
-    return ended.select(*keys, (F.col("end") - F.length("col.match")).alias("start"), "end", F.col("col.match").alias("match"))
+    return _placed(df.where(F.col(text).isNotNull()), keys, text, pattern).select(*keys, F.inline("found"))
 
 
 _BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x1c-\x1f]"
@@ -59,13 +74,16 @@ _BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{20
 
 def sentences(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, start, end, quote: sentences (lines cut after . ! ? 。), stripped; the whole text where there is none."""
-    raw = occurrences(df, keys, text, r"[^.!?。\n]+[.!?。]?")
-    lead = F.length(F.regexp_extract("match", f"^{_BLANK}*", 0))
-    bare = F.regexp_replace("match", f"^{_BLANK}+|{_BLANK}+$", "")
-    spans = raw.select(*keys, (F.col("start") + lead).alias("start"), bare.alias("quote")).where("quote <> ''")
-    spans = spans.select(*keys, "start", (F.col("start") + F.length("quote")).alias("end"), "quote")
-    none = df.select(*keys, F.col(text).alias("quote")).join(spans.select(*keys).distinct(), keys, "left_anti").where(F.col("quote").isNotNull())
-    return spans.unionByName(none.select(*keys, F.lit(0).cast("long").alias("start"), F.length("quote").cast("long").alias("end"), "quote"))
+    raw = _placed(df.where(F.col(text).isNotNull()), keys, text, r"[^.!?。\n]+[.!?。]?")
+
+    def bare(m):
+        lead = F.length(F.regexp_extract(m["match"], f"^{_BLANK}*", 0))
+        return F.struct((m["start"] + lead).alias("start"), F.regexp_replace(m["match"], f"^{_BLANK}+|{_BLANK}+$", "").alias("quote"))
+
+    kept = raw.select(*keys, text, _once(_kept=F.filter(F.transform("found", bare), lambda s: s["quote"] != "")))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col(text).alias("quote")))
+    each = kept.select(*keys, F.inline(F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(whole)))
+    return each.select(*keys, "start", (F.col("start") + F.length("quote")).alias("end"), "quote")
 
 
 def legal_status(quote: Column, terms: Terms) -> Column:
@@ -79,7 +97,7 @@ def legal_status(quote: Column, terms: Terms) -> Column:
 
 def mentions(text: Column, terms: Terms) -> Column:
     """Distinct mentions in first-seen order, without those that are part of another."""
-    every = F.array_distinct(F.concat(*(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m: F.trim(F.regexp_replace(m, r"\s+", " "))) for p in terms.mentions)))
+    every = F.array_distinct(F.concat(*(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m: F.btrim(m, F.lit(" \t\n\r\f\u000b"))) for p in terms.mentions)))
     return F.element_at(F.transform(F.array(every), lambda all_: F.filter(all_, lambda m: ~F.exists(all_, lambda o: (o != m) & F.contains(o, m)))), 1)
 
 
@@ -117,8 +135,7 @@ def roles(found: DataFrame, nodes: DataFrame, key: str, terms: Terms) -> DataFra
     placed = each.withColumn("stop", F.sum(F.length("gap") + F.length("label")).over(w)).withColumn("begin", F.col("stop") - F.length("label")).where(F.col("begin") < F.col("verb"))
     after = F.col("quote").substr((F.col("stop") + 1).cast("int"), (F.col("verb") - F.col("stop")).cast("int"))
     near = lambda p: after.rlike(f"^(?s:.{{0,{terms.reach}}}?){p}")
-    tail = F.col("quote").substr((F.col("stop") + 1).cast("int"), F.length("quote"))
-    marked = placed.select(key, "clause", "node_id", "begin", near(terms.object).alias("is_object"), near(terms.instrument).alias("is_instrument"), tail.rlike(terms.subject).alias("has_subject"))
+    marked = placed.select(key, "clause", "node_id", "begin", near(terms.object).alias("is_object"), near(terms.instrument).alias("is_instrument"), after.rlike(terms.subject).alias("has_subject"))
     got = marked.groupBy(key, "clause").agg(
         F.count_distinct("node_id").alias("entities"), F.max_by("node_id", F.when(F.col("is_object"), F.col("begin"))).alias("target"), F.max_by("node_id", F.when(F.col("is_instrument"), F.col("begin"))).alias("agent"),
         F.min_by("node_id", "begin").alias("first"), F.min_by("has_subject", "begin").alias("subject"),
@@ -145,15 +162,15 @@ def span_entities(spans: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
 
 
 def drivers(spans: DataFrame, nodes: DataFrame, key: str, terms: Terms) -> DataFrame:
-    """key, start, driver, vehicle: sentences with one named driver and exactly one vehicle."""
-    own = span_entities(spans, nodes, key).withColumn("driver", F.regexp_extract("quote", terms.driver, 1))
+    """key, start, driver, vehicle: sentences that speak of driving, name a person and exactly one vehicle."""
+    own = span_entities(spans.where(F.contains("quote", F.lit(terms.gate))), nodes, key).withColumn("driver", F.regexp_extract("quote", terms.driver, 1))
     return own.where((F.col("driver") != "") & (F.size("entities") == 1)).select(key, "start", "driver", F.col("entities")[0]["node_id"].alias("vehicle"))
 
 
 def same_as(spans: DataFrame, nodes: DataFrame, key: str, terms: Terms) -> DataFrame:
-    """key, start, role, model: sentences with exactly two vehicles, one named by role and one by model."""
-    own = span_entities(spans, nodes, key).where(F.size("entities") == 2)
-    role = lambda e: e["label"].rlike(terms.mentions[0])
+    """key, start, role, model: sentences that speak of driving with exactly two vehicles, one named by role and one by model."""
+    own = span_entities(spans.where(F.contains("quote", F.lit(terms.gate))), nodes, key).where(F.size("entities") == 2)
+    role = lambda e: F.exists(F.array(*map(F.lit, terms.roles)), lambda w: F.contains(e["label"], w))
     one = F.filter("entities", lambda e: role(e))
     other = F.filter("entities", lambda e: ~role(e))
     return own.where((F.size(one) == 1) & (F.size(other) == 1)).select(key, "start", one[0]["node_id"].alias("role"), other[0]["node_id"].alias("model"))
@@ -169,7 +186,7 @@ def unresolved(docs: DataFrame, nodes: DataFrame, edges: DataFrame, key: str) ->
     n = nodes.groupBy(key).agg(F.count("*").alias("_n"))
     e = edges.groupBy(key).agg(F.count("*").alias("_e"))
     m = docs.select(key).join(n, key, "left").join(e, key, "left")
-    return m.select(key, F.array_compact(F.array(F.when(F.coalesce("_n", F.lit(0)) < 2, F.lit("vehicle_entities")), F.when(F.coalesce("_e", F.lit(0)) == 0, F.lit("collision_agent")))).alias("critical_unresolved"))
+    return m.select(key, F.array_compact(F.array(F.when(F.coalesce("_n", F.lit(0)) < 2, F.lit("two_vehicle_entities")), F.when(F.coalesce("_e", F.lit(0)) == 0, F.lit("collision_agent")), F.when(F.coalesce("_e", F.lit(0)) == 0, F.lit("collision_target")))).alias("critical_unresolved"))
 
 
 def resolved(docs: DataFrame, answers: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:

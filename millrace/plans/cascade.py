@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions.lexicon import PROSE, Lexicon
+from millrace.functions.lexicon import KOREAN, PROSE, Lexicon
 from millrace.operators import funnel, rules, verdicts
-from millrace.plans.base import read, registry
+from millrace.plans.base import read, registry, spread
 
 query, QUERIES, SQL = registry()
 
@@ -29,11 +29,13 @@ def _patterns(found: dict) -> str:
     return "list_filter([" + ", ".join(f"case when regexp_matches(t, {_q(p)}) then {_q(n)} end" for n, p in found.items()) + "], lambda x: x is not null)"
 
 
-RULES_SQL = f"""
-with base as (select doc_id, source, lang, text as t from documents),
-h as (select *, {_patterns(PROSE.roles)} as roles, {_patterns(PROSE.pairs)} as pairs, {_patterns(PROSE.events)} as events,
-  {' + '.join(f"(length(t) - length(replace(t, {_q(w)}, ''))) // {len(w)}" for w in PROSE.vehicle)} as m,
-  {', '.join(f"{_hits(getattr(PROSE, n))} as {n}" for n in Lexicon.LISTS)} from base),
+def rules_sql(lexicon: Lexicon, base: str) -> str:
+    """r: the rows of base (with their text as t) with every hit, the score and the label, from the lists of a lexicon."""
+    return f"""
+with base as ({base}),
+h as (select *, {_patterns(lexicon.roles)} as roles, {_patterns(lexicon.pairs)} as pairs, {_patterns(lexicon.events)} as events,
+  {' + '.join(f"(length(t) - length(replace(t, {_q(w)}, ''))) // {len(w)}" for w in lexicon.vehicle)} as m,
+  {', '.join(f"{_hits(getattr(lexicon, n))} as {n}" for n in Lexicon.LISTS)} from base),
 n as (select *, greatest(len(roles), least(m, 8)) as v, len(machinery) + len(work_context) as w, len(facility) + len(person) + len(two_wheeler) + len(machinery) + len(work_context) as neg,
   list_contains(events, 'vehicle_to_vehicle_collision_pattern') as v2v, list_contains(events, 'vehicle_to_person_pattern') as v2p,
   list_contains(events, 'vehicle_to_facility_pattern') as v2f, list_contains(events, 'work_accident_pattern') as wa from h),
@@ -47,8 +49,46 @@ r as (select *, case when coalesce(t, '') = '' then -5 else 2 * v + 3 * len(coll
 """
 
 
+RULES_SQL = rules_sql(PROSE, "select doc_id, source, lang, text as t from documents")
+
+
 def ruled(spark, sf, *keep):
-    return rules.classified(read(spark, sf, "documents").select("doc_id", "text", *keep), "text", PROSE)
+    return rules.classified(spread(read(spark, sf, "documents").select("doc_id", "text", *keep), "doc_id"), "text", PROSE)
+
+
+#: Korean phrases by column, so that every order tells an accident: who, where, what was hit, in which matter.
+PHRASES = {
+    "o_orderpriority": ("1-URGENT", "원고 차량이 직진하던 중 ", "2-HIGH", "피고 차량이 후진하다가 ", "3-MEDIUM", "피고인의 승용차가 교차로에서 ", "4-NOT SPECIFIED", "화물차로 현장에서 하역 작업을 하다가 ", "매매 계약에 따른 대금에 관하여 "),
+    "o_orderstatus": ("O", "상대 차량을 추돌하였다. ", "F", "피고 차량과 접촉하는 사고가 났다. ", "보행자를 충격하였다. "),
+    "k": (0, "가드레일이 부서졌다.", 1, "오토바이가 넘어졌다.", 2, "지게차가 있었다.", 3, "보험금을 지급하였다.", "피해자의 버스가 정차하였다."),
+}
+KOREAN_SQL = "select o_orderkey as doc_id, " + " || ".join(
+    f"case {'o_custkey % 7' if c == 'k' else c} " + " ".join(f"when {v!r} then {t!r}" for v, t in zip(p[:-1:2], p[1:-1:2], strict=True)) + f" else {p[-1]!r} end" for c, p in PHRASES.items()
+) + " as t from orders"
+
+
+def korean_texts(spark, sf):
+    o = read(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", (F.col("o_custkey") % 7).alias("k"))
+
+    def phrase(c, p):
+        out = F
+        for v, t in zip(p[:-1:2], p[1:-1:2], strict=True):
+            out = out.when(F.col(c) == v, t)
+        return out.otherwise(p[-1])
+
+    return o.select(F.col("o_orderkey").alias("doc_id"), F.concat(*(phrase(c, p) for c, p in PHRASES.items())).alias("text"))
+
+
+@query("korean_rule_classify", rules_sql(KOREAN, KOREAN_SQL) + """select doc_id, label, cast(score as int) as score, cast(v as int) as vehicle_mentions, array_to_string(list_sort(list_distinct(roles || collision || accident)), '|') as positive,
+ array_to_string(list_sort(list_distinct(facility || person || two_wheeler || machinery || work_context || non_traffic)), '|') as negative, array_to_string(events || pairs, '|') as patterns from r""")
+def korean_rule_classify(spark, sf):
+    r = rules.classified(korean_texts(spark, sf), "text", KOREAN).select("doc_id", "rule.*")
+    return r.select("doc_id", "label", "score", "vehicle_mentions", F.array_join("matched_positive_keywords", "|").alias("positive"), F.array_join("matched_negative_keywords", "|").alias("negative"), F.array_join("matched_patterns", "|").alias("patterns"))
+
+
+@query("korean_rule_funnel", rules_sql(KOREAN, KOREAN_SQL) + "select label as stage, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 3) as percent from r group by label")
+def korean_rule_funnel(spark, sf):
+    return funnel.stage_table(rules.classified(korean_texts(spark, sf), "text", KOREAN).select(F.col("rule.label").alias("label")), "label")
 
 
 @query("rule_cascade_funnel", RULES_SQL + "select label as stage, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 3) as percent from r group by label")

@@ -10,11 +10,12 @@ from millrace.plans.base import read, registry
 query, QUERIES, SQL = registry()
 
 # -- field tables: parts are scenarios, their columns are fields ---------------------------------
-FIELDS_SQL = """with f as (select p_partkey as scenario, path, value, case when path = 'brand' then 'observed' when path = 'size' then 'defaulted' when path = 'price' then 'inferred' else 'unknown' end as provenance, path <> 'type' as has_value
+FIELDS_SQL = """with f as (select p_partkey as scenario, path, value, case when path = 'brand' then 'observed' when path = 'size' then 'defaulted' when path in ('price', 'type') then 'inferred' else 'unknown' end as provenance, path <> 'type' as has_value
  from (select p_partkey, p_brand as brand, cast(p_size as varchar) as size, cast(cast(floor(p_retailprice) as bigint) as varchar) as price, p_type as type from part) unpivot (value for path in (brand, size, price, type))),
 i as (select p_partkey as scenario, k as ord, case (p_partkey + k) % 5 when 0 then 'brand' when 1 then 'size' when 2 then 'price' when 3 then 'type' else 'nowhere' end as path, 'v' || k as value from part, range(4) r(k)),
-j as (select i.*, f.provenance, case when f.path is null or not has_value then 'invalid repair path' when provenance not in ('inferred', 'defaulted') then 'rejected' end as bad from i left join f using (scenario, path)),
-o as (select *, coalesce(bad, case when sum(case when bad is null then 1 else 0 end) over (partition by scenario order by ord) <= 2 then 'accepted' else 'limit reached' end) as outcome from j),
+j as (select i.*, f.provenance, case when f.path is null or provenance not in ('inferred', 'defaulted') then 'rejected' when not has_value then 'invalid repair path' end as bad from i left join f using (scenario, path)),
+b as (select *, coalesce(sum(case when bad is null then 1 else 0 end) over (partition by scenario order by ord rows between unbounded preceding and 1 preceding), 0) as used from j),
+o as (select *, case when used >= 2 then case when row_number() over (partition by scenario, used >= 2 order by ord) = 1 then 'limit reached' else 'not judged' end else coalesce(bad, 'accepted') end as outcome from b),
 l as (select scenario, path, arg_max(value, ord) as new from o where outcome = 'accepted' group by all)
 """
 
@@ -30,7 +31,7 @@ LINES_SQL = "(select l_orderkey, l_linenumber, min(l_partkey) as l_partkey, min(
 def fields(spark, sf):
     p = read(spark, sf, "part").select(F.col("p_partkey").alias("scenario"), F.col("p_brand").alias("brand"), F.col("p_size").cast("string").alias("size"), F.floor("p_retailprice").cast("string").alias("price"), F.col("p_type").alias("type"))
     f = p.unpivot(["scenario"], ["brand", "size", "price", "type"], "path", "value")
-    source = F.when(F.col("path") == "brand", "observed").when(F.col("path") == "size", "defaulted").when(F.col("path") == "price", "inferred").otherwise("unknown")
+    source = F.when(F.col("path") == "brand", "observed").when(F.col("path") == "size", "defaulted").when(F.col("path").isin("price", "type"), "inferred").otherwise("unknown")
     return f.withColumn("provenance", source).withColumn("has_value", F.col("path") != "type")
 
 
@@ -77,13 +78,13 @@ def map_archetypes(spark, sf):
     return read(spark, sf, "documents").select("doc_id", kind.alias("archetype"), place.alias("map"))
 
 
-@query("contract_actors", "with n as (select o_orderkey as g, l_linenumber as k, 'vehicle_' || l_linenumber as node_id, l_returnflag as label, l_suppkey from orders join " + LINES_SQL + " on o_orderkey = l_orderkey), e as (select g, arg_min(l_suppkey % 3 + 1, k) as a, arg_min(l_suppkey % 4 + 1, k) as b from n where l_suppkey % 2 = 0 group by g) select n.g, node_id, case when k = a then 'ego' when k = b then 'target' else 'other' end as role, case when k = a then 50.0::double else 30.0::double end as speed_kph from n left join e using (g)")
+@query("contract_actors", "with n as (select o_orderkey as g, l_linenumber as k, 'vehicle_' || l_linenumber as node_id, l_returnflag as label, l_suppkey from orders join " + LINES_SQL + " on o_orderkey = l_orderkey), e as (select g, arg_min(l_suppkey % 3 + 1, k) as a, arg_min(l_suppkey % 4 + 1, k) as b from n where l_suppkey % 2 = 0 group by g) select n.g, node_id, case when k = a then 'ego' when k = b then 'target' else 'other' end as role, case when k = a then 8.0::double else 3.0::double end as speed_mps from n left join e using (g)")
 def contract_actors(spark, sf):
     li = lines(spark, sf).select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").alias("k"), F.col("l_returnflag").alias("label"), "l_suppkey")
     li = li.join(read(spark, sf, "orders").select(F.col("o_orderkey").alias("g")), "g")
     node = lambda n: F.concat(F.lit("vehicle_"), n.cast("string"))
     edges = li.select("g", F.col("k").alias("edge_ord"), node(F.col("l_suppkey") % 3 + 1).alias("source"), node(F.col("l_suppkey") % 4 + 1).alias("target"), (F.col("l_suppkey") % 2 == 0).alias("supported"))
-    return contracts.actors(li.select("g", node(F.col("k")).alias("node_id"), "label"), edges, "g").select("g", "node_id", "role", "speed_kph")
+    return contracts.actors(li.select("g", node(F.col("k")).alias("node_id"), "label"), edges, "g").select("g", "node_id", "role", "speed_mps")
 
 
 @query("event_sequence", """with e as (select user_id, event_id, event_type as kind, case when event_id % 5 <> 0 then event_id % 50 end as s from events), h as (select distinct user_id from e where kind = 'error') select user_id, event_id, cast(row_number() over (partition by user_id order by coalesce(s, 1000000000000), 'ev' || event_id) as int) as "order" from e where user_id in (select user_id from h)""")
@@ -92,12 +93,12 @@ def event_sequence(spark, sf):
     return contracts.event_sequence(e.withColumn("number", F.col("event_id")).withColumn("event_id", F.concat(F.lit("ev"), F.col("event_id").cast("string"))), "user_id").select("user_id", F.col("number").alias("event_id"), "order")
 
 
-@query("contract_status", """with g as (select c_custkey, case when c_custkey % 6 = 0 then ['fewer than two actors', 'note'] else [] end as notes, c_acctbal < 0 as claim, c_mktsegment = 'BUILDING' as c, c_custkey % 5 as actors, c_nationkey > 2 as hit from customer),
- i as (select *, list_filter(notes || [case when claim then 'claim' end, case when c then 'c' end, case when actors < 2 then 'fewer than two actors' end, case when not hit then 'hit' end], lambda x: x is not null) as all_ from g)
+@query("contract_status", """with g as (select c_custkey, case when c_custkey % 6 = 0 then ['contract requires at least two vehicle actors', 'note'] else [] end as notes, c_acctbal < 0 as claim, c_mktsegment = 'BUILDING' as c, c_custkey % 5 as actors, c_nationkey > 2 as hit from customer),
+ i as (select *, list_filter(notes || [case when claim then 'claim' end, case when c then 'c' end, case when actors < 2 then 'contract requires at least two vehicle actors' end, case when not hit then 'hit' end], lambda x: x is not null) as all_ from g)
  select c_custkey, case when actors < 2 then 'blocked' when len(all_) > 0 then 'needs_review' else 'needs_defaults' end as status, len(list_distinct(all_)) as issues from i""")
 def contract_status(spark, sf):
     k = F.col("c_custkey")
-    g = read(spark, sf, "customer").select("c_custkey", F.when(k % 6 == 0, F.array(F.lit("fewer than two actors"), F.lit("note"))).otherwise(F.array().cast("array<string>")).alias("notes"), (F.col("c_acctbal") < 0).alias("party_claim"), F.when(F.col("c_mktsegment") == "BUILDING", "C_reextract_or_review").otherwise("A_minimum_grounded").alias("tier"), (k % 5).alias("actor_count"), (F.col("c_nationkey") > 2).alias("has_collision"))
+    g = read(spark, sf, "customer").select("c_custkey", F.when(k % 6 == 0, F.array(F.lit("contract requires at least two vehicle actors"), F.lit("note"))).otherwise(F.array().cast("array<string>")).alias("notes"), (F.col("c_acctbal") < 0).alias("party_claim"), F.when(F.col("c_mktsegment") == "BUILDING", "C_reextract_or_review").otherwise("A_minimum_grounded").alias("tier"), (k % 5).alias("actor_count"), (F.col("c_nationkey") > 2).alias("has_collision"))
     return contracts.status(g).select("c_custkey", "status", F.size("review_issues").cast("long").alias("issues"))
 
 
@@ -268,9 +269,9 @@ def leakage_values(spark, sf):
     return assurance.leakage(flat, "doc_id", {"license": "Licensed under", "key": "(?i)api_key", "access": "AKIA[A-Z0-9]+"}).groupBy("doc_id").agg(F.count("*").alias("hits"))
 
 
-@query("leakage_keys", "select event_id, '$.k' as path from events where event_id % 5 = 0")
+@query("leakage_keys", "select event_id, '$.k' as path from events where json_exists(props, '$.k')")
 def leakage_keys(spark, sf):
-    e = read(spark, sf, "events").where("event_id % 5 = 0").select("event_id", "props")
+    e = read(spark, sf, "events").select("event_id", "props")
     return assurance.leakage(assurance.flattened(e, "event_id", "props"), "event_id", keys=["k"]).select("event_id", "path")
 
 

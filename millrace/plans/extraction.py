@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import spans
-from millrace.plans.base import read, registry
+from millrace.plans.base import read, registry, spread
 
 query, QUERIES, SQL = registry()
 
@@ -14,18 +14,13 @@ PROSE = spans.Terms(
     collisions=("tion", "keit", "ment"),
     maneuvers=(("stop", " and the "), ("turn", "ation"), ("merge", " der ")),
     statuses=(("party_claim", ("idiot", "Licensed")), ("accepted_fact", ("tion ", "lich ")), ("court_reasoning", ("que", "and"))),
-    driver=r"([A-Za-z]{1,20}) of ",
-    instrument="(?:en|er)", object=r"(?:e|n)(?:\s|,|$)", subject=r"(?:o|a)(?:\s|,)",
+    gate=" of ", driver=r"([A-Za-z]{1,20}) of ", roles=("the ", "der ", "The ", "Der "),
+    instrument=r"(?:en|er)(?:\s|,|$)", object=r"(?:e|n)(?:\s|,|$)", subject=r"(?:o|a)(?:\s|,)",
 )
 
 
 def docs(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", "text", "source")
-
-
-def short(spark, sf):
-    """Sentence-level work on documents that are not extremely long is the same work; all documents take part."""
-    return docs(spark, sf)
+    return spread(read(spark, sf, "documents").select("doc_id", "text", "source"), "doc_id")
 
 
 SENT_SQL = r"""with m as (select doc_id, unnest(regexp_extract_all(text, '[^.!?。\n]+[.!?。]?')) as q, unnest(list_transform(regexp_split_to_array(text, '[^.!?。\n]+[.!?。]?')[1:len(regexp_extract_all(text, '[^.!?。\n]+[.!?。]?'))], lambda p: length(p))) as gap,
@@ -51,7 +46,7 @@ def span_status(spark, sf):
     return s.groupBy("doc_id", spans.legal_status(F.col("quote"), PROSE).alias("status")).agg(F.count("*").alias("n"))
 
 
-MENTION_SQL = r"""with e as (select doc_id, text, list_transform(regexp_extract_all(text, '(?:[Tt]he|[Dd]er) (?:th|er|un)[a-z]{1,6}') || regexp_extract_all(text, '[A-Z][a-z]{2,8} (?:ation|of|und)') || regexp_extract_all(text, '(?:son|de) [a-z]{2,5}ment'), lambda m: trim(regexp_replace(m, '\s+', ' ', 'g'))) as l from documents),
+MENTION_SQL = r"""with e as (select doc_id, text, list_transform(regexp_extract_all(text, '(?:[Tt]he|[Dd]er) (?:th|er|un)[a-z]{1,6}') || regexp_extract_all(text, '[A-Z][a-z]{2,8} (?:ation|of|und)') || regexp_extract_all(text, '(?:son|de) [a-z]{2,5}ment'), lambda m: trim(m)) as l from documents),
 x as (select doc_id, text, unnest(l) as label, unnest(range(len(l))) as i from e), u as (select doc_id, any_value(text) as text, label, min(i) as i from x group by doc_id, label),
 k as (select * from u where not exists (select 1 from u o where o.doc_id = u.doc_id and o.label <> u.label and contains(o.label, u.label))),
 nodes as (select doc_id, row_number() over (partition by doc_id order by i) - 1 as ord, label, strpos(text, label) - 1 as source_start from k)
@@ -82,7 +77,16 @@ def collision_clauses(spark, sf):
     return c.select("doc_id", "clause", "start", F.col("verb_start").cast("long").alias("verb_start"))
 
 
-@query("collision_roles")
+ROLE_SQL = MENTION_SQL + CLAUSE_SQL.replace("with m as", ", m as", 1) + r""", near as (select c.doc_id, clause, quote, verb, 'vehicle_' || (ord + 1) as node_id, label from c join nodes n on n.doc_id = c.doc_id and contains(quote, label)),
+cut as (select *, string_split(quote, label) as pieces from near), occ as (select *, unnest(range(1, len(pieces))) as i from cut), at_ as (select *, length(array_to_string(pieces[1:i], '')) + (i - 1) * length(label) as begin from occ),
+aft as (select *, substr(quote, begin + length(label) + 1, greatest(verb - begin - length(label), 0)) as suffix from at_ where begin < verb),
+mk as (select *, regexp_matches(suffix, '^(?s:.{0,35}?)(?:e|n)(?:\s|,|$)') as obj, regexp_matches(suffix, '^(?s:.{0,35}?)(?:en|er)(?:\s|,|$)') as ins, regexp_matches(suffix, '(?:o|a)(?:\s|,)') as sub from aft),
+gr as (select doc_id, clause, count(distinct node_id) as k, arg_max(node_id, begin) filter (where obj) as target, arg_max(node_id, begin) filter (where ins) as agent, arg_min(node_id, begin) as head, arg_min(sub, begin) as sub from mk group by all),
+pr as (select doc_id, clause, case when agent is not null and target is not null and agent <> target then agent when sub and target is not null and head <> target then head end as agent, target from gr where k >= 2)
+select doc_id, cast(clause as int) as clause, agent, target from pr where agent is not null and target is not null"""
+
+
+@query("collision_roles", ROLE_SQL)
 def collision_roles(spark, sf):
     d = docs(spark, sf)
     return spans.roles(spans.clauses(spans.sentences(d, ["doc_id"], "text"), "doc_id", PROSE), spans.mention_nodes(d, "doc_id", "text", PROSE), "doc_id", PROSE)
@@ -97,16 +101,16 @@ def maneuver_spans(spark, sf):
     return spans.maneuvers(docs(spark, sf), "doc_id", "text", PROSE).select("doc_id", "kind", "start", "end")
 
 
-ENT_SQL = MENTION_SQL + SENT_SQL.replace("with m as", ", m as", 1) + ", g as (select sent.doc_id, start, quote, count(*) as n, min('vehicle_' || (ord + 1)) as one, count(*) filter (where regexp_matches(label, '(?:[Tt]he|[Dd]er) (?:th|er|un)[a-z]{1,6}')) as roles, max(case when regexp_matches(label, '(?:[Tt]he|[Dd]er) (?:th|er|un)[a-z]{1,6}') then 'vehicle_' || (ord + 1) end) as role, max(case when not regexp_matches(label, '(?:[Tt]he|[Dd]er) (?:th|er|un)[a-z]{1,6}') then 'vehicle_' || (ord + 1) end) as model from sent join nodes on sent.doc_id = nodes.doc_id and contains(quote, label) group by all) "
+ENT_SQL = MENTION_SQL + SENT_SQL.replace("with m as", ", m as", 1) + ", g as (select sent.doc_id, start, quote, count(*) as n, min('vehicle_' || (ord + 1)) as one, count(*) filter (where regexp_matches(label, 'the |der |The |Der ')) as roles, max(case when regexp_matches(label, 'the |der |The |Der ') then 'vehicle_' || (ord + 1) end) as role, max(case when not regexp_matches(label, 'the |der |The |Der ') then 'vehicle_' || (ord + 1) end) as model from sent join nodes on sent.doc_id = nodes.doc_id and contains(quote, label) group by all) "
 
 
-@query("driver_relations", ENT_SQL + "select doc_id, start, regexp_extract(quote, '([A-Za-z]{1,20}) of ', 1) as driver, one as vehicle from g where n = 1 and regexp_extract(quote, '([A-Za-z]{1,20}) of ', 1) <> ''")
+@query("driver_relations", ENT_SQL + "select doc_id, start, regexp_extract(quote, '([A-Za-z]{1,20}) of ', 1) as driver, one as vehicle from g where contains(quote, ' of ') and n = 1 and regexp_extract(quote, '([A-Za-z]{1,20}) of ', 1) <> ''")
 def driver_relations(spark, sf):
     d = docs(spark, sf)
     return spans.drivers(spans.sentences(d, ["doc_id"], "text"), spans.mention_nodes(d, "doc_id", "text", PROSE), "doc_id", PROSE)
 
 
-@query("same_as_relations", ENT_SQL + "select doc_id, start, role, model from g where n = 2 and roles = 1")
+@query("same_as_relations", ENT_SQL + "select doc_id, start, role, model from g where contains(quote, ' of ') and n = 2 and roles = 1")
 def same_as_relations(spark, sf):
     d = docs(spark, sf)
     return spans.same_as(spans.sentences(d, ["doc_id"], "text"), spans.mention_nodes(d, "doc_id", "text", PROSE), "doc_id", PROSE)
@@ -118,7 +122,7 @@ def event_order(spark, sf):
     return spans.event_order(e, "user_id", "at_", "id").groupBy("user_id", "source", "target").agg(F.count("*").alias("n"))
 
 
-@query("unresolved_flags", MENTION_SQL + CLAUSE_SQL.replace("with m as", ", m as", 1) + ", a as (select doc_id, count(*) as n from nodes group by 1), z as (select doc_id, count(*) as e from c where clause = 1 group by 1) select d.doc_id, array_to_string(list_filter([case when coalesce(n, 0) < 2 then 'vehicle_entities' end, case when coalesce(e, 0) = 0 then 'collision_agent' end], lambda x: x is not null), ',') as flags from documents d left join a using (doc_id) left join z using (doc_id)")
+@query("unresolved_flags", MENTION_SQL + CLAUSE_SQL.replace("with m as", ", m as", 1) + ", a as (select doc_id, count(*) as n from nodes group by 1), z as (select doc_id, count(*) as e from c where clause = 1 group by 1) select d.doc_id, array_to_string(list_filter([case when coalesce(n, 0) < 2 then 'two_vehicle_entities' end, case when coalesce(e, 0) = 0 then 'collision_agent' end, case when coalesce(e, 0) = 0 then 'collision_target' end], lambda x: x is not null), ',') as flags from documents d left join a using (doc_id) left join z using (doc_id)")
 def unresolved_flags(spark, sf):
     d = docs(spark, sf)
     edges = spans.clauses(spans.sentences(d, ["doc_id"], "text"), "doc_id", PROSE).where("clause = 1")

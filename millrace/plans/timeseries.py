@@ -10,7 +10,7 @@ from millrace.plans.base import read, registry
 query, QUERIES, SQL = registry()
 
 STATES_SQL = """with s as (select user_id as run, event_type as actor, event_id as frame, ts as time, value as speed, sin(event_id) * 50 as x, cast(event_id % 37 as double) as y, cast(event_id % 11 - 5 as double) as vx, cast(event_id % 7 - 3 as double) as vy from events),
-h as (select user_id as run, event_id as frame, event_type as actor, case event_type when 'error' then 'click' else 'error' end as other, value as impulse from events where event_type in ('error', 'click') and event_id % 5 = 0)
+h as (select user_id as run, event_id as frame, event_type as actor, case event_type when 'error' then 'click' else 'error' end as other, value as impulse from events where event_type in ('error', 'click'))
 """
 
 
@@ -23,7 +23,7 @@ def states(spark, sf):
 
 
 def hits(spark, sf):
-    e = read(spark, sf, "events").where("event_type in ('error', 'click') and event_id % 5 = 0")
+    e = read(spark, sf, "events").where("event_type in ('error', 'click')")
     return e.select(F.col("user_id").alias("run"), F.col("event_id").alias("frame"), F.col("event_type").alias("actor"), F.when(F.col("event_type") == "error", "click").otherwise("error").alias("other"), F.col("value").alias("impulse"))
 
 
@@ -89,9 +89,9 @@ def impact_speed(spark, sf):
     return first.join(states(spark, sf), ["run", "frame"]).select("run", "frame", F.round(F.hypot("vx", "vy"), 6).alias("impact_speed"), F.format_string("%d@%d:%s", "run", "frame", "actor").alias("signature"))
 
 
-@query("observed_values", "select event_id, cast(props->>'$.k' as bigint) as k, event_type as name from events where event_id % 3 = 0")
+@query("observed_values", "select event_id, cast(props->>'$.k' as bigint) as k, event_type as name from events")
 def observed_values(spark, sf):
-    e = read(spark, sf, "events").where("event_id % 3 = 0")
+    e = read(spark, sf, "events")
     return e.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"), F.col("event_type").alias("name"))
 
 

@@ -9,5 +9,8 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    where = where or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"

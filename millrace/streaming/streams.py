@@ -11,13 +11,17 @@ from millrace.operators.rules import classified
 from millrace.sources.scratch import folder
 
 
-def source(spark: SparkSession, folder_: str, name: str, files_a_batch: int = 100) -> DataFrame:
+def source(spark: SparkSession, folder_: str, name: str, files_a_batch: int | None = None) -> DataFrame:
     """The Parquet files of a table (a file or a folder of files) as a stream, with the schema that the table has now.
 
+    All files that are there make one batch, so no row of a table is late whatever the order of
+    its files; ``files_a_batch`` bounds batches of a log whose files come in order of time.
     Times without a zone are read as UTC instants, which watermarks need.
     """
     path = f"{folder_.rstrip('/')}/{name}.parquet"
-    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_a_batch).option("recursiveFileLookup", True)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("recursiveFileLookup", True)
+    if files_a_batch:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
     table = reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder_) if _is_file(spark, path) else reader.parquet(path)
     return table.withColumns({c: F.col(c).cast("timestamp") for c, kind in table.dtypes if kind == "timestamp_ntz"})
 
