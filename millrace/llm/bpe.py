@@ -8,7 +8,7 @@ linear time. Decoding cuts token strings out of one text by an offset table.
 
 Words repeat, so each Python worker keeps a bounded table of encoded words in two halves: when
 the newer half is full it becomes the older one, and what is asked for again moves over, so
-frequent words stay. The vocabulary file is a parameter and is sent with the closure.
+frequent words stay. The table goes with its task. The vocabulary file is a parameter and is sent with the closure.
 
 Defined results: a null or empty text has no tokens (the hash of nothing); special tokens
 written in a text are taken as those tokens; repeated rows are encoded alike.
@@ -20,7 +20,7 @@ import hashlib
 import json
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
@@ -42,7 +42,7 @@ def byte_letters() -> list[str]:
 
 
 class Codec:
-    def __init__(self, content: str, keep: int = 200_000):
+    def __init__(self, content: str, keep: int = 150_000):
         import ahocorasick
         import regex
 
@@ -227,35 +227,28 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
         return f.read()
 
 
-_CODECS: dict[int, Codec] = {}
-
-
-def codec(content: str) -> Codec:
-    """One codec for each vocabulary in each Python worker; a reused worker keeps it."""
-    key = hash(content)
-    if key not in _CODECS:
-        _CODECS[key] = Codec(content)
-    return _CODECS[key]
-
-
 def encoded(docs: DataFrame, content: str, ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens and both digests for every row; with ids, the ids themselves too."""
+    """doc_id, n_tokens and both digests for every row; with ids, the ids themselves too.
+
+    The codec lives as long as its task: a Python worker that other stages use again keeps nothing of it.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(content)  # one vocabulary file, of fixed size
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
     def run(batches):
-        from millrace.llm.bpe import codec
-
-        own = codec(shared.value)
-        for pdf in batches:
-            got = [own.digests(t) for t in pdf["text"]]
-            out = pd.DataFrame(got, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            if ids:
-                out["ids"] = [own.encode(t) for t in pdf["text"]]
-            yield out
+        own = None
+        for b in batches:
+            own = own or Codec(shared.value)
+            for at in range(0, b.num_rows, 256):  # a few texts at a time
+                part = b.slice(at, 256)
+                texts = part.column("text").to_pylist()
+                n, hashes, decoded = zip(*(own.digests(t) for t in texts), strict=True)
+                columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
+                if ids:
+                    columns.append(pa.array([own.encode(t) for t in texts], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids])
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +256,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: token counts and digests of every text that is left."""
+    """The last stage: token counts and digests of every text that is left; a row for each row, null and empty texts have no tokens."""
     return encoded(docs, vocabulary())
 
 
