@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor can read: spark.checkpoint.dir, or (unset, as in tests) one of our own."""
+    """The folder that every executor can read: spark.checkpoint.dir, or (unset and all in one process, as in tests) one of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = getattr(spark, "_millrace_scratch", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark._millrace_scratch = where
     return where.rstrip("/")

@@ -3,8 +3,9 @@
 For each host, the share of its pages that hold a line; lines whose share exceeds the
 boilerplate ratio, on at least ``min_pages`` pages, are dropped from every page of that
 host. A line is compared without blanks at its ends; blank lines are never counted or
-dropped. Only digests of lines are shuffled for the counts; a host can have at most (mean
-lines a page / ratio) lines over the ratio, so the list sent to each page is bounded.
+dropped. Only digests of lines are shuffled; a host can have at most (mean lines a page /
+ratio) lines over the ratio, so a host's list is bounded. All lists are sent to every task if
+they have SENT_LINES digests at most; beyond that pages meet them by host and a salt.
 
 Defined results: a null host is a host of its own; a null text stays null; an empty text
 stays empty; a page that repeats a line counts once for it; rows that repeat are pages of
@@ -16,9 +17,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 RATIO, MIN_PAGES = 0.1, 5
+SENT_LINES, SALTS = 200_000, 64
 
 
 def _trimmed(line):
@@ -45,13 +47,20 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, mi
     )
 
 
-def without_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def without_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, sent_lines: int = SENT_LINES) -> DataFrame:
     """Every row and column of pages, and _kept: its lines that stay, _n_lines and _n_dropped."""
-    found = boilerplate(pages, host, text, ratio, min_pages)
+    found = stored(boilerplate(pages, host, text, ratio, min_pages))
     lines = F.split(F.col(text), "\n")
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_lines"), _digest(_trimmed(x))), F.lit(False)) | (_trimmed(x) == ""))
+    same = F.col(host).eqNullSafe(F.col("_host"))
+    if (found.agg(F.sum(F.size("_lines"))).first()[0] or 0) <= sent_lines:
+        met = pages.join(F.broadcast(found), same, "left")  # at most SENT_LINES digests
+    else:
+        salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        mine = F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")
+        met = pages.join(salted, same & (mine == F.col("_salt")), "left").drop("_salt")
     return (
-        pages.join(found, F.col(host).eqNullSafe(F.col("_host")), "left")
+        met
         .withColumn("_kept", F.when(F.col("_lines").isNull(), lines).otherwise(kept))
         .withColumn("_n_lines", F.coalesce(F.size(lines), F.lit(0))).withColumn("_n_dropped", F.coalesce(F.size(lines) - F.size("_kept"), F.lit(0)))
     )

@@ -5,7 +5,8 @@ phone numbers are found, validated (octets, calendar, Luhn and mod-97 checks, di
 and permuted by a keyed Feistel network within their own format: separators, lengths,
 check digits and calendar validity stay. Equal values have equal pseudonyms in every
 document under one key, whatever their separators, and different values different ones.
-The local part of a mail address becomes a keyed token at a reserved domain.
+The local part of a mail address becomes a keyed token at a reserved domain. The key comes from
+the session's configuration (KEY_OPTION); without one, each session draws its own.
 
 Card and account numbers have no fixed end, so every end at a group border is tried from every
 start, and only the numbers that validate are cut out of a text: what stands before or after
@@ -18,12 +19,16 @@ fails its validation is left as it is; repeated rows are treated alike.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
-KEY, ROUNDS = "millrace", 8
+ROUNDS = 8
+#: The option of the session that holds the key.
+KEY_OPTION = "spark.millrace.pseudonym.key"
 
 #: Fixed patterns, in the order in which they are tried at a place.
 MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
@@ -212,9 +217,18 @@ def _mail(m: Column, key: str) -> Column:
 MAKERS = {"mail": _mail, "iban": _iban, "ip": _ip, "iso": _iso, "identity": _identity, "card": _card, "day": _day, "phone": _phone}
 
 
-def pseudonymised(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """docs with _text, the text with pseudonyms, and _kinds, the kind of each value that was replaced."""
-    t = F.col(text)
+def secret_key(spark: SparkSession) -> str:
+    """The key that the session is configured with; where none is, one drawn for this session, so nobody can reverse its pseudonyms."""
+    key = spark.conf.get(KEY_OPTION, None) or getattr(spark, "_millrace_key", None)
+    if not key:
+        key = spark._millrace_key = secrets.token_hex(32)
+    return key
+
+
+def pseudonymised(docs: DataFrame, key: str, text: str = "text", out: str = "_text", kinds: str = "_kinds") -> DataFrame:
+    """docs with ``out``, the text with pseudonyms, and ``kinds``, the kind of each value that was replaced; other columns may carry any other name."""
+    columns = docs.columns
+    docs, t = docs.select(F.struct(*columns).alias("_doc"), F.col(text).alias("_t")), F.col("_t")
     cut = docs.withColumn("_pattern", F.when(t.rlike("[0-9@]"), _pattern(t)))
     cut = cut.withColumn("_cut", F.when(F.col("_pattern").isNotNull(), F.struct(F.split(t, F.col("_pattern"), -1).alias("pieces"), F.regexp_extract_all(t, F.col("_pattern"), F.lit(0)).alias("found"))))
     made = cut.withColumn("_between", F.transform("_cut.pieces", lambda p: _phones(p, key)))
@@ -223,8 +237,10 @@ def pseudonymised(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFr
     all_ = F.flatten(F.zip_with("_between", F.concat("_made", end), lambda a, b: F.array(a, b)))
     made = made.withColumn("_all", all_)
     return (
-        made.withColumn("_text", F.when(F.col("_cut").isNull(), t).otherwise(F.concat_ws("", F.transform("_all", lambda p: p["new"]))))
-        .withColumn("_kinds", F.coalesce(F.flatten(F.transform("_all", lambda p: p["kinds"])), F.array().cast("array<string>"))).drop("_pattern", "_cut", "_between", "_made", "_all")
+        made.select(
+            *(F.col("_doc")[c].alias(c) for c in columns), F.when(F.col("_cut").isNull(), t).otherwise(F.concat_ws("", F.transform("_all", lambda p: p["new"]))).alias(out),
+            F.coalesce(F.flatten(F.transform("_all", lambda p: p["kinds"])), F.array().cast("array<string>")).alias(kinds),
+        )
     )
 
 
@@ -270,7 +286,7 @@ def _first(m: Column, key: str) -> Column:
 
 
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), secret_key(spark))
     count = lambda kind: F.size(F.filter("_kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(kind) for kind in KINDS]
     return done.select("doc_id", F.col("_text").alias("text"), *counts)

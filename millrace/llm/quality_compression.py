@@ -7,14 +7,15 @@ dictionary fits better. A logistic curve, fitted on labelled rows that were not
 dictionaries, turns it into a score between 0 and 1.
 
 Labels are learnt only from rows whose crc32(doc_id as text) mod 4 is not 2, at most
-MAX_LABELLED of each class (a documented bound: those with the smallest hash); whole texts
-of all rows are scored. Labels, lang, source and doc_id are no inputs of a score.
+MAX_LABELLED of each class (a documented bound: those with the smallest hash), and of each of
+them at most SAMPLED blocks, spread over the whole text; whole texts of all rows are scored. Labels, lang, source and doc_id are no inputs of a score.
 
 A few words say little, so NEUTRAL bytes at the share of good rows stand beside every text.
 
 Defined results: a null text is scored as an empty one, and an empty one gets the share of
-good rows in the fit; without both classes every score is that share (0.5 without labels);
-repeated rows are scored alike.
+good rows in the fit; with fewer than five labelled rows of a class in a half of the fit every
+score is that share (0.5 without labels); of texts under one doc_id the one with the smallest
+hash is learnt from; repeated rows are scored alike.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from .common import table
 MAX_LABELLED, DICTIONARY, BLOCK, LEVEL, LEAST = 1_500, 65_536, 2_048, 3, 0.7
 #: Bytes of neutral text that stand beside every text, so that a few words alone decide little.
 NEUTRAL = 96
-#: Bytes of labelled text that a dictionary is trained on at most.
-TRAINED = 6_000_000
+#: Blocks of a labelled text that are learnt from at most: with MAX_LABELLED they bound what comes to the driver.
+SAMPLED = 4
 
 
 def held_out(doc_id):
@@ -81,12 +82,7 @@ class Pair:
 def trained(samples: list[str]) -> bytes:
     import zstandard
 
-    pieces, size = [], 0
-    for text in samples:
-        for b in blocks(text):
-            if size < TRAINED:
-                pieces.append(b)
-                size += len(b)
+    pieces = [b for text in samples for b in blocks(text)]
     return zstandard.train_dictionary(DICTIONARY, pieces, k=256, d=8, level=LEVEL).as_bytes()
 
 
@@ -98,7 +94,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Pair:
         part = known.where(F.col("quality") == quality).orderBy(order, "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
     # at most 2 * most rows are chosen, so they may be sent to every task
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).where("length(text) > 0").toPandas().sort_values("doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("length(text) > 0")
+    stretches = F.ceil(F.length("text") / F.lit(BLOCK)).cast("int")
+    stride = F.greatest(F.ceil(stretches / F.lit(SAMPLED)).cast("int"), F.lit(1))
+    some = F.array_join(F.transform(F.sequence(F.lit(0), stretches - 1, stride), lambda k: F.substring("text", k * BLOCK + 1, F.lit(BLOCK))), "")
+    rows = rows.select("doc_id", "quality", F.xxhash64("text").alias("hash"), some.alias("text")).groupBy("doc_id").agg(F.min(F.struct("hash", "text", "quality")).alias("row"))
+    rows = rows.select("doc_id", "row.text", "row.quality").toPandas().sort_values("doc_id")
     y = rows["quality"].to_numpy(dtype=float)
     # shares of both classes among all labelled rows weigh the curve
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}

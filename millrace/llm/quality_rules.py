@@ -185,7 +185,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000) -> Trees
     )
     # the chosen rows are bounded by max_labelled, so they may be sent to every task
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = with_statistics(rows, ["doc_id", "quality"]).dropDuplicates(["doc_id"]).where("n_words > 0").select("doc_id", "quality", "features").toPandas()
+    # of texts under one doc_id, the one with the smallest hash
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "quality")).alias("row")).select("doc_id", "row.text", "row.quality")
+    got = with_statistics(rows, ["doc_id", "quality"]).where("n_words > 0").select("doc_id", "quality", "features").toPandas()
     if got["quality"].nunique() < 2:
         return None
     got = got.sort_values("doc_id")

@@ -122,14 +122,25 @@ def assigned(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     return first.unionByName(second)
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """docs, with every column, as one folder of Parquet files for each shard, in slot order."""
-    twin = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("_key"))
-    numbered = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_twin", twin)
-    place = assigned(docs, shards).select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), "shard", "slot")
-    place = place.withColumn("_t", F.row_number().over(Window.partitionBy("_id", "_k").orderBy("shard", "slot")))
-    met = numbered.join(place, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")) & (F.col("_twin") == F.col("_t")))
-    met.select(*docs.columns, "shard", "slot").repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, file_rows: int = 500_000) -> None:
+    """docs, with every column, as one folder of Parquet files for each shard, in slot order, about file_rows rows in a file.
+
+    The columns of place are ``shard`` and ``slot``; where docs has such columns, with as many underscores before them as it takes.
+    """
+    used, names = {c.lower() for c in docs.columns}, {}
+    for c in ("shard", "slot"):
+        names[c] = c
+        while names[c] in used:
+            names[c] = "_" + names[c]
+    twin = F.row_number().over(Window.partitionBy("id", "key").orderBy("key"))
+    numbered = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")).withColumn("twin", twin)
+    place = assigned(docs, shards).select(F.col("doc_id").alias("id_"), F.col("key").alias("key_"), "shard", "slot")
+    place = place.withColumn("twin_", F.row_number().over(Window.partitionBy("id_", "key_").orderBy("shard", "slot")))
+    met = numbered.join(place, F.col("id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")) & (F.col("twin") == F.col("twin_")))
+    file = F.floor(F.col("slot") / F.lit(file_rows))
+    dealt = met.withColumn("file", file).repartition("shard", "file").sortWithinPartitions("shard", "file", "slot")
+    out = [F.col("doc")[c].alias(c) for c in docs.columns]
+    dealt.select(*out, F.col("shard").alias(names["shard"]), F.col("slot").alias(names["slot"])).write.partitionBy(names["shard"]).parquet(path)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
