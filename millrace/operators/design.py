@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.scratch import folder
+
 #: Faults with class, disposition and layer; methods compared.
 FAULTS = [
     ("actor_target_swap", "immutable", "manual_review", "telemetry"), ("required_collision_omission", "mutable", "repair", "contract_then_rerun"),
@@ -39,8 +41,17 @@ def balance(cases: DataFrame, design: Design = Design()) -> DataFrame:
     return cube.select(name.alias("check"), right.alias("ok")).unionByName(unique)
 
 
-def numbered(cases: DataFrame) -> DataFrame:
-    return cases.withColumn("case_no", F.row_number().over(Window.orderBy("slot_id")) - 1)  # a design, not a corpus: a row for each case
+def numbered(df: DataFrame, key: str, name: str = "case_no") -> DataFrame:
+    """df with a number from 0 in the order of key: rows are cut by ranges of it, numbered there, and each range begins after those before it."""
+    spark = df.sparkSession
+    path = folder(spark, "numbered")  # written, as ranges are sampled anew whenever they are worked out
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    cut = spark.read.parquet(path)
+    sizes = cut.groupBy("_part").agg(F.count("*").alias("_size"))  # a row for each range
+    begins = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_begin"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    return cut.withColumn("_at", within).join(F.broadcast(begins), "_part").withColumn(name, F.col("_begin") + F.col("_at")).drop("_part", "_at", "_begin")
 
 
 def schedule(cases: DataFrame, design: Design = Design()) -> DataFrame:
@@ -48,7 +59,7 @@ def schedule(cases: DataFrame, design: Design = Design()) -> DataFrame:
     spark = cases.sparkSession
     grid = spark.range(design.seeds).withColumnRenamed("id", "k").crossJoin(spark.range(1, design.repeats + 1).withColumnRenamed("id", "repeat_index"))  # seeds * repeats rows
     seed = F.lit(design.base_seed) + 10 * F.col("case_no") + F.col("k")
-    return numbered(cases).crossJoin(F.broadcast(grid)).select(
+    return numbered(cases, "slot_id").crossJoin(F.broadcast(grid)).select(
         F.format_string("%s_s%d_r%d", F.col("slot_id"), seed, F.col("repeat_index")).alias("run_id"), "slot_id", seed.alias("seed"), F.col("repeat_index").cast("int").alias("repeat_index")
     )
 
@@ -59,12 +70,14 @@ def fault_dim(spark: SparkSession) -> DataFrame:
 
 def fault_plan(cases: DataFrame) -> DataFrame:
     """One control and six faults for each case; variants alternate, the donor is the next case and wraps."""
-    order = Window.orderBy("slot_id")
-    ring = numbered(cases).withColumn("_next", F.lead("slot_id").over(order)).withColumn("_first", F.first("slot_id").over(order))
+    placed = numbered(cases, "slot_id")
+    count = placed.count()
+    giver = placed.select(F.pmod(F.col("case_no") - 1, F.lit(max(count, 1))).alias("case_no"), F.col("slot_id").alias("_next"))
+    ring = placed.join(giver, "case_no")
     control = ring.select("slot_id", "case_no", F.lit(-1).alias("fault_no"), F.lit("control").alias("trial_kind"), F.lit(None).cast("string").alias("fault_type"), F.lit(None).cast("string").alias("fault_class"), F.lit("accept").alias("disposition"), F.lit(None).cast("string").alias("donor"), F.lit(None).cast("int").alias("variant"))
     faults = ring.crossJoin(F.broadcast(fault_dim(cases.sparkSession))).select(  # six rows
         "slot_id", "case_no", "fault_no", F.lit("fault").alias("trial_kind"), "fault_type", "fault_class", "disposition",
-        F.when(F.col("fault_type") == "mismatched_keyframes", F.coalesce("_next", "_first")).alias("donor"), ((F.col("case_no") + F.col("fault_no")) % 2).alias("variant"),
+        F.when(F.col("fault_type") == "mismatched_keyframes", F.col("_next")).alias("donor"), ((F.col("case_no") + F.col("fault_no")) % 2).cast("int").alias("variant"),
     )
     return control.unionByName(faults).withColumn("trial_id", F.concat_ws("__", "slot_id", F.coalesce("fault_type", F.lit("control"))))
 
@@ -82,8 +95,9 @@ def blockers(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 def replicate_plan(scenarios: DataFrame, key: str, total: int, workers: int) -> DataFrame:
     """``total`` runs over the scenarios, the remainder to the first ones, dealt to workers in turn."""
-    n = F.count("*").over(Window.partitionBy())
-    at = F.row_number().over(Window.orderBy(key))
-    each = scenarios.select(key, at.alias("_at"), n.alias("_n")).withColumn("_k", (F.floor(F.lit(total) / F.col("_n")) + F.when(F.col("_at") <= F.lit(total) % F.col("_n"), 1).otherwise(0)).cast("int"))
-    runs = each.where("_k > 0").select(key, F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("replicate"))
-    return runs.withColumn("worker", F.pmod(F.row_number().over(Window.orderBy("replicate", key)) - 1, F.lit(workers)))
+    n = max(scenarios.count(), 1)
+    more = F.when(F.col("_no") < total % n, 1).otherwise(0)
+    each = numbered(scenarios.select(key), key, "_no").withColumn("_k", (F.lit(total // n) + more).cast("int"))
+    runs = each.where("_k > 0").select(key, "_no", F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("replicate"))
+    # in the order of (replicate, key): all scenarios have the replicates before
+    return runs.select(key, "replicate", F.pmod((F.col("replicate") - 1) * n + F.col("_no"), F.lit(workers)).cast("int").alias("worker"))

@@ -190,9 +190,9 @@ def interpolated_percentiles(spark, sf):
     return read(spark, sf, "events").groupBy("event_type").agg(*(F.round(F.percentile("value", q), 9).alias(n) for n, q in (("p025", 0.025), ("p50", 0.5), ("p95", 0.95))))
 
 
-@query("record_fingerprints", "select r_regionkey, sha256('{\"r_name\":\"' || r_name || '\",\"r_regionkey\":' || r_regionkey || '}') as digest from region")
+@query("record_fingerprints", "select c_custkey, sha256('{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\"}') as digest from customer")
 def record_fingerprints(spark, sf):
-    return read(spark, sf, "region").select("r_regionkey", consensus.record_digest("r_regionkey", "r_name").alias("digest"))
+    return read(spark, sf, "customer").select("c_custkey", consensus.record_digest("c_custkey", "c_name").alias("digest"))
 
 
 @query("table_digest")

@@ -69,10 +69,10 @@ def comparator_predictions(spark, sf):
     return d.select("doc_id", "method", F.when(~abstains, F.when(F.col("n_chars") % 3 == 0, "accept").otherwise("reject")).alias("prediction"))
 
 
-@query("cyclic_donors", "with p as (select n_regionkey, n_nationkey, n_name, row_number() over (partition by n_regionkey order by n_nationkey) - 1 as at, count(*) over (partition by n_regionkey) as n from nation) select a.n_regionkey, a.n_nationkey, b.n_nationkey as donor, substr(a.n_name, 1, 1) <> substr(b.n_name, 1, 1) as other_cluster from p a join p b on a.n_regionkey = b.n_regionkey and (a.at + 2) % a.n = b.at")
+@query("cyclic_donors", "with p as (select o_custkey, o_orderkey, o_orderpriority, row_number() over (partition by o_custkey order by o_orderkey) - 1 as at, count(*) over (partition by o_custkey) as n from orders) select a.o_custkey, a.o_orderkey, b.o_orderkey as donor, substr(a.o_orderpriority, 1, 1) <> substr(b.o_orderpriority, 1, 1) as other_cluster from p a join p b on a.o_custkey = b.o_custkey and (a.at + 2) % a.n = b.at")
 def cyclic_donors(spark, sf):
-    n = read(spark, sf, "nation").select("n_regionkey", "n_nationkey", F.substring("n_name", 1, 1).alias("c"))
-    return sampling.cyclic_donors(n, "n_regionkey", "n_nationkey", "c", 2)
+    o = read(spark, sf, "orders").select("o_custkey", "o_orderkey", F.substring("o_orderpriority", 1, 1).alias("c"))
+    return sampling.cyclic_donors(o, "o_custkey", "o_orderkey", "c", 2)
 
 
 @query("opaque_ids", "select s_suppkey, 'ART_' || upper(substr(sha256('trial|' || s_suppkey || '|' || s_name), 1, 20)) as opaque_id from supplier")
@@ -90,20 +90,22 @@ def clean_controls(spark, sf):
     return read(spark, sf, "supplier").where("s_acctbal > 5000").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("s_suppkey"), (F.count("*") == 1).alias("one_per_slot"))
 
 
-CASES_SQL = "cases as (select 'C' || lpad(cast(n_nationkey as varchar), 2, '0') as slot_id, case n_nationkey % 4 when 0 then 'rear_end' when 1 then 'intersection_crossing_turning' when 2 then 'lane_change_side_swipe' else 'head_on_centerline_intrusion' end as topology, case when n_nationkey // 4 % 2 = 0 then 'rule' else 'model' end as route from nation where n_nationkey < 24)"
+CASES_SQL = "cases as (select 'C' || lpad(cast(c_custkey as varchar), 10, '0') as slot_id, case c_custkey % 4 when 0 then 'rear_end' when 1 then 'intersection_crossing_turning' when 2 then 'lane_change_side_swipe' else 'head_on_centerline_intrusion' end as topology, case when c_custkey // 4 % 2 = 0 then 'rule' else 'model' end as route from customer)"
 
 
 def cases(spark, sf):
-    n = read(spark, sf, "nation").where("n_nationkey < 24")
-    k = F.col("n_nationkey")
+    """Every customer as a case of a design."""
+    k = F.col("c_custkey")
     topology = F.when(k % 4 == 0, "rear_end").when(k % 4 == 1, "intersection_crossing_turning").when(k % 4 == 2, "lane_change_side_swipe").otherwise("head_on_centerline_intrusion")
-    return n.select(F.concat(F.lit("C"), F.lpad(k.cast("string"), 2, F.lit("0"))).alias("slot_id"), topology.alias("topology"), F.when(F.floor(k / 4) % 2 == 0, "rule").otherwise("model").alias("route"))
+    return read(spark, sf, "customer").select(F.concat(F.lit("C"), F.lpad(k.cast("string"), 10, F.lit("0"))).alias("slot_id"), topology.alias("topology"), F.when(F.floor(k / 4) % 2 == 0, "rule").otherwise("model").alias("route"))
 
 
 @query("design_balance", f"""with {CASES_SQL}, c as (select topology, route, count(*) as n, grouping_id(topology, route) as g from cases group by cube (topology, route))
- select coalesce(topology, '*') || '/' || coalesce(route, '*') as "check", n = case g when 3 then 24 when 1 then 6 when 2 then 12 else 3 end as ok from c union all select 'unique slots', count(slot_id) = count(distinct slot_id) from cases""")
+ select coalesce(topology, '*') || '/' || coalesce(route, '*') as "check", n = (select count(*) from cases) // case g when 3 then 1 when 1 then 4 when 2 then 2 else 8 end as ok from c union all select 'unique slots', count(slot_id) = count(distinct slot_id) from cases""")
 def design_balance(spark, sf):
-    return design.balance(cases(spark, sf))
+    c = cases(spark, sf)
+    n = c.count()
+    return design.balance(c, design.Design(slots=n, per_topology=n // 4, per_route=n // 2, per_cell=n // 8))
 
 
 NUMBERED_SQL = f"with {CASES_SQL}, n as (select *, row_number() over (order by slot_id) - 1 as case_no, coalesce(lead(slot_id) over (order by slot_id), first_value(slot_id) over (order by slot_id)) as nxt from cases)"
@@ -136,6 +138,6 @@ def plan_readiness(spark, sf):
     return b.select(F.array_join("blockers", ",").alias("blockers"), "ready").groupBy("blockers", "ready").agg(F.count("*").alias("n"))
 
 
-@query("replicate_plan", "with e as (select n_nationkey, row_number() over (order by n_nationkey) as pos, count(*) over () as n from nation), k as (select n_nationkey, 200 // n + case when pos <= 200 % n then 1 else 0 end as k from e), r as (select n_nationkey, unnest(range(1, k + 1)) as replicate from k) select n_nationkey, cast(replicate as int) as replicate, cast((row_number() over (order by replicate, n_nationkey) - 1) % 12 as int) as worker from r")
+@query("replicate_plan", "with e as (select c_custkey, row_number() over (order by c_custkey) as pos, count(*) over () as n from customer), k as (select c_custkey, 2000 // n + case when pos <= 2000 % n then 1 else 0 end as k from e), r as (select c_custkey, unnest(range(1, k + 1)) as replicate from k) select c_custkey, cast(replicate as int) as replicate, cast((row_number() over (order by replicate, c_custkey) - 1) % 12 as int) as worker from r")
 def replicate_plan(spark, sf):
-    return design.replicate_plan(read(spark, sf, "nation"), "n_nationkey", 200, 12)
+    return design.replicate_plan(read(spark, sf, "customer"), "c_custkey", 2000, 12)

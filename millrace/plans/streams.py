@@ -49,12 +49,12 @@ def summary_long(spark, sf):
     return records.long_summary(row)
 
 
-@query("ledger_check", "select 'c' || n_nationkey as name, case when n_nationkey = 3 then 'missing' when n_nationkey = 4 then 'changed' when n_nationkey = 5 then 'unlisted' else 'same' end as state from nation")
+@query("ledger_check", "select 'c' || c_custkey as name, case c_custkey % 7 when 3 then 'missing' when 4 then 'changed' when 5 then 'unlisted' else 'same' end as state from customer")
 def ledger_check(spark, sf):
-    n = read(spark, sf, "nation")
-    name, sha = F.concat(F.lit("c"), F.col("n_nationkey").cast("string")), F.sha2("n_name", 256)
-    sums = n.where("n_nationkey <> 3").select(name.alias("name"), sha.alias("sha256"))
-    ledger = n.where("n_nationkey <> 5").select(F.concat(F.when(F.col("n_nationkey") == 4, F.reverse(sha)).otherwise(sha), F.lit("  "), name).alias("value"))
+    n = read(spark, sf, "customer")
+    name, sha = F.concat(F.lit("c"), F.col("c_custkey").cast("string")), F.sha2("c_name", 256)
+    sums = n.where("c_custkey % 7 <> 3").select(name.alias("name"), sha.alias("sha256"))
+    ledger = n.where("c_custkey % 7 <> 5").select(F.concat(F.when(F.col("c_custkey") % 7 == 4, F.reverse(sha)).otherwise(sha), F.lit("  "), name).alias("value"))
     return records.ledger_check(sums, ledger)
 
 
@@ -110,13 +110,13 @@ def information_budgets(spark, sf):
     return s.withColumn("payload", payload).groupBy(F.col("m").cast("long").alias("method")).agg(F.count("*").alias("n"), F.count("payload.image").alias("with_image"), F.coalesce(F.sum(F.length("payload.telemetry")), F.lit(0)).alias("chars"))
 
 
-@query("completion_audit", PLAN_SQL + """ select unnest(['168 trials', 'unique trials', '72 mutable faults', '72 immutable faults']) as "check", unnest([count(*) = 168, count(*) = count(distinct trial_id), count(*) filter (where fault_class = 'mutable') = 72, count(*) filter (where fault_class = 'immutable') = 72]) as ok from plan""")
+@query("completion_audit", PLAN_SQL + """ select unnest(['seven trials a case', 'unique trials', 'three mutable faults a case', 'three immutable faults a case']) as "check", unnest([count(*) = 7 * any_value(c), count(*) = count(distinct trial_id), count(*) filter (where fault_class = 'mutable') = 3 * any_value(c), count(*) filter (where fault_class = 'immutable') = 3 * any_value(c)]) as ok from plan, (select count(*) as c from cases)""")
 def completion_audit(spark, sf):
     from millrace.operators import funnel
 
     p = design.fault_plan(cases(spark, sf))
-    counts = p.agg(F.count("*").alias("n"), F.count_distinct("trial_id").alias("u"), F.count_if(F.col("fault_class") == "mutable").alias("m"), F.count_if(F.col("fault_class") == "immutable").alias("i"))
-    return funnel.conserved(counts, {"168 trials": F.expr("n = 168"), "unique trials": F.expr("n = u"), "72 mutable faults": F.expr("m = 72"), "72 immutable faults": F.expr("i = 72")})
+    counts = p.agg(F.count("*").alias("n"), F.count_distinct("trial_id").alias("u"), F.count_if(F.col("fault_class") == "mutable").alias("m"), F.count_if(F.col("fault_class") == "immutable").alias("i"), F.count_if(F.col("trial_kind") == "control").alias("c"))
+    return funnel.conserved(counts, {"seven trials a case": F.expr("n = 7 * c"), "unique trials": F.expr("n = u"), "three mutable faults a case": F.expr("m = 3 * c"), "three immutable faults a case": F.expr("i = 3 * c")})
 
 
 @query("topology_binding", "with t(topology, ego, other) as (values ('rear_end', 50.0::double, 30.0::double), ('intersection_crossing_turning', 40.0::double, 35.0::double), ('lane_change_side_swipe', 55.0::double, 50.0::double), ('head_on_centerline_intrusion', 60.0::double, 55.0::double)), c as (select o_orderkey, ['rear_end', 'intersection_crossing_turning', 'lane_change_side_swipe', 'head_on_centerline_intrusion', 'unknown'][o_orderkey % 5 + 1] as topology from orders) select o_orderkey, c.topology, ego, other, ego > other as ego_faster from c join t using (topology)")
