@@ -51,7 +51,7 @@ def numbered(df: DataFrame, key: str, name: str = "case_no") -> DataFrame:
     sizes = cut.groupBy("_part").agg(F.count("*").alias("_size"))  # a row for each range
     begins = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_begin"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
-    return cut.withColumn("_at", within).join(F.broadcast(begins), "_part").withColumn(name, F.col("_begin") + F.col("_at")).drop("_part", "_at", "_begin")
+    return cut.withColumn("_place", within).join(F.broadcast(begins), "_part").withColumn(name, F.col("_begin") + F.col("_place")).drop("_part", "_place", "_begin")
 
 
 def schedule(cases: DataFrame, design: Design = Design()) -> DataFrame:

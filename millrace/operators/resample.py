@@ -15,28 +15,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from millrace.operators.design import numbered
+
 
 def hash_draw(seed: int, replicate: Column, i: Column, n: Column) -> Column:
     """A reproducible draw from 0 .. n - 1 that any SQL engine can repeat."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), replicate.cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("bigint") % n
 
 
-def metric_frame(tp, tn, fp, fn) -> pd.DataFrame:
+def metric_frame(tp, tn, fp, fn, open_=0.0) -> pd.DataFrame:
+    """Metrics of arrays of cell counts; ``open_`` rows have a label and no decision."""
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = lambda a, b: np.where(b > 0, a / np.where(b > 0, b, 1), 0.0)
         p, r = ratio(tp, tp + fp), ratio(tp, tp + fn)
         root = np.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
-        return pd.DataFrame({"precision": p, "recall": r, "f1": ratio(2 * tp, 2 * tp + fp + fn), "mcc": np.where(root > 0, (tp * tn - fp * fn) / np.where(root > 0, root, 1), 0.0), "false_acceptance": ratio(fp, tp + fp)})
+        frame = {"precision": p, "recall": r, "f1": ratio(2 * tp, 2 * tp + fp + fn), "mcc": np.where(root > 0, (tp * tn - fp * fn) / np.where(root > 0, root, 1), 0.0), "false_acceptance": ratio(fp, tp + fp)}
+        return pd.DataFrame(frame | _covered(tp + tn, fp + fn, open_))
+
+
+def _covered(right, wrong, open_) -> dict[str, np.ndarray]:
+    covered, every = right + wrong, right + wrong + open_
+    share = covered / np.where(every > 0, every, 1)
+    return {"coverage": share, "abstention_rate": np.where(every > 0, 1 - share, 0.0), "selective_risk": wrong / np.where(covered > 0, covered, 1)}
 
 
-METRICS = ["precision", "recall", "f1", "mcc", "false_acceptance"]
+METRICS = ["precision", "recall", "f1", "mcc", "false_acceptance", "coverage", "abstention_rate", "selective_risk"]
 
 
 def stratified_bootstrap(cells: DataFrame, key: str, samples: int = 10_000, seed: int = 0, level: float = 0.95, chunk: int = 2_000) -> DataFrame:
-    """key, metric, low, high: percentile intervals; within each true class the cells are drawn from a multinomial."""
+    """key, metric, low, high: percentile intervals; within each true class the cells are drawn from a multinomial.
+
+    cells holds tp, tn, fp, fn and may hold true_open and false_open, rows of each class without a decision.
+    """
     spark = cells.sparkSession
+    cells = cells.withColumns({c: F.lit(0) for c in ("true_open", "false_open") if c not in cells.columns})
     pieces = -(-samples // chunk)
-    tasks = cells.select(key, "tp", "tn", "fp", "fn").crossJoin(F.broadcast(spark.range(pieces).withColumnRenamed("id", "piece")))  # a few pieces for each method
+    tasks = cells.select(key, "tp", "tn", "fp", "fn", "true_open", "false_open").crossJoin(F.broadcast(spark.range(pieces).withColumnRenamed("id", "piece")))  # a few pieces for each method
     schema = ", ".join([f"{key} {cells.schema[key].dataType.simpleString()}", *(f"{m} double" for m in METRICS)])
 
     def run(batches):
@@ -44,10 +58,12 @@ def stratified_bootstrap(cells: DataFrame, key: str, samples: int = 10_000, seed
             for r in pdf.to_dict("records"):
                 size = min(chunk, samples - r["piece"] * chunk)
                 rng = np.random.default_rng([seed, int(r["piece"]), zlib.crc32(str(r[key]).encode())])
-                true, false = int(r["tp"] + r["fn"]), int(r["tn"] + r["fp"])
-                tp = rng.binomial(true, r["tp"] / true, size) if true else np.zeros(size, int)
-                tn = rng.binomial(false, r["tn"] / false, size) if false else np.zeros(size, int)
-                out = metric_frame(tp.astype(float), tn.astype(float), (false - tn).astype(float), (true - tp).astype(float))
+                drawn = []
+                for names in (("tp", "fn", "true_open"), ("tn", "fp", "false_open")):
+                    had = np.array([int(r[n]) for n in names])
+                    drawn.append(rng.multinomial(had.sum(), had / had.sum(), size).astype(float) if had.sum() else np.zeros((size, 3)))
+                (tp, fn, lost), (tn, fp, held) = (d.T for d in drawn)
+                out = metric_frame(tp, tn, fp, fn, lost + held)
                 out.insert(0, key, r[key])
                 yield out
 
@@ -59,14 +75,12 @@ def stratified_bootstrap(cells: DataFrame, key: str, samples: int = 10_000, seed
 
 def cluster_bootstrap(clusters: DataFrame, cluster: str, sums: list[str], samples: int, seed: int) -> DataFrame:
     """replicate and the summed columns of clusters drawn with replacement; draws come from hashes, so SQL gives the same rows."""
-    from pyspark.sql import Window
-
     spark = clusters.sparkSession
-    numbered = clusters.withColumn("_at", F.row_number().over(Window.orderBy(cluster)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy()))  # a row for each cluster
+    placed = numbered(clusters, cluster, "_at")
     n = clusters.agg(F.count("*").alias("_n"))
     grid = spark.range(samples).withColumnRenamed("id", "replicate").crossJoin(F.broadcast(n)).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))  # samples x clusters draws are the method
     drawn = grid.withColumn("_at", hash_draw(seed, F.col("replicate"), F.col("_i"), F.col("_n")).cast("int"))
-    return drawn.join(numbered.select("_at", *sums), "_at").groupBy("replicate").agg(*(F.sum(c).alias(c) for c in sums))
+    return drawn.join(placed.select("_at", *sums), "_at").groupBy("replicate").agg(*(F.sum(c).alias(c) for c in sums))
 
 
 @F.pandas_udf(DoubleType())
@@ -77,10 +91,10 @@ def exact_mcnemar(b: pd.Series, c: pd.Series) -> pd.Series:
         n = x + y
         if not n:
             return 1.0
-        k = np.arange(min(x, y) + 1)
-        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in k]
-        top = max(logs)
-        return min(1.0, 2 * math.exp(top) * sum(math.exp(v - top) for v in logs))
+        i = np.arange(1, min(x, y) + 1)
+        logs = np.concatenate([[0.0], np.cumsum(np.log(n - i + 1) - np.log(i))]) - n * math.log(2)
+        top = logs.max()
+        return min(1.0, 2 * math.exp(top) * float(np.exp(logs - top).sum()))
 
     return pd.Series([one(int(x), int(y)) for x, y in zip(b, c, strict=True)])
 

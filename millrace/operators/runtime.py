@@ -22,9 +22,12 @@ def phase_wall(df: DataFrame, keys: list[str], start: str, finish: str) -> DataF
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.round(wall, 6).alias("wall_seconds")).withColumn("throughput", F.round(F.when(F.col("wall_seconds") > 0, F.col("n") / F.col("wall_seconds")), 9))
 
 
-def within(samples: DataFrame, at: str, intervals: DataFrame, start: str, finish: str) -> DataFrame:
-    """Samples inside any interval; intervals are one row for each phase, a bounded list."""
-    return samples.join(F.broadcast(intervals), (F.col(at) >= F.col(start)) & (F.col(at) <= F.col(finish)), "left_semi")
+def within(samples: DataFrame, at: str, intervals: DataFrame, start: str, finish: str, width: int = 3_600) -> DataFrame:
+    """Samples inside any interval, which they meet by the stretch of ``width`` seconds that holds them."""
+    stretch = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / width)
+    cut = intervals.select(F.col(start).alias("_from"), F.col(finish).alias("_to"), F.explode(F.sequence(stretch(start), stretch(finish))).alias("_stretch"))
+    met = samples.withColumn("_in", stretch(at))
+    return met.join(cut, (F.col("_in") == F.col("_stretch")) & (F.col(at) >= F.col("_from")) & (F.col(at) <= F.col("_to")), "left_semi").drop("_in")
 
 
 def sweep(walls: DataFrame, level: str) -> DataFrame:
