@@ -91,6 +91,17 @@ def test_line_dedup(spark):
     assert got[30]["t"] is None and got[31]["t"] == "" and got[32]["t"] == "menu home"
 
 
+def test_line_dedup_ways_agree(spark):
+    """Sent lists and the salted join give the same rows; small hosts keep lines unless asked."""
+    texts = [f"menu\nline {i}" for i in range(40)] + AWKWARD
+    d = table(spark, texts)
+    rows = lambda **k: sorted((r["doc_id"], r["t"]) for r in line_dedup.without_boilerplate(d, "source", "text", **k).select("doc_id", F.array_join("_kept", "\n").alias("t")).collect() if r["t"] is not None)
+    assert rows() == rows(sent_lines=0) and all("menu" not in t for i, t in rows() if i < 40)
+    few = spark.createDataFrame([(i, "same\n" + str(i), "h") for i in range(3)], "doc_id long, text string, source string")
+    left = lambda **k: {r["t"] for r in line_dedup.without_boilerplate(few, "source", "text", **k).select(F.array_join("_kept", "\n").alias("t")).collect()}
+    assert "same\n0" in left() and left(min_pages=1, ratio=0.5) == {"0", "1", "2"}
+
+
 # -- 5 -------------------------------------------------------------------------------------------
 def brute_components(rows, n, num, den):
     sets = []
@@ -226,6 +237,55 @@ def test_decontamination(spark):
     assert {(0, 7), (1, 7)} <= got and not {d for d, _ in got} & {2, 4, 5}
 
 
+def test_verbatim_items_of_slots_and_other_case(spark):
+    """What the templates cannot hold is found as written: tables of numbers, names, other case, other line breaks."""
+    numbers = " ".join(str(k * k + 3) for k in range(30))
+    names = "Anna Bauer, Carl Denk, Emil Frey, Gina Hahn, Ines Jung, Kurt Lang, Maja Noll, Olga Pohl, Rita Senn, Toni Ulm"
+    bench = spark.createDataFrame([(1, numbers), (2, names), (3, ITEM)], "item_id long, text string")
+    texts = [f"x {numbers} y", names.lower(), ITEM.upper(), ITEM.replace(" ", "\n"), "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16", "nothing of this is there"]
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(table(spark, texts), bench).collect()}
+    assert got == {(0, 1), (1, 2), (2, 3), (3, 3)}
+
+
+def brute_leaks(texts, items, window=10, coverage=0.5):
+    """Items of which half the words stand in windows of ten equal words, letter case aside."""
+    cut = lambda t: re.findall(r"[^\W\d_]+|[0-9]+(?:[.,][0-9]+)*|%", t.lower())
+    out = set()
+    for d, t in texts.items():
+        w = cut(t or "")
+        for i, x in items.items():
+            v = cut(x)
+            n = min(window, len(v))
+            seen = {tuple(w[k:k + n]) for k in range(len(w) - n + 1)}
+            held = {j for k in range(len(v) - n + 1) if n and tuple(v[k:k + n]) in seen for j in range(k, k + n)}
+            if v and len(held) >= coverage * len(v):
+                out.add((d, i))
+    return out
+
+
+def test_decontamination_brute(spark):
+    random.seed(8)
+    some = lambda n: " ".join(random.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + random.choice("abcdefghij") for _ in range(n))
+    items = {i: some(random.randrange(4, 40)) for i in range(25)}
+    texts = {}
+    for d in range(120):
+        x = items[random.randrange(25)].split()
+        k = random.randrange(len(x))
+        texts[d] = f"{some(20)} {' '.join(x[k:k + random.randrange(1, 40)])} {some(9)}"
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), bench).collect()}
+    assert got == brute_leaks(texts, items) and 10 < len(got) < 120
+
+
+def test_decontamination_joins_beyond_the_bounds(spark, monkeypatch):
+    bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    docs = table(spark, [f"We say: {ITEM} ok", "no", *AWKWARD])
+    want = sorted(tuple(r) for r in decontamination.leaks(docs, bench).collect())
+    monkeypatch.setattr(decontamination, "SENT_WINDOWS", 0)
+    monkeypatch.setattr(decontamination, "SENT_ROWS", 0)
+    assert sorted(tuple(r) for r in decontamination.leaks(docs, bench).collect()) == want and len(want) == 1
+
+
 def test_inconsistent_slots_do_not_count(spark):
     item = "if 4 boys share 4 apples and 4 pears then how many fruits are there for the 4 boys in total please say"
     good = item.replace("4", "9")
@@ -397,10 +457,8 @@ def test_sharding_brute(spark):
     texts = [random.choice(["a", "bb", "ccc"]) * random.randrange(1, 400) for _ in range(20_000)]
     d = sharding.assigned(table(spark, texts)).toPandas()
     assert len(set(zip(d["shard"], d["slot"], strict=True))) == len(texts) == d["doc_id"].nunique()
-    order = d.sort_values(["shard", "slot"])["doc_id"].tolist()
-    runs = [texts[i] for k, i in enumerate(order) if not k or texts[i] != texts[order[k - 1]]]
-    again = len(runs) - len(set(runs))
-    assert again <= 40  # a group is only parted by large records, dealt apart
+    spans = d.assign(text=[texts[i] for i in d["doc_id"]]).groupby("text")["shard"].agg(["min", "max"])
+    assert (spans["max"] - spans["min"]).max() <= 1
 
 
 # -- 2 -------------------------------------------------------------------------------------------
