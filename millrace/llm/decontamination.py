@@ -47,16 +47,23 @@ def _once(**columns) -> list:
     return [F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))).alias(*columns)]
 
 
-def templates(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """keep, marked (the text with its names marked), template (its template tokens) and plain (its lower-cased words as written)."""
+def templates(rows: DataFrame, text: str, keep: list[str], both: bool = True) -> DataFrame:
+    """keep, marked (the text with its names marked), template (its template tokens) and plain (its lower-cased words as written).
+
+    A text without slots has one form: with ``both`` plain then repeats template, else it is empty.
+    """
     t = F.col(text)
     held = F.contains(t, F.lit("\u0001")) | F.contains(t, F.lit("\u0002")) | F.contains(t, F.lit("\u0003"))
     free = F.when(held, F.translate(t, "\u0001\u0002\u0003", "   ")).otherwise(t)
-    marked = rows.select(*keep, *_once(marked=F.regexp_replace(free, NAME, "\u0001$0\u0002"), low=F.lower(free)))
+    marked = rows.select(*keep, *_once(marked=F.regexp_replace(free, NAME, "\u0001$0\u0002")))
     units = r"(?<=[0-9] ?)(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{M}])"
-    named = F.lower(F.when(F.contains("marked", F.lit("\u0001")), F.regexp_replace("marked", "\u0001[^\u0002]*\u0002", IS_NAME)).otherwise(F.col("marked")))
-    shape = F.when(F.col("marked").rlike("[0-9]"), F.regexp_replace(F.regexp_replace(named, units, IS_UNIT), NUMBER, IS_NUMBER)).otherwise(named)
-    return marked.select(*keep, "marked", *_once(template=F.regexp_extract_all(shape, F.lit(TOKEN), F.lit(0)), plain=F.regexp_extract_all("low", F.lit(TOKEN), F.lit(0))))
+    has_name, has_number = F.contains("marked", F.lit("\u0001")), F.col("marked").rlike("[0-9]")
+    named = F.lower(F.when(has_name, F.regexp_replace("marked", "\u0001[^\u0002]*\u0002", IS_NAME)).otherwise(F.col("marked")))
+    shape = F.when(has_number, F.regexp_replace(F.regexp_replace(named, units, IS_UNIT), NUMBER, IS_NUMBER)).otherwise(named)
+    low = F.lower(F.translate("marked", "\u0001\u0002", ""))
+    plain = F.when(has_name | has_number, F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))).when(F.col("marked").isNotNull(), F.array().cast("array<string>"))
+    made = marked.select(*keep, "marked", *_once(template=F.regexp_extract_all(shape, F.lit(TOKEN), F.lit(0)), plain=plain))
+    return made.withColumn("plain", F.when(F.size("plain") == 0, F.col("template")).otherwise(F.col("plain"))) if both else made
 
 
 def written():
@@ -64,10 +71,6 @@ def written():
     return F.regexp_extract_all("marked", F.lit(TOKEN), F.lit(0))
 
 
-def _hashed(tokens: str, form: int):
-    return F.transform(tokens, lambda x: F.xxhash64(x, F.lit(form)))
-
-
 def windows(rows: DataFrame, lengths: dict[str, list[int]], keep: list[str]) -> DataFrame:
     """keep and, for each form and length, a column form_length of the hashes of all windows.
 
@@ -75,12 +78,12 @@ def windows(rows: DataFrame, lengths: dict[str, list[int]], keep: list[str]) ->
     """
     pair = lambda a, b, shift: F.zip_with(F.slice(a, 1, F.greatest(F.size(b) - shift, F.lit(0))), F.slice(b, shift + 1, F.greatest(F.size(b) - shift, F.lit(0))), lambda x, y: F.xxhash64(x, y))
     kept = [*keep, *FORMS]
-    for k, form in enumerate(FORMS):
+    for form in FORMS:
         own = lengths.get(form, [])
         if not own:
             continue
         width, have = 1, [f"_{form}_1"]
-        rows = rows.select(*kept, *_once(**{f"_{form}_1": _hashed(form, k)}))
+        rows = rows.select(*kept, *_once(**{f"_{form}_1": F.transform(form, lambda x: F.xxhash64(x))}))
         while 2 * width <= max(own):
             rows = rows.select(*kept, *have, *_once(**{f"_{form}_{2 * width}": pair(F.col(f"_{form}_{width}"), F.col(f"_{form}_{width}"), width)}))
             width *= 2
@@ -119,8 +122,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     few = hashes.count() <= SENT_WINDOWS
 
     rows = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
-    every = [f"{f}_{n}" for f in FORMS for n in lengths[f]]
-    each = windows(templates(rows, "text", ["row"]), lengths, ["row"]).select("row", F.explode(F.concat(*every)).alias("hash"))
+    # both forms hash alike, so a text without slots is read once, in the lengths of both
+    first = {"template": sorted({n for f in FORMS for n in lengths[f]}), "plain": lengths["plain"]}
+    every = [f"{f}_{n}" for f in FORMS for n in first[f]]
+    each = windows(templates(rows, "text", ["row"], both=False), first, ["row"]).select("row", F.explode(F.concat(*every)).alias("hash"))
     hit = stored(each.join(F.broadcast(hashes) if few else hashes, "hash", "left_semi").select("row").distinct())  # at most SENT_WINDOWS longs
     some = hit if hit.count() > SENT_ROWS else F.broadcast(hit)  # at most SENT_ROWS longs
     texts = windows(templates(rows.join(some, "row", "left_semi"), "text", ["row", "doc_id"]), lengths, ["row", "doc_id", "marked"])
