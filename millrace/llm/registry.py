@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, conversations, decontamination, html_extraction, line_dedup, neighbours, ngram_join, pseudonyms, quality_compression, quality_rules, secrets, sharding
+from . import bpe, conversations, decontamination, html_extraction, lexical, line_dedup, neighbours, ngram_join, pseudonyms, quality_compression, quality_rules, secrets, sharding
 
-MODULES = (line_dedup, ngram_join, bpe, quality_rules, decontamination, pseudonyms, secrets, quality_compression, sharding, html_extraction, conversations, neighbours)
+MODULES = (line_dedup, ngram_join, bpe, quality_rules, decontamination, pseudonyms, secrets, quality_compression, sharding, html_extraction, conversations, neighbours, lexical)
 
 
 def queries() -> dict:
