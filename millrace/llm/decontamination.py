@@ -28,14 +28,16 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 WINDOW, COVERAGE, FITTING, LITERALS = 10, 0.5, 0.8, 0.5
+STRETCH = 256
 SENT_WINDOWS = 1_000_000
 SENT_ROWS = 500_000
 
 #: Units that may follow a number, and words that are numbers.
 UNITS = ["%", "km", "m", "cm", "mm", "kg", "g", "mg", "l", "ml", "mi", "miles", "mile", "feet", "ft", "inches", "pounds", "lb", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "weeks", "years", "dollars", "euros", "cents", "meters", "metres", "degrees", "liters", "litres", "mph", "kmh"]
-NAME = r"\p{Lu}(?<=[\p{Ll},;] \p{Lu})\p{Ll}+(?: \p{Lu}\p{Ll}+)*"
-NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
-TOKEN = "[\\p{L}\\p{M}]++|\u0001[^\u0002]*\u0002|[0-9]++(?:[.,][0-9]++)*|[\u0003%]"
+# repeated groups are possessive: Java's engine then loops, where it would else recurse once for each turn
+NAME = r"\p{Lu}(?<=[\p{Ll},;] \p{Lu})\p{Ll}++(?: \p{Lu}\p{Ll}++)*+"
+NUMBER = r"[0-9]++(?:[.,][0-9]++)*+"
+TOKEN = "[\\p{L}\\p{M}]++|\u0001[^\u0002]*\u0002|[0-9]++(?:[.,][0-9]++)*+|[\u0003%]"
 #: Placeholders as they stand in a template: they are tokens that no text can hold.
 IS_NAME, IS_UNIT, IS_NUMBER = "\u0001\u0002", "\u0003", "0"
 SLOTS = [IS_NAME, IS_UNIT, IS_NUMBER]
@@ -71,6 +73,18 @@ def written():
     return F.regexp_extract_all("marked", F.lit(TOKEN), F.lit(0))
 
 
+def stretched(rows: DataFrame, keep: list[str], window: int, *more: str) -> DataFrame:
+    """keep, base and both forms (and more arrays) in stretches of STRETCH tokens that overlap by a window less one.
+
+    What is worked out for a stretch is small, however long its text; windows that lie in the
+    overlap may come out twice, which counts for nothing.
+    """
+    size = F.greatest(F.size("template"), F.size("plain"))
+    starts = F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(STRETCH))
+    part = lambda c, at: F.slice(c, at + 1, STRETCH + window - 1).alias(c)
+    return rows.select(*keep, F.inline(F.transform(starts, lambda at: F.struct(at.alias("base"), *(part(c, at) for c in (*FORMS, *more))))))
+
+
 def windows(rows: DataFrame, lengths: dict[str, list[int]], keep: list[str]) -> DataFrame:
     """keep and, for each form and length, a column form_length of the hashes of all windows.
 
@@ -125,21 +139,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     # both forms hash alike, so a text without slots is read once, in the lengths of both
     first = {"template": sorted({n for f in FORMS for n in lengths[f]}), "plain": lengths["plain"]}
     every = [f"{f}_{n}" for f in FORMS for n in first[f]]
-    each = windows(templates(rows, "text", ["row"], both=False), first, ["row"]).select("row", F.explode(F.concat(*every)).alias("hash"))
+    each = windows(stretched(templates(rows, "text", ["row"], both=False), ["row"], window), first, ["row"]).select("row", F.explode(F.concat(*every)).alias("hash"))
     hit = stored(each.join(F.broadcast(hashes) if few else hashes, "hash", "left_semi").select("row").distinct())  # at most SENT_WINDOWS longs
     some = hit if hit.count() > SENT_ROWS else F.broadcast(hit)  # at most SENT_ROWS longs
-    texts = windows(templates(rows.join(some, "row", "left_semi"), "text", ["row", "doc_id"]), lengths, ["row", "doc_id", "marked"])
+    own = ["row", "doc_id"]
+    again = templates(rows.join(some, "row", "left_semi"), "text", own)
+    again = again.select(*own, *FORMS, *_once(written=written()))
+    texts = windows(stretched(again, own, window, "written"), lengths, [*own, "base", "written"])
 
     found = None
     for form, n in ((f, n) for f in FORMS for n in lengths[f]):
         mine = keys.where((F.col("form") == form) & (F.col("n") == n)).drop("form", "n")
-        met = texts.select("row", "doc_id", "marked", form, F.posexplode(f"{form}_{n}").alias("at", "hash"))
+        met = texts.select("row", "doc_id", "base", "written", form, F.posexplode(f"{form}_{n}").alias("at", "hash"))
         met = met.join(F.broadcast(mine) if few else mine, "hash").where(F.slice(form, F.col("at") + 1, n) == F.col("item_form"))
         none = F.filter(F.arrays_zip(F.col("item_form").alias("kind"), F.col("item_form").alias("was"), F.col("item_form").alias("now")), lambda s: F.lit(False))
         if form == "template":
-            slots = F.arrays_zip(F.col("item_form").alias("kind"), F.col("item_tokens").alias("was"), F.slice(written(), F.col("at") + 1, n).alias("now"))
+            slots = F.arrays_zip(F.col("item_form").alias("kind"), F.col("item_tokens").alias("was"), F.slice("written", F.col("at") + 1, n).alias("now"))
             none = F.when(F.exists("item_form", lambda x: x.isin(SLOTS)), F.filter(slots, lambda s: s["kind"].isin(SLOTS))).otherwise(none)
-        part = met.select("row", "doc_id", "item_id", "item_at", "item_size", F.lit(form).alias("form"), (F.col("at") - F.col("item_at")).alias("diagonal"), F.lit(n).alias("n"), none.alias("slots"))
+        part = met.select("row", "doc_id", "item_id", "item_at", "item_size", F.lit(form).alias("form"), (F.col("base") + F.col("at") - F.col("item_at")).alias("diagonal"), F.lit(n).alias("n"), none.alias("slots"))
         found = part if found is None else found.unionByName(part)
     # every set below is bounded by the length of one benchmark item
     lines = found.groupBy("row", "doc_id", "item_id", "form", "diagonal").agg(F.collect_set("item_at").alias("places"), F.first("n").alias("n"), F.first("item_size").alias("item_size"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
