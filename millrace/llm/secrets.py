@@ -87,12 +87,15 @@ def scanned(docs: DataFrame, owner, repository) -> DataFrame:
     """A row for each row of docs: counts by kind, the digest of base spans, all spans, live and example counts."""
     found = stored(candidates(docs, owner, repository))
     each = judged(spans(found))
-    # a run that lies within a base span is that span's value, not another; all spans of one text meet here
+    # a run that meets a base span is that span's value, not another: only the neighbours in the order of starts can meet it
+    is_base, sofar = F.col("kind") < 3, (Window.unboundedPreceding, 0)
+    before = F.max(F.when(is_base, F.col("end"))).over(Window.partitionBy("row").orderBy("start", "kind").rowsBetween(*sofar))
+    after = F.min(F.when(is_base, F.col("start"))).over(Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(*sofar))
+    each = each.withColumns({"before": before, "after": after})
+    each = each.where(is_base | ~F.coalesce((F.col("before") > F.col("start")) | (F.col("after") < F.col("end")), F.lit(False))).drop("before", "after")
     part = each.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "owners", "repositories"))).alias("s"))
     base = F.filter("s", lambda x: x["kind"] < 3)
-    parts = part.select("row", base.alias("base"), F.filter("s", lambda x: x["kind"] > 2).alias("more"))
-    parts = parts.withColumn("more", F.filter("more", lambda x: ~F.exists("base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))))
-    parts = parts.withColumn("s", F.array_sort(F.concat("base", "more")))
+    parts = part.select("row", "s", base.alias("base"))
     names = F.array(*(F.lit(n) for n in ("assign", "access", "hex", "copy", "bare")))
     shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])), ",")
     count = lambda test: F.coalesce(F.size(F.filter("s", test)).cast("long"), F.lit(0).cast("long"))
