@@ -65,12 +65,16 @@ def full_denominators(df: DataFrame, keys: list[str], fault: Column, status: Col
         count(fault).alias("faults"), count(~fault).alias("clean"), count(fault & fail).alias("tp"), count(fault & passed).alias("fn"),
         count(~fault & passed).alias("tn"), count(~fault & fail).alias("fp"), count(review).alias("reviews"),
     )
+    return got.withColumns({k: F.round(v, DIGITS) for k, v in full_ratios().items()})
+
+
+def full_ratios() -> dict[str, Column]:
+    """Nine ratios of the columns faults, clean, tp, fn, tn, fp and reviews; null where there is nothing to divide by."""
     recall, specific = F.try_divide("tp", "faults"), F.try_divide("tn", "clean")
     precision = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))
     total = F.col("faults") + F.col("clean")
-    made = {
+    return {
         "precision": precision, "recall": recall, "specificity": specific, "balanced_accuracy": (recall + specific) / 2,
         "f1": F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)), "faults_passed_rate": F.try_divide("fn", "faults"),
         "clean_failed_rate": F.try_divide("fp", "clean"), "coverage": F.try_divide(total - F.col("reviews"), total), "review_rate": F.try_divide(F.col("reviews"), total),
     }
-    return got.withColumns({k: F.round(v, DIGITS) for k, v in made.items()})

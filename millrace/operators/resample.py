@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from millrace.operators.design import numbered
+from millrace.operators.metrics import full_ratios
 
 
 def hash_draw(seed: int, replicate: Column, i: Column, n: Column) -> Column:
@@ -83,6 +84,20 @@ def cluster_bootstrap(clusters: DataFrame, cluster: str, sums: list[str], sample
     return drawn.join(placed.select("_at", *sums), "_at").groupBy("replicate").agg(*(F.sum(c).alias(c) for c in sums))
 
 
+FULL_SUMS = ["faults", "clean", "tp", "fn", "tn", "fp", "reviews"]
+
+
+def cluster_intervals(clusters: DataFrame, cluster: str, samples: int = 10_000, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """metric, low, high, valid_replicates: percentile intervals of nine ratios over clusters (FULL_SUMS each) drawn with replacement.
+
+    A replicate in which a ratio has nothing to divide by is not valid for it and is left out of its interval.
+    """
+    ratios = full_ratios()
+    drawn = cluster_bootstrap(clusters, cluster, FULL_SUMS, samples, seed).select(*(v.alias(k) for k, v in ratios.items()))
+    q = (1 - level) / 2
+    return drawn.unpivot([], list(ratios), "metric", "value").groupBy("metric").agg(F.percentile("value", q).alias("low"), F.percentile("value", 1 - q).alias("high"), F.count("value").alias("valid_replicates"))
+
+
 @F.pandas_udf(DoubleType())
 def exact_mcnemar(b: pd.Series, c: pd.Series) -> pd.Series:
     """Two-sided exact p of b against c discordant pairs, in log space; 1.0 without any."""

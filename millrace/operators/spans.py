@@ -48,20 +48,42 @@ KOREAN = Terms(
 )
 
 
-def _once(**columns: Column) -> Column:
+def once(**columns: Column) -> Column:
     """Columns worked out once for each row, however often they are used."""
     return F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))).alias(*columns)
 
 
+#: Ends are summed up in stretches of so many matches, as an array grows by being copied.
+STRETCH = 256
+
+
+def _sums(steps: Column, size: Column) -> Column:
+    """Running sums of an array: within stretches first, then over what the stretches come to."""
+    start = F.struct(F.array().cast("array<int>").alias("sums"), F.lit(0).alias("at"))
+    grow = lambda a, n: F.struct(F.array_append(a["sums"], a["at"] + n).alias("sums"), (a["at"] + n).alias("at"))
+    firsts = F.sequence(F.lit(1), F.greatest(size, F.lit(1)), F.lit(STRETCH))
+    inner = lambda held: F.transform(firsts, lambda k: F.aggregate(F.slice(held, k, STRETCH), start, grow))
+    return F.transform(  # arrays of one, so that what several steps read is worked out once
+        F.transform(F.array(steps), inner),
+        lambda parts: F.flatten(F.zip_with(
+            parts, F.aggregate(F.transform(parts, lambda p: p["at"]), start, grow, lambda a: a["sums"]),
+            lambda p, after: F.transform(p["sums"], lambda x: x + after - p["at"]),
+        )),
+    )[0]
+
+
+def _found(text: Column, pattern: str) -> Column:
+    """array<struct<start,end,match>>: the matches of a text in order, with their places."""
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    both = F.array(F.struct(gaps.alias("gaps"), found.alias("found")))
+    steps = lambda b: F.zip_with(F.slice(b["gaps"], 1, F.size(b["found"])), b["found"], lambda p, m: F.length(p) + F.length(m))
+    place = lambda m, e: F.struct((e - F.length(m)).cast("long").alias("start"), e.cast("long").alias("end"), m.alias("match"))
+    return F.transform(both, lambda b: F.zip_with(b["found"], _sums(steps(b), F.size(b["found"])), place))[0]
+
+
 def _placed(df: DataFrame, keys: list[str], text: str, pattern: str) -> DataFrame:
     """keys, text, found: the matches of each row with their places, summed up within the row; nothing is shuffled."""
-    t = F.col(text)
-    cut = df.select(*keys, text, _once(_gaps=F.split(t, pattern, -1), _found=F.regexp_extract_all(t, F.lit(pattern), F.lit(0))))
-    steps = F.zip_with(F.slice("_gaps", 1, F.size("_found")), "_found", lambda p, m: F.length(p) + F.length(m))
-    start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("at"))
-    ends = F.aggregate(steps, start, lambda a, n: F.struct(F.array_append(a["ends"], a["at"] + n).alias("ends"), (a["at"] + n).alias("at")), lambda a: a["ends"])
-    place = lambda m, e: F.struct((e - F.length(m)).cast("long").alias("start"), e.cast("long").alias("end"), m.alias("match"))
-    return cut.select(*keys, text, F.zip_with("_found", ends, place).alias("found"))
+    return df.select(*keys, text, once(found=_found(F.col(text), pattern)))
 
 
 def occurrences(df: DataFrame, keys: list[str], text: str, pattern: str) -> DataFrame:
@@ -80,7 +102,7 @@ def sentences(df: DataFrame, keys: list[str], text: str) -> DataFrame:
         lead = F.length(F.regexp_extract(m["match"], f"^{_BLANK}*", 0))
         return F.struct((m["start"] + lead).alias("start"), F.regexp_replace(m["match"], f"^{_BLANK}+|{_BLANK}+$", "").alias("quote"))
 
-    kept = raw.select(*keys, text, _once(_kept=F.filter(F.transform("found", bare), lambda s: s["quote"] != "")))
+    kept = raw.select(*keys, text, once(_kept=F.filter(F.transform("found", bare), lambda s: s["quote"] != "")))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col(text).alias("quote")))
     each = kept.select(*keys, F.inline(F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(whole)))
     return each.select(*keys, "start", (F.col("start") + F.length("quote")).alias("end"), "quote")
@@ -147,12 +169,10 @@ def roles(found: DataFrame, nodes: DataFrame, key: str, terms: Terms) -> DataFra
 
 
 def maneuvers(df: DataFrame, key: str, text: str, terms: Terms) -> DataFrame:
-    """key, kind, start, end, quote: every occurrence of every maneuver term, once for each place and kind."""
-    out = None
-    for kind, term in terms.maneuvers:
-        part = occurrences(df, [key], text, "\\Q" + term + "\\E").select(key, F.lit(kind).alias("kind"), "start", "end", F.col("match").alias("quote"))
-        out = part if out is None else out.unionByName(part)
-    return out.dropDuplicates([key, "kind", "start", "end"])
+    """key, kind, term (its number), start, end, quote: every occurrence of every maneuver term, in one reading of the texts."""
+    one = lambda n, kind, term: F.transform(_found(F.col(text), "\\Q" + term + "\\E"), lambda m: F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("term"), m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("quote")))
+    every = [F.when(F.contains(F.col(text), F.lit(term)), one(n, kind, term)) for n, (kind, term) in enumerate(dict.fromkeys(terms.maneuvers))]
+    return df.where(F.col(text).isNotNull()).select(key, F.inline(F.flatten(F.array_compact(F.array(*every)))))
 
 
 def span_entities(spans: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
@@ -162,18 +182,18 @@ def span_entities(spans: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
 
 
 def drivers(spans: DataFrame, nodes: DataFrame, key: str, terms: Terms) -> DataFrame:
-    """key, start, driver, vehicle: sentences that speak of driving, name a person and exactly one vehicle."""
+    """key, start, quote, driver, vehicle: sentences that speak of driving, name a person and exactly one vehicle."""
     own = span_entities(spans.where(F.contains("quote", F.lit(terms.gate))), nodes, key).withColumn("driver", F.regexp_extract("quote", terms.driver, 1))
-    return own.where((F.col("driver") != "") & (F.size("entities") == 1)).select(key, "start", "driver", F.col("entities")[0]["node_id"].alias("vehicle"))
+    return own.where((F.col("driver") != "") & (F.size("entities") == 1)).select(key, "start", "quote", "driver", F.col("entities")[0]["node_id"].alias("vehicle"))
 
 
 def same_as(spans: DataFrame, nodes: DataFrame, key: str, terms: Terms) -> DataFrame:
-    """key, start, role, model: sentences that speak of driving with exactly two vehicles, one named by role and one by model."""
+    """key, start, quote, role, model: sentences that speak of driving with exactly two vehicles, one named by role and one by model."""
     own = span_entities(spans.where(F.contains("quote", F.lit(terms.gate))), nodes, key).where(F.size("entities") == 2)
     role = lambda e: F.exists(F.array(*map(F.lit, terms.roles)), lambda w: F.contains(e["label"], w))
     one = F.filter("entities", lambda e: role(e))
     other = F.filter("entities", lambda e: ~role(e))
-    return own.where((F.size(one) == 1) & (F.size(other) == 1)).select(key, "start", one[0]["node_id"].alias("role"), other[0]["node_id"].alias("model"))
+    return own.where((F.size(one) == 1) & (F.size(other) == 1)).select(key, "start", "quote", one[0]["node_id"].alias("role"), other[0]["node_id"].alias("model"))
 
 
 def event_order(events: DataFrame, key: str, at: str, event: str) -> DataFrame:

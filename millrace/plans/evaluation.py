@@ -249,6 +249,21 @@ def cluster_bootstrap_interval(spark, sf):
     return r.agg(F.count("r").alias("replicates"), F.round(F.percentile("r", 0.025), 9).alias("low"), F.round(F.percentile("r", 0.975), 9).alias("high"))
 
 
+_NINE = "tp / nullif(tp + fp, 0) as precision, tp / nullif(faults, 0) as recall, tn / nullif(clean, 0) as specificity, (tp / nullif(faults, 0) + tn / nullif(clean, 0)) / 2 as balanced_accuracy, case when tp > 0 then 2 * (tp / (tp + fp)) * (tp / faults) / (tp / (tp + fp) + tp / faults) end as f1, fn / nullif(faults, 0) as faults_passed_rate, fp / nullif(clean, 0) as clean_failed_rate, (faults + clean - reviews) / (faults + clean) as coverage, reviews / (faults + clean) as review_rate"
+
+
+@query("cluster_bootstrap_metrics", CALL_SQL + """, k as (select cluster, count(*) filter (where fault) as faults, count(*) filter (where not fault) as clean, count(*) filter (where fault and status = 'FAIL') as tp, count(*) filter (where fault and status = 'PASS') as fn, count(*) filter (where not fault and status = 'PASS') as tn, count(*) filter (where not fault and status = 'FAIL') as fp, count(*) filter (where coalesce(status, '') not in ('PASS', 'FAIL')) as reviews from c group by cluster),
+ n as (select *, row_number() over (order by cluster) - 1 as at_, count(*) over () as n from k), g as (select r.replicate, unnest(range((select count(*) from k))) as i from range(10000) r(replicate)),
+ d as (select replicate, sum(faults) as faults, sum(clean) as clean, sum(tp) as tp, sum(fn) as fn, sum(tn) as tn, sum(fp) as fp, sum(reviews) as reviews from g join n on n.at_ = cast('0x' || substr(md5('11|' || replicate || '|' || i), 1, 8) as bigint) % n.n group by replicate), x as (select """ + _NINE + """ from d),
+ u as (unpivot x on columns(*) into name metric value value) select metric, round(quantile_cont(value, 0.025), 9) as low, round(quantile_cont(value, 0.975), 9) as high, count(*) as valid_replicates from u group by metric""")
+def cluster_bootstrap_metrics(spark, sf):
+    """Nine metrics over ten thousand replicates of the clusters."""
+    s, fault = F.col("status"), F.col("fault")
+    sums = {"faults": fault, "clean": ~fault, "tp": fault & (s == "FAIL"), "fn": fault & (s == "PASS"), "tn": ~fault & (s == "PASS"), "fp": ~fault & (s == "FAIL"), "reviews": ~F.coalesce(s.isin("FAIL", "PASS"), F.lit(False))}
+    cells = calls(spark, sf).groupBy("cluster").agg(*(F.count_if(t).alias(n) for n, t in sums.items()))
+    return resample.cluster_intervals(cells, "cluster", 10_000, 11).select("metric", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "valid_replicates")
+
+
 @query("paired_sign_flip")
 def paired_sign_flip(spark, sf):
     c = calls(spark, sf).where("status in ('PASS', 'FAIL')").withColumn("right", ((F.col("status") == "FAIL") == F.col("fault")).cast("double"))

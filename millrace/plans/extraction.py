@@ -107,13 +107,13 @@ ENT_SQL = MENTION_SQL + SENT_SQL.replace("with m as", ", m as", 1) + ", g as (se
 @query("driver_relations", ENT_SQL + "select doc_id, start, regexp_extract(quote, '([A-Za-z]{1,20}) of ', 1) as driver, one as vehicle from g where contains(quote, ' of ') and n = 1 and regexp_extract(quote, '([A-Za-z]{1,20}) of ', 1) <> ''")
 def driver_relations(spark, sf):
     d = docs(spark, sf)
-    return spans.drivers(spans.sentences(d, ["doc_id"], "text"), spans.mention_nodes(d, "doc_id", "text", PROSE), "doc_id", PROSE)
+    return spans.drivers(spans.sentences(d, ["doc_id"], "text"), spans.mention_nodes(d, "doc_id", "text", PROSE), "doc_id", PROSE).drop("quote")
 
 
 @query("same_as_relations", ENT_SQL + "select doc_id, start, role, model from g where contains(quote, ' of ') and n = 2 and roles = 1")
 def same_as_relations(spark, sf):
     d = docs(spark, sf)
-    return spans.same_as(spans.sentences(d, ["doc_id"], "text"), spans.mention_nodes(d, "doc_id", "text", PROSE), "doc_id", PROSE)
+    return spans.same_as(spans.sentences(d, ["doc_id"], "text"), spans.mention_nodes(d, "doc_id", "text", PROSE), "doc_id", PROSE).drop("quote")
 
 
 @query("event_order", "with e as (select user_id, 'e_' || (event_id % 97) as id, event_id // 10 as at_ from events), o as (select user_id, id as source, lead(id) over (partition by user_id order by at_, id) as target from e) select user_id, source, target, count(*) as n from o where target is not null group by all")

@@ -214,15 +214,6 @@ def hash_chain_breaks(spark, sf):
     return consensus.chain_breaks(broken, "conv_id", "turn", "payload", "previous", "own")
 
 
-@query("graph_semantics", """with x as (select d.doc_id, list_distinct(string_split(substr(text, 1, 60), ' ')) as h, list_distinct(string_split(substr(text, 11, 60), ' ')) as p, string_split(substr(text, 1, 60), ' ')[1] as h1, string_split(substr(text, 11, 60), ' ')[1] as p1, lang from documents d)
- select lang, cast(sum(len(list_intersect(h, p))) as bigint) as tp, cast(sum(len(p) - len(list_intersect(h, p))) as bigint) as fp, cast(sum(len(h) - len(list_intersect(h, p))) as bigint) as fn, count(*) filter (where h1 = p1) as agent_exact from x group by lang""")
-def graph_semantics(spark, sf):
-    words = lambda at: F.array_distinct(F.split(F.substring("text", at, 60), " "))
-    x = read(spark, sf, "documents").select("lang", words(1).alias("h"), words(11).alias("p"))
-    both = F.size(F.array_intersect("h", "p"))
-    return x.groupBy("lang").agg(F.sum(both).alias("tp"), F.sum(F.size("p") - both).alias("fp"), F.sum(F.size("h") - both).alias("fn"), F.count_if(F.element_at("h", 1) == F.element_at("p", 1)).alias("agent_exact"))
-
-
 @query("quote_alignment", "select doc_id, length(text) > 4 and (contains(substr(text, 1, 40), substr(text, 5, 10)) or contains(substr(text, 5, 10), substr(text, 1, 40)) or contains(lang, substr(text, 5, 10)) or (length(lang) > 0 and contains(substr(text, 5, 10), lang))) as aligned from documents")
 def quote_alignment(spark, sf):
     d = read(spark, sf, "documents").select("doc_id", F.array(F.substring("text", 1, 40), "lang").alias("p"), F.array(F.substring("text", 5, 10)).alias("h"))

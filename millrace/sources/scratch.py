@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -14,3 +14,10 @@ def folder(spark: SparkSession, name: str) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     where = where or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once and read back, for what several steps read: lineage ends there."""
+    path = folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
