@@ -23,7 +23,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import released, table
 
 #: White space as the vocabulary's patterns know it (the Unicode property), as a fixed value.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -42,7 +42,7 @@ def byte_letters() -> list[str]:
 
 
 class Codec:
-    def __init__(self, content: str, keep: int = 150_000):
+    def __init__(self, content: str, keep: int = 75_000):
         import ahocorasick
         import regex
 
@@ -238,7 +238,9 @@ def encoded(docs: DataFrame, content: str, ids: bool = False) -> DataFrame:
     def run(batches):
         own = None
         for b in batches:
-            own = own or Codec(shared.value)
+            if own is None:
+                released()
+                own = Codec(shared.value)
             for at in range(0, b.num_rows, 256):  # a few texts at a time
                 part = b.slice(at, 256)
                 texts = part.column("text").to_pylist()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +46,12 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 def digest(col) -> "F.Column":
     """128 bits of a string, as two longs: enough to stand for the string in counts over any corpus."""
     return F.struct(F.xxhash64(col).alias("a"), F.xxhash64(F.lit(7), col, F.lit(11)).alias("b"))
+
+
+def released() -> None:
+    """Gives back to the system what earlier tasks of this Python worker have left free, before a task that needs much."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
