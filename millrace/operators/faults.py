@@ -62,9 +62,9 @@ def targets(c: Contract, key: str) -> DataFrame:
     ego = F.col("role") == "ego"
     lane, of_actor = F.col("lane"), F.when(hit.isNotNull(), hit).when(ego, 2).otherwise(3)
     late = F.when(ego, 4).otherwise(5)  # speeds of an omission: the collision's actors have no precedence
+    ranked = lambda need, rank: F.struct(F.lit(need).alias("need"), rank.alias("rank"))
     ranks = F.array(
-        F.struct(F.lit("omission").alias("need"), F.when(lane, of_actor).otherwise(late).alias("rank")), F.struct(F.lit("speed"), F.when(~lane, of_actor)), F.struct(F.lit("pose"), F.when(lane, of_actor)),
-        F.struct(F.lit("map"), F.when(lane & hit.isNotNull(), hit)),
+        ranked("omission", F.when(lane, of_actor).otherwise(late)), ranked("speed", F.when(~lane, of_actor)), ranked("pose", F.when(lane, of_actor)), ranked("map", F.when(lane & hit.isNotNull(), hit)),
     )
     each = m.select(key, "path", "was", "ord", F.inline(ranks)).where("rank is not null")
     towns = free.where("path = 'map_binding.map'").select(key, "path", "was", F.lit(0).alias("ord"), F.lit("map").alias("need"), F.lit(9).alias("rank"))

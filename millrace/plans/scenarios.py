@@ -49,13 +49,13 @@ def contract_fields(spark, sf):
 
 @query("contract_heads", CONTRACT_SQL + """, ip as (select doc_id, 'actors.' || actor_id || '.vehicle_type' as path from ac union all select doc_id, 'event_sequence.' || (step - 1) || '.description' from sq union all select doc_id, 'collision_constraints.0' from fi),
 il as (select doc_id, md5(string_agg(path, ',' order by path)) as immutable, count(*) as paths from ip group by doc_id)
-select doc_id, tier, status, array_to_string(issues, '|') as issues, coalesce(immutable, md5('')) as immutable, coalesce(paths, 0) as paths,
+select doc_id, tier, status, array_to_string(list_sort(issues), '|') as issues, coalesce(immutable, md5('')) as immutable, coalesce(paths, 0) as paths,
  array_to_string(case when actors < 2 then ['at least two actors are required'] else [] end || case when tier[1] = 'C' then ['Tier C is review-only and cannot be compiled'] else [] end || case when status <> 'needs_defaults' then ['contract status is ' || status] else [] end, '|') as problems from stt left join il using (doc_id)""")
 def contract_heads(spark, sf):
     """Status, review issues, immutable paths and problems of the contract of every document."""
     c = contract(spark, sf)
     paths = F.col("immutable_paths")
-    return c.heads.join(scenarios.problems(c, "doc_id"), "doc_id").select("doc_id", "tier", "status", F.array_join("review_issues", "|").alias("issues"), F.md5(F.array_join(paths, ",")).alias("immutable"), F.size(paths).cast("long").alias("paths"), F.array_join("problems", "|").alias("problems"))
+    return c.heads.join(scenarios.problems(c, "doc_id"), "doc_id").select("doc_id", "tier", "status", F.array_join(F.array_sort("review_issues"), "|").alias("issues"), F.md5(F.array_join(paths, ",")).alias("immutable"), F.size(paths).cast("long").alias("paths"), F.array_join("problems", "|").alias("problems"))
 
 
 # Six instructions a document: a constraint, a speed, a blueprint (empty where 3 divides doc_id), a map, a topology, a lane.
@@ -96,6 +96,10 @@ rp as (select doc_id, it, unnest(case when l % 9 = 0 then [] when l % 4 = 0 then
  when l % 4 = 2 then [{'o': 0, 'path': 'actors.0.lane_position', 'value': 'lane_relative'}] else [{'o': 0, 'path': 'map_binding.map', 'value': 'Town0' || (l % 3 + 4)}] end, recursive := true) from rd)"""
 
 
+def _told(name, passed):
+    return F.struct(F.lit(name).alias("name"), passed.alias("passed"))
+
+
 def rounds(spark, sf):
     """reports, repairs and results, with doc_id for the conversation."""
     r = read(spark, sf, "conversations").where("turn <= 3").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("iteration"), F.length("text").alias("l"))
@@ -105,7 +109,7 @@ def rounds(spark, sf):
     x = F.lit("x")
     asked = F.when(n % 9 == 0, F.array().cast("array<struct<path:string,value:string>>")).when(n % 4 == 0, F.array(one("collision_constraints.0", x))).when(n % 4 == 1, F.array(one("topology.unknown", x), one("actors.0.initial_speed_mps", (n % 3).cast("string")))).when(n % 4 == 2, F.array(one("actors.0.lane_position", F.lit("lane_relative")))).otherwise(F.array(one("map_binding.map", F.concat(F.lit("Town0"), (n % 3 + 4).cast("string")))))
     repairs = r.select("doc_id", "iteration", F.posexplode(asked).alias("ord", "i")).select("doc_id", "iteration", "ord", "i.path", "i.value")
-    told = F.array_compact(F.array(F.struct(F.lit("lane").alias("name"), (n % 13 > 1).alias("passed")), F.struct(F.lit("speed"), n % 11 > 0), F.when(n % 17 > 0, F.struct(F.lit("collision"), n % 2 == 0))))
+    told = F.array_compact(F.array(_told("lane", n % 13 > 1), _told("speed", n % 11 > 0), F.when(n % 17 > 0, _told("collision", n % 2 == 0))))
     results = r.select("doc_id", "iteration", F.inline(told))
     return reports, repairs, results
 
@@ -178,7 +182,7 @@ def fault_ledger(spark, sf):
 
 
 @query("fault_tables", FAULT_SQL + """, ok as (select * from lg where error is null), cl as (select conv_id as doc_id, turn, case when turn % 2 = 0 then 'vehicle_1' else 'vehicle_2' end as a, case when turn % 2 = 0 then 'vehicle_2' else 'vehicle_3' end as t from conversations)
-select 'fields' as part, fault_type, count(*) as n, count(*) filter (where fd.path = ok.path and fd.value is distinct from ok.injected) as changed from ok join fd using (doc_id) group by all
+select 'fields' as part, fault_type, count(*) as n, count(*) filter (where fault_type in ('required_collision_omission', 'speed_pose_perturbation', 'map_lane_mismatch') and fd.path = ok.path and fd.value is distinct from ok.injected) as changed from ok join fd using (doc_id) group by all
 union all select 'collisions', fault_type, count(*), count(*) filter (where fault_type = 'actor_target_swap' and least(a, t) = least(fi.agent, fi.target) and greatest(a, t) = greatest(fi.agent, fi.target)) from ok join cl using (doc_id) left join fi using (doc_id) where fault_type in ('actor_target_swap', 'event_order_violation', 'mismatched_keyframes') group by all
 union all select 'results', fault_type, count(*), count(*) filter (where put) from (select fault_type, false as put from ok join cl using (doc_id) where fault_type in ('actor_target_swap', 'event_order_violation', 'mismatched_keyframes') and turn < 3 and not (fault_type = 'actor_target_swap' and turn = 0) and not (fault_type = 'event_order_violation' and turn = 1) union all select fault_type, true from ok where fault_type in ('actor_target_swap', 'event_order_violation')) group by all
 union all select 'keyframes', fault_type, count(*), count(*) filter (where fault_type = 'mismatched_keyframes') from ok join cl on cl.doc_id = case when fault_type = 'mismatched_keyframes' then ok.doc_id + 1 else ok.doc_id end where fault_type in ('actor_target_swap', 'event_order_violation', 'mismatched_keyframes') group by all""")
