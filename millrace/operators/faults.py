@@ -54,8 +54,8 @@ def targets(c: Contract, key: str) -> DataFrame:
     omission takes lanes before speeds, a map fault the map where no lane of the collision is free.
     """
     free = c.fields.where(contracts.mutability(F.col("provenance")) == contracts.MUTABLE).select(key, "path", F.col("value").alias("was"))
-    parts = F.split("path", "[.]")
-    own = free.where(F.col("path").rlike("^actors[.][0-9]+[.](lane_position|initial_speed_mps)$")).withColumns({"ord": parts[1].try_cast("int"), "lane": parts[2] == "lane_position"})
+    part = lambda n: F.split_part("path", F.lit("."), F.lit(n))
+    own = free.where(F.col("path").rlike("^actors[.][0-9]+[.](lane_position|initial_speed_mps)$")).withColumns({"ord": part(2).try_cast("int"), "lane": part(3) == "lane_position"})
     pair = c.limits.where("ord = 0").select(key, F.col("actor_id").alias("_a"), F.col("target_id").alias("_t"))
     m = own.join(c.actors.select(key, "ord", "actor_id", "role"), [key, "ord"]).join(pair, key, "left")
     hit = F.when(F.col("actor_id") == F.col("_a"), 0).when(F.col("actor_id") == F.col("_t"), 1)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators import faults, graphs, scenarios
+from millrace.operators import blind, faults, graphs, scenarios
 from millrace.plans.base import read, registry, spread
 from millrace.plans.extraction import PROSE
 from millrace.plans.relations import GRAPH_SQL
+from millrace.sources.scratch import stored
 
 query, QUERIES, SQL = registry()
 
@@ -39,7 +41,7 @@ def contract(spark, sf):
     d = spread(read(spark, sf, "documents").select("doc_id", "text", "source", "n_chars"), "doc_id")
     d = d.withColumn("tier", F.when(F.col("n_chars") % 9 == 0, "C_reextract_or_review").otherwise("A_minimum_grounded"))
     g = graphs.extracted(d, "doc_id", "text", "source", PROSE)
-    return scenarios.compiled(g, d, "doc_id", "text", "tier", PLACES)
+    return scenarios.Contract(*map(stored, scenarios.compiled(g, d, "doc_id", "text", "tier", PLACES)))  # each table is read several times
 
 
 @query("contract_fields", CONTRACT_SQL + "select doc_id, path, value, provenance, cast(confidence as double) as confidence, has_value from fd")
@@ -62,7 +64,7 @@ def contract_heads(spark, sf):
 _ASKED = "[{'o': 0, 'path': 'collision_constraints.0', 'value': 'x'}, {'o': 1, 'path': 'actors.0.initial_speed_mps', 'value': cast(n_chars as varchar)}, {'o': 2, 'path': 'actors.1.blueprint', 'value': case when doc_id % 3 = 0 then '' else 'bus' end}, {'o': 3, 'path': 'topology', 'value': 'rear_end'}, {'o': 4, 'path': 'map_binding.map', 'value': case when doc_id % 5 = 0 then null else 'Town07' end}, {'o': 5, 'path': 'actors.9.lane_position', 'value': 'left'}]"
 
 
-def instructions(c, d):
+def instructions(d):
     k = F.col("doc_id")
     rows = [(F.lit("collision_constraints.0"), F.lit("x")), (F.lit("actors.0.initial_speed_mps"), F.col("n_chars").cast("string")), (F.lit("actors.1.blueprint"), F.when(k % 3 == 0, "").otherwise("bus")),
             (F.lit("topology"), F.lit("rear_end")), (F.lit("map_binding.map"), F.when(k % 5 != 0, "Town07")), (F.lit("actors.9.lane_position"), F.lit("left"))]
@@ -80,9 +82,8 @@ select doc_id, notes, coalesce(changed, '') as changed from gn left join ch usin
 def guarded_repair(spark, sf):
     """Notes of six instructions for every contract, and what its fields are changed to after limit and roll-back."""
     c = contract(spark, sf)
-    kept = c._replace(fields=scenarios.stored(c.fields))
-    done, notes = scenarios.repaired(kept, instructions(kept, read(spark, sf, "documents")), "doc_id")
-    was = kept.fields.select("doc_id", "path", F.struct("value", "provenance").alias("_was"))
+    done, notes = scenarios.repaired(c, instructions(read(spark, sf, "documents")), "doc_id")
+    was = c.fields.select("doc_id", "path", F.struct("value", "provenance").alias("_was"))
     new = F.struct("value", "provenance")
     asked = F.col("path").isin("actors.0.initial_speed_mps", "actors.1.blueprint", "topology", "map_binding.map")
     changed = done.fields.where(asked).join(was, ["doc_id", "path"]).where(~new.eqNullSafe(F.col("_was"))).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("path", F.lit("="), F.coalesce("value", F.lit("null"))))), "|").alias("changed"))
@@ -150,7 +151,6 @@ KINDS = [faults.OMISSION, faults.SPEED_POSE, faults.MAP_LANE, faults.SWAP, fault
 
 def faulty(spark, sf):
     c = contract(spark, sf)
-    c = c._replace(fields=scenarios.stored(c.fields), actors=scenarios.stored(c.actors))
     t = read(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("turn"), F.length("text").alias("l"))
     even = F.col("turn") % 2 == 0
     named = F.when(even, "vehicle_1").otherwise("vehicle_2").alias("actor_id"), F.when(even, "vehicle_2").otherwise("vehicle_3").alias("other_actor_id")
@@ -217,3 +217,56 @@ def fault_phenotypes(spark, sf):
     own = trials.where(F.endswith("path", F.lit("initial_speed_mps"))).withColumn("ord", F.split_part("path", F.lit("."), F.lit(2)).try_cast("int")).join(c.actors, ["doc_id", "ord"])
     states = own.select("trial_id", "doc_id", "actor_id").join(first, "doc_id").select("trial_id", "at", "actor_id", "speed")
     return faults.phenotypes(f.ledger, c.actors, trials.select("trial_id", "doc_id").join(seen, "doc_id").drop("doc_id"), states, "doc_id").select("trial_id", "fault_type", "verified")
+
+
+# -- blind material ------------------------------------------------------------------------------
+def hidden(c):
+    """The contract with a marker in the lane of its first actor where 4 divides the key, and a foreign lane where it leaves 1."""
+    k = F.col("doc_id") % 4
+    lane = F.col("path") == "actors.0.lane_position"
+    value = F.when(lane & (k == 0), "pose_perturbation fault").when(lane & (k == 1), "bus lane").otherwise(F.col("value"))
+    return c._replace(fields=c.fields.withColumn("value", value))
+
+
+BLIND_SQL = CONTRACT_SQL + """, vr as (select doc_id, 'actors' as section, ord, 'actor_id' as field, format('actor_{:02d}', ord + 1) as value from ac union all select doc_id, 'actors', ord, 'role', role from ac union all select doc_id, 'actors', ord, 'vehicle_type', label from ac
+ union all select doc_id, 'actors', ord, 'blueprint', case when contains(lower(label), 'suv') then 'suv' else 'generic' end from ac union all select doc_id, 'actors', ord, 'lane_position', case when ord = 0 and doc_id % 4 < 2 then 'unrecognized_reference' else 'lane_relative' end from ac
+ union all select doc_id, 'actors', ord, 'initial_speed_mps', case when role = 'ego' then '8.0' else '3.0' end from ac union all select doc_id, 'map', 0, 'map.archetype', archetype from ar union all select doc_id, 'map', 0, 'map.runtime_map', value from fd where path = 'map_binding.map' union all select doc_id, 'map', 0, 'topology', value from fd where path = 'topology'
+ union all select doc_id, 'events', step, unnest(['event_id', 'order', 'kind', 'actor_id', 'target_id']), unnest([format('event_{:02d}', step), cast(step as varchar), case when kind = 'vehicle_collision' then 'collision' else kind end, (select format('actor_{:02d}', ord + 1) from ac where ac.doc_id = sq.doc_id and actor_id = fi.agent), case when kind = 'vehicle_collision' then (select format('actor_{:02d}', ord + 1) from ac where ac.doc_id = sq.doc_id and actor_id = fi.target) end]) from sq join fi using (doc_id)
+ union all select doc_id, 'collision_constraints', 0, unnest(['actor_id', 'target_id', 'required']), unnest([(select format('actor_{:02d}', ord + 1) from ac where ac.doc_id = fi.doc_id and actor_id = fi.agent), (select format('actor_{:02d}', ord + 1) from ac where ac.doc_id = fi.doc_id and actor_id = fi.target), 'true']) from fi)
+"""
+
+
+@query("sanitised_views", BLIND_SQL + "select doc_id, section, cast(ord as int) as ord, field, value from vr")
+def sanitised_views(spark, sf):
+    """What may be seen of every contract: allow-listed fields, neutral ids, no markers."""
+    return blind.sanitised(hidden(contract(spark, sf)), "doc_id").rows.select("doc_id", "section", "ord", "field", "value")
+
+
+@query("mutability_classes", BLIND_SQL + """select doc_id, 'actors.' || format('actor_{:02d}', ord + 1) || '.' || f as field, case when f = 'vehicle_type' then 'immutable' else 'mutable' end as class from ac, unnest(['vehicle_type', 'blueprint', 'lane_position', 'initial_speed_mps']) u(f)
+ union all select doc_id, replace(replace(path, 'map_binding.map', 'map.runtime_map'), 'map_binding', 'map'), case when provenance = 'unknown' then 'review' else 'mutable' end from fd where path in ('map_binding.archetype', 'map_binding.map', 'topology')
+ union all select doc_id, 'events.' || format('event_{:02d}', step), 'immutable' from sq union all select doc_id, 'collision_constraints', 'immutable' from fi""")
+def mutability_classes(spark, sf):
+    return blind.sanitised(contract(spark, sf), "doc_id").mutability
+
+
+# A user's events are the telemetry of the document of its number, a conversation's turns its images; the next number lends both.
+# Payloads of some documents are broken, and found: no classes in the guarded one (11 leaves 3), images in the control without (5), no shuffled images' text (7), a method gone (9).
+@query("information_budgets", CONTRACT_SQL + """, im as (select conv_id as doc_id, count(*) as n from conversations group by conv_id), bd as (select ar.doc_id, ar.doc_id % 11 as k, coalesce(im.n, 0) as own, coalesce(i2.n, 0) as other from ar left join im using (doc_id) left join im i2 on i2.doc_id = ar.doc_id + 1),
+pm as (select doc_id, k, code, cast(n as int) as keys, cast(i as int) as images from (select doc_id, k, unnest(['M00', 'M01', 'M02', 'M03', 'M04', 'M05', 'M06', 'M07']) as code, unnest([1, 1, 2, 3, case when k = 7 then 0 else 1 end, 2, 3, case when k = 3 then 3 else 4 end]) as n, unnest([0, own, 0, own, other, 0, case when k = 5 then own + 1 else 0 end, own]) as i from bd) where not (k = 9 and code = 'M02'))
+select doc_id, string_agg(code || ':' || keys || ':' || images, '|' order by code) as budgets, case k when 3 then 'guarded budget must add exactly mutability_classes' when 5 then 'no-image control is not fusion evidence with images removed' when 7 then 'image-shuffled textual budget differs from image-only'
+ when 9 then 'method set mismatch|fusion evidence is not the exact image/text plus telemetry union|telemetry-shuffled field budget differs from telemetry-only' else '' end as violations from pm group by doc_id, k""")
+def information_budgets(spark, sf):
+    """Number of evidence keys and images of eight methods for every contract, and the invariants that broken payloads violate."""
+    views = blind.evidence(blind.sanitised(contract(spark, sf), "doc_id"), "doc_id")
+    runs = read(spark, sf, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.to_json(F.struct(F.count("*").alias("samples"), F.min("value").alias("low"), F.max("value").alias("high"))).alias("summary"))
+    shots = read(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.format_string("A%d/F%02d", "conv_id", "turn"))).alias("own"))
+    lent = lambda df, of, name: df.select((F.col("doc_id") - 1).alias("doc_id"), F.col(of).alias(name))
+    telemetry = runs.join(lent(runs, "summary", "shuffled"), "doc_id", "full_outer")
+    images = shots.join(lent(shots, "own", "shuffled_images"), "doc_id", "full_outer")
+    k, method = F.col("doc_id") % 11, F.col("method")
+    kept = F.when((k == 3) & (method == "guarded_blind_loop"), F.map_filter("evidence", lambda n, _: n != "mutability_classes")).when((k == 7) & (method == "image_shuffled"), F.map_filter("evidence", lambda n, _: F.lit(False))).otherwise(F.col("evidence"))
+    own = F.element_at(F.collect_list(F.when(method == "image_only_vlm", F.col("images"))).over(Window.partitionBy("doc_id")), 1)
+    given = blind.payloads(views, telemetry, images, "doc_id").withColumn("_own", own).where(~((k == 9) & (method == "telemetry_only"))).withColumn("evidence", kept)
+    given = given.withColumn("images", F.when((k == 5) & (method == "no_image_fusion_prompt"), F.concat("_own", F.array(F.lit("more")))).otherwise(F.col("images"))).drop("_own")
+    shape = blind.shapes(given, "doc_id").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "code", F.size("evidence_keys").cast("string"), F.col("image_count").cast("string")))), "|").alias("budgets"))
+    return shape.join(blind.violations(given, "doc_id"), "doc_id").select("doc_id", "budgets", F.array_join("violations", "|").alias("violations"))

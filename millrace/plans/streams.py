@@ -101,15 +101,6 @@ def method_records(spark, sf):
     return each.groupBy("method").agg(F.count("*").alias("n"), F.count_if("detected").alias("detected"), F.count_if("review").alias("reviews"))
 
 
-@query("information_budgets", "with p as (select s_suppkey, s_name, s_nationkey, m from supplier, range(8) r(m)) select m as method, count(*) as n, count(*) filter (where m % 2 = 1) as with_image, cast(sum(case when m in (2, 3, 6, 7) then length(s_name) else 0 end) as bigint) as chars from p group by m")
-def information_budgets(spark, sf):
-    """Payloads of eight methods: which of three kinds of evidence each may see."""
-    s = read(spark, sf, "supplier").select("s_suppkey", "s_name", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("m"))
-    sees = lambda bit: F.col("m").bitwiseAND(bit) > 0
-    payload = F.struct(F.when(sees(1), F.col("s_suppkey")).alias("image"), F.when(sees(2), F.col("s_name")).alias("telemetry"), F.when(sees(4), F.lit("c")).alias("contract"))
-    return s.withColumn("payload", payload).groupBy(F.col("m").cast("long").alias("method")).agg(F.count("*").alias("n"), F.count("payload.image").alias("with_image"), F.coalesce(F.sum(F.length("payload.telemetry")), F.lit(0)).alias("chars"))
-
-
 @query("completion_audit", PLAN_SQL + """ select unnest(['seven trials a case', 'unique trials', 'three mutable faults a case', 'three immutable faults a case']) as "check", unnest([count(*) = 7 * any_value(c), count(*) = count(distinct trial_id), count(*) filter (where fault_class = 'mutable') = 3 * any_value(c), count(*) filter (where fault_class = 'immutable') = 3 * any_value(c)]) as ok from plan, (select count(*) as c from cases)""")
 def completion_audit(spark, sf):
     from millrace.operators import funnel
