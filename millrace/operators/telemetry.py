@@ -14,14 +14,19 @@ def finite(c: Column) -> Column:
 
 
 def trajectories(states: DataFrame, digits: int = 5) -> DataFrame:
-    """One row for each run and actor: samples, first and last frame and time, speeds, end points."""
+    """One row for each run and actor: samples, first and last frame and time, speeds, end points and headings.
+
+    Speeds that are not finite count in none of the five speeds; z and yaw are told where states have them.
+    """
     at = F.struct("time", "frame")
     speed = finite(F.col("speed"))
+    told = F.when(speed.isNotNull(), at)
     r = lambda c, n: F.round(c, digits).alias(n)
     return states.groupBy("run", "actor").agg(
         F.count("*").alias("samples"), F.min_by("frame", at).alias("first_frame"), F.max_by("frame", at).alias("last_frame"),
-        r(F.min_by("speed", at), "first_speed"), r(F.max_by("speed", at), "last_speed"), r(F.min(speed), "min_speed"), r(F.max(speed), "max_speed"), r(F.avg(speed), "mean_speed"),
-        r(F.min_by("x", at), "start_x"), r(F.max_by("x", at), "end_x"),
+        F.min_by("time", at).alias("first_time"), F.max_by("time", at).alias("last_time"),
+        r(F.min_by(speed, told), "first_speed"), r(F.max_by(speed, told), "last_speed"), r(F.min(speed), "min_speed"), r(F.max(speed), "max_speed"), r(F.avg(speed), "mean_speed"),
+        *(r(f(c, at), f"{end}_{c}") for c in ("x", "y", "z", "yaw") if c in states.columns for end, f in (("start", F.min_by), ("end", F.max_by))),
     )
 
 

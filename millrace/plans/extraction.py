@@ -133,7 +133,7 @@ def unresolved_flags(spark, sf):
 def resolver_merge(spark, sf):
     d = docs(spark, sf)
     k = F.col("doc_id") % 4
-    answers = d.where(k != 0).select("doc_id", F.lit("vehicle_1").alias("agent"), F.lit("vehicle_2").alias("target"), F.when(k == 1, "\u0007").otherwise(F.substring("text", 2, 5)).alias("quote"))
+    answers = d.where(k != 0).select("doc_id", F.lit("vehicle_1").alias("agent"), F.lit("vehicle_2").alias("target"), F.when(k == 1, "\u0007").otherwise(F.col("text")).alias("quote"))
     return spans.resolved(d, answers, spans.mention_nodes(d, "doc_id", "text", PROSE), "doc_id", "text").select("doc_id", "note")
 
 

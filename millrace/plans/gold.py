@@ -181,7 +181,9 @@ def mcnemar_exact(spark, sf):
 
 @query("bootstrap_intervals")
 def bootstrap_intervals(spark, sf):
-    cells = metrics.cells(predictions(spark, sf).where("predicted is not null"), ["method"], F.col("truth"), F.col("predicted"))
+    p = predictions(spark, sf)
+    open_ = p.where("predicted is null").groupBy("method").agg(F.count_if("truth").alias("true_open"), F.count_if(~F.col("truth")).alias("false_open"))
+    cells = metrics.cells(p, ["method"], F.col("truth"), F.col("predicted")).join(open_, "method", "left").fillna(0, ["true_open", "false_open"])
     return resample.stratified_bootstrap(cells, "method", 10_000, 7)
 
 
@@ -214,9 +216,11 @@ def hash_chain_breaks(spark, sf):
     return consensus.chain_breaks(broken, "conv_id", "turn", "payload", "previous", "own")
 
 
-@query("quote_alignment", "select doc_id, length(text) > 4 and (contains(substr(text, 1, 40), substr(text, 5, 10)) or contains(substr(text, 5, 10), substr(text, 1, 40)) or contains(lang, substr(text, 5, 10)) or (length(lang) > 0 and contains(substr(text, 5, 10), lang))) as aligned from documents")
+@query("quote_alignment", """with x as (select doc_id, coalesce(string_split(text, chr(10)), []) as p, coalesce(string_split(text, '. '), []) as h from documents)
+ select doc_id, len(list_filter(p, lambda a: a <> '' and len(list_filter(h, lambda b: b <> '' and (contains(a, b) or contains(b, a)))) > 0)) > 0 as aligned from x""")
 def quote_alignment(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", F.array(F.substring("text", 1, 40), "lang").alias("p"), F.array(F.substring("text", 5, 10)).alias("h"))
+    """Lines of whole texts against their sentences."""
+    d = read(spark, sf, "documents").select("doc_id", *(F.coalesce(F.split("text", by), F.array().cast("array<string>")).alias(n) for n, by in (("p", "\n"), ("h", r"\. "))))
     return d.select("doc_id", consensus.quotes_align(F.col("p"), F.col("h")).alias("aligned"))
 
 
