@@ -22,6 +22,20 @@ def stream_classified(spark, sf):
     return done.groupBy("final_label").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
 
 
+@query("stream_logs", RULES_SQL + "select label as final_label, count(*) as n, cast(sum(score) as bigint) as score, count(*) filter (where label = 'ambiguous') as candidates from r group by label")
+def stream_logs(spark, sf):
+    """Both logs after the stream has run and, with its state lost, has run again over the same logs: nothing stands twice."""
+    from millrace.sources.scratch import folder
+
+    reports, candidates = folder(spark, "reports"), folder(spark, "candidates")
+    for _ in range(2):
+        records = streams.source(spark, sf, "documents").select("doc_id", "text")
+        streams.logged(records, "doc_id", "text", reports, candidates, folder(spark, "state"), PROSE).awaitTermination()
+    asked = spark.read.parquet(candidates).groupBy("final_label").agg(F.count("*").alias("candidates"))
+    told = spark.read.parquet(reports).groupBy("final_label").agg(F.count("*").alias("n"), F.sum("rule_score").alias("score"))
+    return told.join(asked, "final_label", "left").select("final_label", "n", "score", F.coalesce("candidates", F.lit(0)).alias("candidates"))
+
+
 # A window comes out once the watermark (latest time less two hours) has passed its end.
 CLOSED = "(select max(ts) - interval 2 hour from events)"
 

@@ -66,3 +66,67 @@ def drained(stream: DataFrame, name: str, partition: str | None = None) -> DataF
     path = folder(spark, name)
     started(stream, path, partition).awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
+
+
+REPORTED = ["label", "score", "reason", "matched_positive_keywords", "matched_negative_keywords", "matched_patterns", "vehicle_mentions", "collision_hits", "work_hits", "facility_hits"]
+#: A file of this name in a log's folder says that the log is frozen.
+FROZEN = "_FROZEN"
+
+
+def frozen(spark: SparkSession, path: str) -> bool:
+    """Whether a log is closed to more rows."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{FROZEN}")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def freeze(spark: SparkSession, path: str) -> None:
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{FROZEN}")
+    mark.getFileSystem(spark._jsc.hadoopConfiguration()).create(mark).close()
+
+
+def logged(records: DataFrame, key: str, text: str, reports: str, candidates: str, state: str, lexicon: Lexicon = KOREAN) -> StreamingQuery:
+    """One classification of each micro-batch into two logs: a flat report of every record and a candidate, with its request payload, of every ambiguous one.
+
+    A batch has a folder of its number in both logs and writes it anew when it is replayed, so
+    a failure between the two, or a lost state, leaves nothing twice. Keys that the report log
+    holds from other batches are skipped: what is known of seen keys is the log itself and no
+    state of the stream, so memory stays bounded, at the price of reading the log's keys for
+    each batch. Numbers of a new state begin after the last that the log has. A frozen log is
+    refused, before anything is written.
+    """
+    spark = records.sparkSession
+    for path in (reports, candidates):
+        if frozen(spark, path):
+            raise ValueError(f"{path} is frozen")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields if f.name == key)
+    before = _batches(spark, reports, columns)
+    first = 0 if before is None else (before.agg(F.max("batch")).first()[0] or 0) + 1
+    fresh = not _exists(spark, f"{state}/offsets")
+    base = first if fresh else int(spark.read.text(f"{state}-base").first()[0])
+    if fresh:
+        spark.createDataFrame([(str(base),)], "value string").coalesce(1).write.mode("overwrite").text(f"{state}-base")
+
+    def write(batch: DataFrame, number: int) -> None:
+        own = base + number
+        known = _batches(batch.sparkSession, reports, columns)
+        new = batch.dropDuplicates([key])
+        if known is not None:
+            new = new.join(known.where(F.col("batch") != own).select(key), key, "left_anti")
+        done = classified(new, text, lexicon)
+        rule = [F.col(f"rule.{c}").alias(c if c.startswith("matched") or c.endswith(("hits", "mentions")) else f"rule_{c}") for c in REPORTED]
+        flat = done.select(key, *rule, F.lit(False).alias("used_llm"), F.lit(None).cast("string").alias("llm_label"), F.col("rule.label").alias("final_label"))
+        payload = F.to_json(F.struct(F.col(key), F.col(text), F.struct("rule.label", "rule.score", "rule.reason").alias("rule")))
+        asked = done.where("rule.label = 'ambiguous'").select(key, F.col("rule.label").alias("final_label"), payload.alias("prompt_payload"))
+        asked.write.mode("overwrite").parquet(f"{candidates}/batch={own}")
+        flat.write.mode("overwrite").parquet(f"{reports}/batch={own}")  # the report comes last: a key counts as seen once both stand
+
+    return records.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _batches(spark: SparkSession, path: str, columns: str) -> DataFrame | None:
+    return spark.read.schema(f"{columns}, batch bigint").option("basePath", path).parquet(path) if _exists(spark, path) else None
