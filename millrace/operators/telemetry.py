@@ -91,3 +91,49 @@ def constraint_results(states: DataFrame, hits: DataFrame, low: float, high: flo
     collided = F.col("_hit").isNotNull()
     ordered = F.when(collided, F.col("_hit") >= F.col("_first"))
     return m.select("run", collided.alias("collided"), "in_lane", ordered.alias("ordered"), F.when(collided & F.col("in_lane") & ordered, "passed").otherwise("failed").alias("status"))
+
+
+def last_states(asks: DataFrame, states: DataFrame, width: int = 1024) -> DataFrame:
+    """asks (run, actor, frame) with ``state``: the actor's last state at or before the frame, null if there is none.
+
+    Frames are cut into stretches of ``width``: an ask meets the states of its own stretch, and
+    else the end of the last stretch that has any, so no run's states meet in one task.
+    """
+    values = [c for c in states.columns if c not in ("run", "actor")]
+    held = states.select("run", "actor", F.floor(F.col("frame") / width).alias("_s"), F.struct(*values).alias("_v"))
+    each = asks.select("run", "actor", "frame").distinct().withColumn("_s", F.floor(F.col("frame") / width))
+    near = each.join(held, ["run", "actor", "_s"]).where(F.col("_v.frame") <= F.col("frame")).groupBy("run", "actor", "frame").agg(F.max_by("_v", F.struct("_v.frame", "_v")).alias("_near"))
+    ends = held.groupBy("run", "actor", "_s").agg(F.max_by("_v", F.struct("_v.frame", "_v")).alias("_v"))  # a row for each stretch
+    ends = ends.withColumn("_until", F.lead("_s").over(Window.partitionBy("run", "actor").orderBy("_s")))
+    far = each.alias("e").join(ends.alias("d"), (F.col("e.run") == F.col("d.run")) & (F.col("e.actor") == F.col("d.actor")) & (F.col("e._s") > F.col("d._s")) & (F.col("d._until").isNull() | (F.col("e._s") <= F.col("d._until"))))
+    far = far.select("e.run", "e.actor", "e.frame", F.col("d._v").alias("_far"))
+    met = each.drop("_s").join(near, ["run", "actor", "frame"], "left").join(far, ["run", "actor", "frame"], "left")
+    return met.select("run", "actor", "frame", F.coalesce("_near", "_far").alias("state"))
+
+
+def impacts(events: DataFrame, states: DataFrame, width: int = 1024) -> DataFrame:
+    """run, frame, actor, other, relative_speed, own_age, other_age: speed of both last velocities against each other, and how many frames old they are."""
+    sides = last_states(events.select("run", "actor", "frame").unionByName(events.select("run", F.col("other").alias("actor"), "frame")), states, width)
+    m = events.select("run", "frame", "actor", "other").distinct()
+    for side, of in (("a", "actor"), ("b", "other")):
+        m = m.join(sides.withColumnsRenamed({"actor": of, "state": side}), ["run", of, "frame"], "left")
+    speed = F.hypot(F.col("a.vx") - F.col("b.vx"), F.col("a.vy") - F.col("b.vy"))
+    return m.select("run", "frame", "actor", "other", speed.alias("relative_speed"), (F.col("frame") - F.col("a.frame")).alias("own_age"), (F.col("frame") - F.col("b.frame")).alias("other_age"))
+
+
+def pair_constraints(limits: DataFrame, events: DataFrame, states: DataFrame) -> DataFrame:
+    """run, name, passed, expected, observed for each limit (run, actor, target): whether the pair met, in either order, and not before the run's first state.
+
+    ``passed`` is null where nothing was recorded to judge by: a run without states, or, for the order, without a collision.
+    """
+    pair = lambda a, b: F.concat_ws("-", F.least(a, b), F.greatest(a, b))
+    seen = events.groupBy("run", pair("actor", "other").alias("_pair")).agg(F.min("frame").alias("_hit"))
+    first = states.groupBy("run").agg(F.min("frame").alias("_first"))
+    any_ = events.groupBy("run").agg(F.min_by(pair("actor", "other"), F.struct("frame", pair("actor", "other"))).alias("_seen"))
+    m = limits.withColumn("_pair", pair("actor", "target")).join(seen, ["run", "_pair"], "left").join(first, "run", "left").join(any_, "run", "left")
+    there, hit = F.col("_first").isNotNull(), F.col("_hit").isNotNull()
+    rows = F.array(
+        F.struct(F.lit("collision_target").alias("name"), F.when(there, hit).alias("passed"), F.col("_pair").alias("expected"), F.coalesce(F.when(hit, F.col("_pair")), F.col("_seen")).alias("observed")),
+        F.struct(F.lit("event_order").alias("name"), F.when(there & hit, F.col("_hit") >= F.col("_first")).alias("passed"), F.col("_first").cast("string").alias("expected"), F.col("_hit").cast("string").alias("observed")),
+    )
+    return m.select("run", "actor", "target", F.inline(rows))

@@ -182,3 +182,23 @@ def acceptance_table(spark, sf):
 
     counts = read(spark, sf, "events").agg(F.count("*").alias("n"), F.count("value").alias("v"), F.count_if(F.col("event_type") == "error").alias("e"))
     return runtime.acceptance(funnel.conserved(counts, {"has rows": F.expr("n > 0"), "no nulls": F.expr("v = n"), "no errors": F.expr("e = 0")}))
+
+
+@query("impact_speeds", STATES_SQL + """, k as (select distinct run, frame + 3 as frame, actor, other from h), a as (select k.*, s.vx as ax, s.vy as ay, s.frame as af from k asof left join s on k.run = s.run and k.actor = s.actor and k.frame >= s.frame),
+ b as (select a.*, s.vx as bx, s.vy as by_, s.frame as bf from a asof left join s on a.run = s.run and a.other = s.actor and a.frame >= s.frame) select run, frame, actor, other, round(sqrt((ax - bx) * (ax - bx) + (ay - by_) * (ay - by_)), 6) as relative_speed, frame - af as own_age, frame - bf as other_age from b""")
+def impact_speeds(spark, sf):
+    """Relative speed of both actors at collisions three frames after a state, from the last states of each."""
+    late = hits(spark, sf).withColumn("frame", F.col("frame") + 3)
+    return telemetry.impacts(late, states(spark, sf), 64).withColumn("relative_speed", F.round("relative_speed", 6))
+
+
+@query("pair_constraints", STATES_SQL + """, l as (select distinct user_id as run, event_type as actor, case user_id % 3 when 0 then 'error' when 1 then 'click' else 'view' end as target from events), p as (select run, least(actor, other) || '-' || greatest(actor, other) as pair, min(frame) as hit from h where run % 5 > 0 group by all),
+ f as (select run, min(frame) + case when run % 2 = 0 then 0 else 400 end as first from s group by run), y as (select run, arg_min(pair, (hit, pair)) as seen from p group by run), m as (select l.*, least(actor, target) || '-' || greatest(actor, target) as want, p.hit, first, seen from l left join p on p.run = l.run and p.pair = least(actor, target) || '-' || greatest(actor, target) left join f on f.run = l.run left join y on y.run = l.run)
+ select run, actor, target, 'collision_target' as name, hit is not null as passed, want as expected, case when hit is not null then want else seen end as observed from m union all select run, actor, target, 'event_order', case when hit is not null then hit >= first end, cast(first as varchar), cast(hit as varchar) from m""")
+def pair_constraints(spark, sf):
+    """Pairs that should meet, in runs some of which have lost their collisions or their first states."""
+    e = read(spark, sf, "events")
+    target = F.when(F.col("user_id") % 3 == 0, "error").when(F.col("user_id") % 3 == 1, "click").otherwise("view")
+    limits = e.select(F.col("user_id").alias("run"), F.col("event_type").alias("actor"), target.alias("target")).distinct()
+    late = states(spark, sf).withColumn("frame", F.col("frame") + F.when(F.col("run") % 2 == 0, 0).otherwise(400))
+    return telemetry.pair_constraints(limits, hits(spark, sf).where("run % 5 > 0"), late)
