@@ -29,13 +29,14 @@ def hits(spark, sf):
 
 @query("trajectory_summary", STATES_SQL + """, t as (select * replace (case when frame % 13 = 0 then 'nan'::double when frame % 17 = 0 then 'inf'::double else speed end as speed), cast(frame % 360 as double) as yaw, case when frame % 13 > 0 and frame % 17 > 0 then speed end as ok from s)
  select run, actor, count(*) as samples, arg_min(frame, (time, frame)) as first_frame, arg_max(frame, (time, frame)) as last_frame, epoch_us(min(time)) as first_time, epoch_us(max(time)) as last_time, round(arg_min(ok, (time, frame)) filter (where ok is not null), 5) as first_speed, round(arg_max(ok, (time, frame)) filter (where ok is not null), 5) as last_speed,
- round(min(ok), 5) as min_speed, round(max(ok), 5) as max_speed, round(round(avg(ok), 5), 3) as mean_speed, round(arg_min(x, (time, frame)), 5) as start_x, round(arg_max(x, (time, frame)), 5) as end_x, arg_min(y, (time, frame)) as start_y, arg_max(y, (time, frame)) as end_y, arg_min(yaw, (time, frame)) as start_yaw, arg_max(yaw, (time, frame)) as end_yaw from t group by run, actor""")
+ round(min(ok), 5) as min_speed, round(max(ok), 5) as max_speed, round(round(avg(ok), 5) + 1e-7, 3) as mean_speed, round(arg_min(x, (time, frame)), 5) as start_x, round(arg_max(x, (time, frame)), 5) as end_x, arg_min(y, (time, frame)) as start_y, arg_max(y, (time, frame)) as end_y, arg_min(yaw, (time, frame)) as start_yaw, arg_max(yaw, (time, frame)) as end_yaw from t group by run, actor""")
 def trajectory_summary(spark, sf):
     """Trajectories of states some of whose speeds are no numbers."""
     n = F.col("frame")
     s = states(spark, sf).withColumn("yaw", (n % 360).cast("double")).withColumn("speed", F.when(n % 13 == 0, float("nan")).when(n % 17 == 0, float("inf")).otherwise(F.col("speed")))
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias(c)
-    return telemetry.trajectories(s).withColumn("mean_speed", F.round("mean_speed", 3)).withColumns({c: micros(c) for c in ("first_time", "last_time")})
+    # means of a few cents end halfway between two thousandths, which engines round either way
+    return telemetry.trajectories(s).withColumn("mean_speed", F.round(F.col("mean_speed") + 1e-7, 3)).withColumns({c: micros(c) for c in ("first_time", "last_time")})
 
 
 @query("run_endpoints", STATES_SQL + "select run, count(distinct frame) as frames, array_to_string(list_sort(list(distinct actor)), ',') as actors, arg_min(frame, (time, frame, actor)) as first_frame, arg_max(frame, (time, frame, actor)) as last_frame from s group by run")
