@@ -41,8 +41,12 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(free)) for b in range(256)]
 
 
+#: Words in each half of a worker's table: more take less time and more memory.
+KEEP = 150_000
+
+
 class Codec:
-    def __init__(self, content: str, keep: int = 75_000):
+    def __init__(self, content: str, keep: int = KEEP):
         import ahocorasick
         import regex
 
@@ -227,7 +231,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
         return f.read()
 
 
-def encoded(docs: DataFrame, content: str, ids: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, content: str, ids: bool = False, keep: int = KEEP) -> DataFrame:
     """doc_id, n_tokens and both digests for every row; with ids, the ids themselves too.
 
     The codec lives as long as its task: a Python worker that other stages use again keeps nothing of it.
@@ -240,7 +244,7 @@ def encoded(docs: DataFrame, content: str, ids: bool = False) -> DataFrame:
         for b in batches:
             if own is None:
                 released()
-                own = Codec(shared.value)
+                own = Codec(shared.value, keep)
             for at in range(0, b.num_rows, 256):  # a few texts at a time
                 part = b.slice(at, 256)
                 texts = part.column("text").to_pylist()
@@ -259,7 +263,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: token counts and digests of every text that is left; a row for each row, null and empty texts have no tokens."""
-    return encoded(docs, vocabulary())
+    return encoded(docs, vocabulary(), keep=KEEP // 2)  # beside what earlier stages have left in the executor
 
 
 QUERIES = {"op4_bpe": op4_bpe}
