@@ -123,19 +123,22 @@ def pairwise(predictions: DataFrame, key: str, method: str, right: str, methods:
     return each.groupBy("left", "right").agg(F.count("*").alias("common"), F.count_if((F.col("l") == 1) & (F.col("r") == 0)).alias("b"), F.count_if((F.col("l") == 0) & (F.col("r") == 1)).alias("c"))
 
 
-def sign_flips(clusters: DataFrame, pair: list[str], difference: str, samples: int = 10_000, seed: int = 0) -> DataFrame:
-    """pair, clusters, observed, p = (extreme + 1) / (samples + 1): cluster means with random signs, a matrix product for each pair."""
+def sign_flips(clusters: DataFrame, pair: list[str], difference: str, samples: int = 10_000, seed: int = 0, chunk: int = 1_000) -> DataFrame:
+    """pair, clusters, observed, p = (extreme + 1) / (samples + 1): cluster means with random signs.
+
+    A matrix product for each pair and ``chunk`` of samples, each a task of its own; the draws depend on the sorted differences alone.
+    """
     fields = {f.name: f.dataType.simpleString() for f in clusters.schema.fields}
-    schema = ", ".join([*(f"{p} {fields[p]}" for p in pair), "clusters long, observed double, p double"])
+    schema = ", ".join([*(f"{p} {fields[p]}" for p in pair), "clusters long, observed double, extreme long"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf[difference].to_numpy(dtype=float)
-        rng = np.random.default_rng([seed, zlib.crc32("|".join(str(pdf[p].iloc[0]) for p in pair).encode())])
-        seen, extreme = abs(d.mean()), 0
-        for start in range(0, samples, 1000):
-            size = min(1000, samples - start)
-            extreme += int((np.abs(rng.choice([-1.0, 1.0], size=(size, len(d))) @ d / len(d)) >= seen - 1e-15).sum())
-        return pd.DataFrame([{**{p: pdf[p].iloc[0] for p in pair}, "clusters": len(d), "observed": float(d.mean()), "p": (extreme + 1) / (samples + 1)}])
+        d, piece = np.sort(pdf[difference].to_numpy(dtype=float)), int(pdf["piece"].iloc[0])
+        rng = np.random.default_rng([seed, piece, zlib.crc32("|".join(str(pdf[p].iloc[0]) for p in pair).encode())])
+        size = min(chunk, samples - piece * chunk)
+        extreme = int((np.abs(rng.choice([-1.0, 1.0], size=(size, len(d))) @ d / len(d)) >= abs(d.mean()) - 1e-15).sum())
+        return pd.DataFrame([{**{p: pdf[p].iloc[0] for p in pair}, "clusters": len(d), "observed": float(d.mean()), "extreme": extreme}])
 
     # a pair's clusters are a row for each cluster, not for each record
-    return clusters.groupBy(*pair).applyInPandas(run, schema)
+    dealt = clusters.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(-(-samples // chunk) - 1))))
+    counted = dealt.groupBy(*pair, "piece").applyInPandas(run, schema)
+    return counted.groupBy(*pair).agg(F.max("clusters").alias("clusters"), F.max("observed").alias("observed"), ((F.sum("extreme") + 1) / (samples + 1)).alias("p"))
