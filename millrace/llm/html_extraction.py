@@ -1,17 +1,25 @@
 """HTML extraction by equivalence-class template deduction.
 
 1. Each page is a sequence of tokens: tags with the path that leads to them, and blocks of
-   text outside articles with their path. For each host and token, the pages that hold it,
+   text with their path (headings of articles excepted, as "Summary" may head each article). For each host and token, the pages that hold it,
    its count, its mean place and text below it, and a digest of its occurrence vector (which
    page, how often) are aggregated; the digest is a sum over different pages, so no page list
    is kept and repeated rows count as one page.
 2. Tokens of a host with the same vector form an equivalence class. Classes that hold on
    SUPPORT of the host's pages are valid if their places nest: a class lies in one gap of
-   another or apart from it; crossing classes are left out. A host has at most (tokens of a
+   another or apart from it; crossing classes are left out. Text inside articles counts from
+   COMMON of the pages. A host has at most (tokens of a
    mean page / SUPPORT) such tokens, so templates are bounded whatever the number of pages.
 3. On each page the tokens of the template leave slots. Text that is itself template is
    dropped, slots below menus, footers, adverts, forms, comments and the like are dropped,
-   and of the rest the slots below the template's article element are the page's text.
+   and of the rest the slots below the template's article element are the page's text. Where
+   template text is most of an article, the article is a copy of others and stays whole. One
+   h1 before an article that has no heading of its own belongs to it.
+
+Words of class, id and role mark divisions, lists and tables only, never headings, quotes or
+running text; a paragraph goes only if a whole name of it says advert. Inside an article a name
+marks only if all its words are marks or words of layout ("share-price" is none). An article
+inside another that has text of its own is a reader's comment.
 
 A page without that element (or on a host with fewer than LEAST_PAGES different pages) is cut
 by its own slots: an article or main element that holds most of them, else the deepest element
@@ -34,6 +42,8 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 SUPPORT, LEAST_PAGES, MAIN_SHARE = 0.5, 4, 0.75
+#: Share of a host's pages from which text inside articles is template: near copies may be many on a small host.
+COMMON = 0.9
 #: Characters from which a block counts as running text.
 RUNNING = 80
 #: Template tokens up to which all templates are sent to every task; beyond it they are joined by host.
@@ -46,8 +56,11 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 HEAD = set("base link meta noscript script style template title".split())
 ASIDE = set("nav header footer aside form button head menu dialog fieldset".split())
 MARKS = set("nav navbar navigation menu header masthead footer sidebar aside ad ads advert adverts advertisement advertising banner promo promoted promotion sponsor sponsored cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus reply replies respond related recommended recommendations share sharing social breadcrumb breadcrumbs pagination pager widget search toolbar skip".split())
+ADVERT_WORDS = set("ad ads advert adverts advertisement advertising sponsored".split())
+LAYOUT_WORDS = set("site page main left right top bottom post posts story stories article articles entry area list box bar section wrap wrapper container block button buttons link links form item items slot unit inner outer content body text title group row column col panel module thread reader readers user users inline sticky".split())
 MAIN_WORDS = set("article content entry main post story".split())
-TEXTUAL = set("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dd dt".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+TEXTUAL = set("p blockquote pre figcaption dd dt".split()) | HEADINGS
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 HOLDS = {"p": set("article body div section main td th li ul ol blockquote table nav header footer aside form".split()), "li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
@@ -80,13 +93,17 @@ class Element:
         self.up, self.name, self.path, self.aside, self.article, self.place, self.block = up, name, path, aside, article, place, block
 
 
-def _marks(attributes: str) -> tuple[bool, list[str]]:
-    """Whether class, id or role mark what is no article, and the words of its classes without digits."""
+def _marks(attributes: str, name: str = "div", inside: bool = False) -> tuple[bool, list[str]]:
+    """Whether class, id or role mark an element (inside an article or not) as no article, and the words of its classes without digits."""
     marked, words = False, set()
     for m in NAMED.finditer(attributes):
         for one in (m[2] or m[3] or m[4] or "").split():
             own = {w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", one).lower()) if w}
             hits = own & MARKS
+            if name == "p":
+                hits &= ADVERT_WORDS
+            if name in INLINE or (name in TEXTUAL and name != "p") or ((inside or name == "p") and own - MARKS - LAYOUT_WORDS):
+                hits = set()
             marked |= bool(hits) and not (hits == {"header"} and own & MAIN_WORDS)  # the head of an article is part of it
             if m[1].lower() == "class":
                 words |= own
@@ -163,7 +180,7 @@ def read(html: str | None) -> tuple[list[Element], list[Block]]:
             continue
         up = stack[-1] if stack else 0
         above = elements[up]
-        marked, words = _marks(m[3]) if m[3] else (False, [])
+        marked, words = _marks(m[3], name, above.article) if m[3] else (False, [])
         top = name in {"body", "html", "article", "main"}
         aside = above.aside or (marked and not top) or (name in ASIDE and not (name == "header" and above.article))
         if name not in INLINE:
@@ -174,9 +191,27 @@ def read(html: str | None) -> tuple[list[Element], list[Block]]:
         links += name == "a"
         elements.append(Element(up, name, path, aside, above.article or name in {"article", "main"}, place, above.block if name in INLINE else len(elements)))
     flush()
+    _comments(elements, blocks)
     return elements, blocks
 
 
+def _comments(elements: list[Element], blocks: list[Block]) -> None:
+    """Marks articles inside an article that has text of its own: readers' comments."""
+    holder = [0] * len(elements)  # the innermost article that holds an element, itself included
+    for n, e in enumerate(elements):
+        holder[n] = n if e.name == "article" else holder[e.up] if n else 0
+    inner = {n for n, e in enumerate(elements) if e.name == "article" and holder[e.up]}
+    if not inner:
+        return
+    own = {holder[b.element] for b in blocks if not b.aside and elements[b.element].name not in HEADINGS}
+    below = [False] * len(elements)
+    for n, e in enumerate(elements):
+        below[n] = n > 0 and (below[e.up] or (n in inner and holder[e.up] in own))
+        e.aside |= below[n]
+    for b in blocks:
+        b.aside |= below[b.element]
+
+
 def _below(elements: list[Element], blocks: list[Block]) -> list[int]:
     """Characters of the blocks below each element."""
     below = [0] * len(elements)
@@ -203,8 +238,8 @@ def page_tokens(html: str | None) -> list[tuple]:
             one[1] += e.place
             one[2] += below[n]
     for b in blocks:
-        if b.aside or not elements[b.element].article:
-            one = got.setdefault((_hash(elements[b.element].path, b.text), True, False), [0, 0, 0])
+        if b.aside or not elements[b.element].article or elements[b.element].name not in HEADINGS:
+            one = got.setdefault((_hash(elements[b.element].path, b.text), True, elements[b.element].article and not b.aside), [0, 0, 0])
             one[0] += 1
             one[1] += b.place
     return [(*t, c, p / c, x) for t, (c, p, x) in got.items()]
@@ -250,7 +285,7 @@ def nested(classes: pd.DataFrame) -> pd.DataFrame:
 def templates(pages: DataFrame) -> DataFrame:
     """host, tokens (the text of valid classes), main (the path of the element that holds the host's articles, or null)."""
     totals = pages.select(_host(F.col("url")).alias("host"), F.xxhash64("html").alias("page")).distinct().groupBy("host").agg(F.count("*").alias("total"))
-    frequent = occurrences(pages).join(totals, "host").where((F.col("total") >= LEAST_PAGES) & (F.col("pages") >= SUPPORT * F.col("total")))
+    frequent = occurrences(pages).join(totals, "host").where((F.col("total") >= LEAST_PAGES) & (F.col("pages") >= F.when(F.col("text") & F.col("article"), COMMON).otherwise(SUPPORT) * F.col("total")))
 
     def deduce(pdf: pd.DataFrame) -> pd.DataFrame:
         valid = nested(pdf)
@@ -286,7 +321,13 @@ def _cut(elements: list[Element], free: list[Block]) -> set[int]:
 def extract(html: str | None, tokens: frozenset[int] = frozenset(), main: int | None = None) -> str:
     """The text of the slots that the template leaves below the main element."""
     elements, blocks = read(html)
-    free = [b for b in blocks if not b.aside and not (tokens and _hash(elements[b.element].path, b.text) in tokens)]
+    free = [b for b in blocks if not b.aside]
+    if tokens:
+        fixed = {b.place for b in free if _hash(elements[b.element].path, b.text) in tokens}
+        told = [b for b in free if elements[b.element].article]
+        if sum(len(b.text) for b in told if b.place in fixed) > SUPPORT * sum(len(b.text) for b in told):
+            fixed -= {b.place for b in told}  # a copy of other articles of the host
+        free = [b for b in free if b.place not in fixed]
     if not free:
         return ""
     inside = {n for n, e in enumerate(elements) if e.path == main and e.name not in INLINE} if main is not None else set()
@@ -295,9 +336,12 @@ def extract(html: str | None, tokens: frozenset[int] = frozenset(), main: int |
         held = [False] * len(elements)
         for n, e in enumerate(elements):
             held[n] = n in tops or (n > 0 and held[e.up])
-        found = [b.text for b in free if held[b.element]]
+        found = [b for b in free if held[b.element]]
         if found:
-            return "\n\n".join(found)
+            if not any(elements[b.element].name == "h1" for b in found) and elements[found[0].element].name not in HEADINGS:
+                heads = [b for b in free if elements[b.element].name == "h1" and b.place < found[0].place]
+                found = (heads if len(heads) == 1 else []) + found
+            return "\n\n".join(b.text for b in found)
     return ""
 
 

@@ -544,6 +544,12 @@ CASES = [
     ("<head><title>T</title><body><p>Head never closed", "Head never closed"),
     ("<div>" + "A story in a plain element that is told at some length here. " * 4 + "</div><article><h3>Teaser</h3></article>", ("A story in a plain element that is told at some length here. " * 4).strip() + "\n\nTeaser"),
     ("<div><p>A lead that stands beside the body of the text.</p><div>" + "<p>Body text of some length stands in here too.</p>" * 9 + "</div></div>", "\n\n".join(["A lead that stands beside the body of the text."] + ["Body text of some length stands in here too."] * 9)),
+    ('<article><h2 id="search">Search trees</h2><p class="share-price">It rose.</p><p class="lead social">Then fell.</p><section id="cookie-recipes"><p>Bake.</p></section><blockquote class="reply">Quoted.</blockquote></article>', "Search trees\n\nIt rose.\n\nThen fell.\n\nBake.\n\nQuoted."),
+    ('<article><p>Text</p><p class="ad">Buy</p><div class="share-buttons">Share</div><div class="comments"><p>I say</p></div><ul id="related-posts"><li>Other</ul></article>', "Text"),
+    ("<article><h1>Head</h1><p>Text</p><article><p>A reader says so</p></article></article>", "Head\n\nText"),
+    ("<article><article><h1>Head</h1><p>Only the inner one has text</p></article></article>", "Head\n\nOnly the inner one has text"),
+    ("<div><h1>Headline</h1><article><p>Text of it.</p></article></div>", "Headline\n\nText of it."),
+    ("<h1>The site</h1><article><h2>Head</h2><p>Text of it.</p></article>", "Head\n\nText of it."),
     ("<p>a &lt;b&gt; &#x41;&nbsp;c\n\td", "a <b> A c d"),
 ]
 
@@ -553,6 +559,16 @@ def test_html_cases():
         assert html_extraction.extract(html) == want, html
 
 
+def test_template_text_inside_articles(spark):
+    """A sentence in each article of a host is template; a heading in each, and articles that are copies, are not."""
+    note = "<p>Sign up to our newsletter for more stories like this one.</p>"
+    rows = [(i, f"http://a.example/{i}", page(i, f"<article><h2>Summary</h2><p>A story of its own, number {i}, told at some length.</p><p>It ends {i}.</p>{note}</article>")) for i in range(8)]
+    rows += [(20 + i, f"http://b.example/{i}", page(i, f"<article><h1>Copied</h1><p>The same story stands on each page here.</p><p>Seen {i}</p></article>")) for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Summary\n\nA story of its own, number {i}, told at some length.\n\nIt ends {i}." for i in range(8))
+    assert all(got[20 + i] == f"Copied\n\nThe same story stands on each page here.\n\nSeen {i}" for i in range(5))
+
+
 def test_deep_nesting_takes_a_step_an_element():
     import time
 
