@@ -135,3 +135,67 @@ def sanitised_actors(actors: DataFrame, scenario: str, actor: str) -> DataFrame:
 def execution_audit(calls: DataFrame, expected: int) -> DataFrame:
     """seed, calls, requests, repeated, drift: duplicates of (seed, request) and distance from the expected denominator."""
     return calls.groupBy("seed").agg(F.count("*").alias("calls"), F.count_distinct("request").alias("requests")).withColumn("repeated", F.col("calls") - F.col("requests")).withColumn("drift", F.col("requests") - expected)
+
+
+def fidelity_summary(df: DataFrame, status: str, checks: list[str], scenario: str, means: list[str], fallback: str) -> DataFrame:
+    """One row over the completed runs: planned, completed, scenarios, passed, assessed and rate of each check, means, runs on a fallback map.
+
+    A null check is not assessed; a mean leaves nulls out; a null or empty scenario is none.
+    """
+    done = F.col(status) == "completed"
+    of = lambda c: F.when(done, F.col(c))
+    parts = [F.count("*").alias("planned"), F.count_if(done).alias("completed"), F.count_distinct(F.nullif(of(scenario).cast("string"), F.lit(""))).alias("scenarios")]
+    for c in checks:
+        parts += [F.count_if(of(c)).alias(f"{c}_passed"), F.count(of(c)).alias(f"{c}_assessed")]
+    got = df.agg(*parts, *(F.round(F.avg(of(c)), 6).alias(f"{c}_mean") for c in means), F.count_if(of(fallback)).alias("fallbacks"))
+    return got.withColumns({f"{c}_rate": _div(F.col(f"{c}_passed"), F.col(f"{c}_assessed")) for c in checks})
+
+
+def fidelity_strata(df: DataFrame, status: str, fields: list[str], checks: list[str], scenario: str, hard: str) -> DataFrame:
+    """field, value, n, scenarios, full, full_rate, hard_rate of the completed runs by each field; null or empty values are "unspecified"."""
+    full = F.lit(True)
+    for c in checks:
+        full = full & F.coalesce(c, F.lit(False))
+    value = lambda f: F.coalesce(F.nullif(F.col(f).cast("string"), F.lit("")), F.lit("unspecified"))
+    # counts first, by scenario: what is shuffled is a row for each value and scenario, however many runs it has
+    long = df.where(F.col(status) == "completed").select(F.inline(F.array(*(F.struct(F.lit(f).alias("field"), value(f).alias("value")) for f in fields))), F.nullif(F.col(scenario).cast("string"), F.lit("")).alias("_s"), full.alias("_full"), F.col(hard).alias("_hard"))
+    each = long.groupBy("field", "value", "_s").agg(F.count("*").alias("_n"), F.count_if("_full").alias("_ok"), F.count_if("_hard").alias("_h"), F.count("_hard").alias("_of"))
+    got = each.groupBy("field", "value").agg(F.sum("_n").alias("n"), F.count("_s").alias("scenarios"), F.sum("_ok").alias("full"), F.sum("_h").alias("_h"), F.sum("_of").alias("_of"))
+    return got.select("field", "value", "n", "scenarios", "full", _div(F.col("full"), F.col("n")).alias("full_rate"), _div(F.col("_h"), F.col("_of")).alias("hard_rate"))
+
+
+def taxonomy(df: DataFrame, status: str, reason: str) -> DataFrame:
+    """reason, n over the completed runs that name one."""
+    return df.where((F.col(status) == "completed") & (F.coalesce(reason, F.lit("")) != "")).groupBy(F.col(reason).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def hash_failures(calls: DataFrame, index: DataFrame) -> DataFrame:
+    """Calls (seed, request_id, template_sha256, rendered_sha256) whose template or rendered request is not the approved one.
+
+    index: request_id, approved_sha256 (as frozen), template_sha256 and rendered_sha256 (worked
+    out again). A call of a request that the index lacks, or with a hash missing, fails.
+    """
+    known = index.select("request_id", F.col("approved_sha256").alias("approved"), F.col("template_sha256").alias("template_now"), F.col("rendered_sha256").alias("rendered_now"))
+    met = calls.join(known, "request_id", "left")
+    same = (F.col("template_now") == F.col("approved")) & (F.col("template_sha256") == F.col("template_now")) & (F.col("rendered_sha256") == F.col("rendered_now"))
+    return met.where(~F.coalesce(same, F.lit(False))).select("seed", "request_id", "approved", "template_now", F.col("template_sha256").alias("template_recorded"), "rendered_now", F.col("rendered_sha256").alias("rendered_recorded"))
+
+
+def denominator_failures(summary: DataFrame, n: int, faults: int, clean: int) -> DataFrame:
+    """method, n, faults, clean of the methods that were not scored over the planned rows."""
+    planned = (F.col("n") == n) & (F.col("faults") == faults) & (F.col("clean") == clean)
+    return summary.where(~F.coalesce(planned, F.lit(False))).select("method", "n", "faults", "clean")
+
+
+def call_audit(calls: DataFrame, index: DataFrame, summary: DataFrame, expected: int, n: int, faults: int, clean: int, hits: DataFrame) -> DataFrame:
+    """One row: calls, templates, duplicates, hash_failures, leaks, denominators, preserved (calls without a verdict), retries, ok.
+
+    calls also hold verdict and attempts; hits are leakage hits of the rendered requests.
+    """
+    each = calls.groupBy("seed", "request_id").agg(F.count("*").alias("_n"), F.count_if(~F.coalesce(F.col("verdict").isin("PASS", "FAIL", "MANUAL_REVIEW"), F.lit(False))).alias("_open"), F.sum(F.greatest(F.coalesce("attempts", F.lit(0)) - 1, F.lit(0))).alias("_more"))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    got = each.groupBy("request_id").agg(F.sum("_n").alias("_n"), F.sum(F.col("_n") - 1).alias("_d"), F.sum("_open").alias("_open"), F.sum("_more").alias("_more"))
+    got = got.agg(none(F.sum("_n")).alias("calls"), F.count("*").alias("templates"), none(F.sum("_d")).alias("duplicates"), none(F.sum("_open")).alias("preserved"), none(F.sum("_more")).alias("retries"))
+    for name, found in {"hash_failures": hash_failures(calls, index), "leaks": hits, "denominators": denominator_failures(summary, n, faults, clean)}.items():
+        got = got.crossJoin(found.agg(F.count("*").alias(name)))  # one row beside one row
+    return got.withColumn("ok", (F.col("calls") == expected) & (F.col("duplicates") + F.col("hash_failures") + F.col("leaks") + F.col("denominators") == 0))

@@ -112,3 +112,39 @@ def chain_breaks(df: DataFrame, chain: str, seq: str, payload: str, previous: st
     right = F.col(own) == F.sha2(F.concat_ws("|", F.coalesce(F.col(previous), F.lit("")), F.col(payload)), 256)
     seen = df.select(chain, seq, (linked & F.coalesce(right, F.lit(False))).alias("_ok"))
     return seen.groupBy(chain).agg(F.count("*").alias("events"), F.min(F.when(~F.col("_ok"), F.col(seq))).alias("first_break"))
+
+
+def role_status(tasks: DataFrame, labels: DataFrame, key: str, role: str, label: str) -> DataFrame:
+    """role, n, same_ids, binary, uncertain, missing: what each role has labelled, and whether exactly the tasks.
+
+    A label that is no binary one and no abstention counts as missing. Repeated ids count once
+    for same_ids; without tasks only a role without rows could match, and it has no row here.
+    """
+    ids = tasks.select(key).distinct()
+    met = labels.select(role, key, label_of(F.col(label)).alias("_l")).join(ids.withColumn("_task", F.lit(True)), key, "left")
+    kind = F.coalesce("_l", F.lit("missing"))
+    each = met.groupBy(role, key).agg(F.count("*").alias("_n"), F.bool_or("_task").alias("_task"), *(F.count_if(t).alias(n) for n, t in {"_b": kind.isin("ACCEPT", "REJECT"), "_u": kind == "UNRESOLVED", "_m": kind == "missing"}.items()))
+    got = each.groupBy(role).agg(F.sum("_n").alias("n"), F.count("_task").alias("_in"), F.count_if(F.col("_task").isNull()).alias("_out"), F.sum("_b").alias("binary"), F.sum("_u").alias("uncertain"), F.sum("_m").alias("missing"))
+    total = ids.agg(F.count("*").alias("_tasks"))
+    return got.crossJoin(total).select(role, "n", ((F.col("_out") == 0) & (F.col("_in") == F.col("_tasks"))).alias("same_ids"), "binary", "uncertain", "missing", (F.col("binary") == F.col("_tasks")).alias("ready"))  # one row beside a few
+
+
+def overlap(tasks: DataFrame, labels: DataFrame, key: str, role: str, label: str, a: str, b: str) -> DataFrame:
+    """tasks, overlap, overlap_rate, disagreements, kappa over the tasks that both roles gave a binary label; kappa is null without any, 1 where chance agreement is."""
+    value = label_of(F.col(label))
+    one = lambda who: F.max(F.when((F.col(role) == who) & value.isin("ACCEPT", "REJECT"), value == "ACCEPT"))
+    each = tasks.select(key).distinct().join(labels.select(key, role, label), key, "left").groupBy(key).agg(one(a).alias("_a"), one(b).alias("_b"))
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    got = each.agg(F.count("*").alias("tasks"), F.count_if(both).alias("overlap"), F.count_if(both & (F.col("_a") != F.col("_b"))).alias("disagreements"), F.count_if(both & F.col("_a")).alias("_x"), F.count_if(both & F.col("_b")).alias("_y"))
+    n = F.nullif("overlap", F.lit(0)).cast("double")
+    observed, left, right = 1 - F.col("disagreements") / n, F.col("_x") / n, F.col("_y") / n
+    chance = left * right + (1 - left) * (1 - right)
+    kappa = F.when(chance == 1, 1.0).otherwise((observed - chance) / (1 - chance))
+    return got.select("tasks", "overlap", F.round(F.coalesce(F.try_divide("overlap", "tasks"), F.lit(0.0)), 9).alias("overlap_rate"), "disagreements", F.round(kappa, 9).alias("kappa"))
+
+
+def withheld(metrics: DataFrame, labels: DataFrame, label: str, allowed: list[str] = CANONICAL[:2]) -> DataFrame:
+    """metrics with incomplete, the labels outside ``allowed``; while there are any, every metric (a double) is null."""
+    open_rows = labels.agg(F.count_if(~F.coalesce(label_of(F.col(label)).isin(allowed), F.lit(False))).alias("incomplete"))
+    numbers = {f.name for f in metrics.schema if f.dataType.typeName() == "double"}
+    return metrics.crossJoin(open_rows).select(*(F.when(F.col("incomplete") == 0, F.col(c)).alias(c) if c in numbers else c for c in metrics.columns), "incomplete")  # one row beside a few

@@ -77,3 +77,44 @@ def require(checks: DataFrame) -> None:
     bad = [r[0] for r in checks.where(~F.coalesce("ok", F.lit(False))).select("check").limit(20).collect()]
     if bad:
         raise ValueError("checks failed: " + ", ".join(map(str, bad)))
+
+
+#: Fields of a record's parsed part and of the rule's summary that a request carries.
+PARSED_FIELDS = ["accident_trajectory", "vehicle_type", "location", "road_type", "weather_or_environment"]
+RULE_FIELDS = ["label", "score", "reason", "matched_positive_keywords", "matched_negative_keywords", "matched_patterns"]
+
+
+def payloads(records: DataFrame, key: str, rule: str, routed: str) -> DataFrame:
+    """key, payload: one JSON request for each record whose rule label is ``routed``; a field that a record lacks is null in it.
+
+    records: key, input_file, source_text, source_mode, parsed (a struct, or none) and the rule's struct.
+    """
+    kinds = {f.name: f.dataType for f in records.schema}
+    parts = {f.name for f in kinds["parsed"].fields} if "parsed" in kinds else set()
+    held = lambda n: F.col(n) if n in kinds else F.lit(None).cast("string")
+    parsed = F.struct(*((F.col("parsed")[n] if n in parts else F.lit(None).cast("string")).alias(n) for n in PARSED_FIELDS))
+    summary = F.struct(*(F.col(rule)[n].alias(n) for n in RULE_FIELDS))
+    body = F.struct(*(held(n).alias(n) for n in ("input_file", "source_text", "source_mode")), parsed.alias("parsed"), summary.alias("rule_summary"))
+    return records.where(F.col(rule)["label"] == routed).select(key, F.to_json(body, {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def run_report(results: DataFrame, status: str, label: str, seconds: str, labels: list[str]) -> DataFrame:
+    """One row: selected, processed, skipped, success, failed, a count of each label, elapsed, mean_seconds (null if nothing was processed).
+
+    status is ok, error or skipped; seconds of skipped rows do not count.
+    """
+    s = F.col(status)
+    done = s.isin("ok", "error")
+    spent = F.sum(F.when(done, F.col(seconds)))
+    got = results.agg(
+        F.count("*").alias("selected"), F.count_if(done).alias("processed"), F.count_if(s == "skipped").alias("skipped"), F.count_if(s == "ok").alias("success"), F.count_if(s == "error").alias("failed"),
+        *(F.count_if(F.col(label) == x).alias(x) for x in labels), F.round(F.coalesce(spent, F.lit(0.0)), 4).alias("elapsed"),
+    )
+    return got.withColumn("mean_seconds", F.round(F.try_divide("elapsed", "processed"), 4))
+
+
+def routed_table(df: DataFrame, label: str, outcome: str, routed: str) -> DataFrame:
+    """outcome, n, percent_of_routed, percent_of_all: where the rows that the rules left open end."""
+    n = df.groupBy(label, outcome).agg(F.count("*").alias("_n"))
+    total = n.agg(F.sum("_n").alias("_all"), F.sum(F.when(F.col(label) == routed, F.col("_n"))).alias("_routed"))
+    return n.where(F.col(label) == routed).crossJoin(F.broadcast(total)).select(F.col(outcome).alias("outcome"), F.col("_n").alias("n"), F.round(100 * F.col("_n") / F.col("_routed"), 3).alias("percent_of_routed"), F.round(100 * F.col("_n") / F.col("_all"), 3).alias("percent_of_all"))  # the broadcast side is one row

@@ -59,3 +59,44 @@ def vmstat(lines: DataFrame, line: str) -> DataFrame:
     cut = F.filter(F.split(F.trim(F.col(line)), r"\s+"), lambda x: x != "")
     whole = lines.select(cut.alias("c")).where((F.size("c") >= 17) & F.forall("c", lambda x: x.try_cast("bigint").isNotNull()))
     return whole.select((100 - F.element_at("c", 15).cast("int")).alias("busy"), F.element_at("c", 4).cast("bigint").alias("free_kb"))
+
+
+def sweep_report(requests: DataFrame, level: str, status: str, seconds: str, start: str, finish: str) -> DataFrame:
+    """level, requests, success, failed, wall_seconds, throughput, mean, p50, p95 (interpolated) of the successful, speedup and efficiency_percent against the lowest level."""
+    ok = F.when(F.col(status) == "ok", F.col(seconds))
+    wall = (F.unix_micros(F.max(finish).cast("timestamp")) - F.unix_micros(F.min(start).cast("timestamp"))) / 1e6
+    got = requests.groupBy(level).agg(
+        F.count("*").alias("requests"), F.count_if(F.col(status) == "ok").alias("success"), F.count_if(F.col(status) != "ok").alias("failed"), F.round(wall, 4).alias("wall_seconds"),
+        F.round(F.avg(ok), 4).alias("mean"), F.round(F.percentile(ok, 0.5), 4).alias("p50"), F.round(F.percentile(ok, 0.95), 4).alias("p95"),
+    )
+    w = Window.orderBy(level)  # a row for each level
+    speed = F.round(F.try_divide(F.first_value("wall_seconds").over(w), "wall_seconds"), 3)
+    return got.withColumn("throughput", F.round(F.try_divide("requests", "wall_seconds"), 4)).withColumn("speedup", speed).withColumn("efficiency_percent", F.round(100 * F.col("speedup") / F.col(level), 1))
+
+
+def gpu_samples(lines: DataFrame, line: str) -> DataFrame:
+    """device, util, memory_mib, power of CSV lines with five columns or more (time, device, util, memory, power); lines that do not read are left out."""
+    c = F.split(F.col(line), ",")
+    number = lambda i: F.trim(F.get(c, F.lit(i))).try_cast("double")
+    device = F.trim(F.get(c, F.lit(1)))
+    read = lines.where(F.size(c) >= 5).select(F.when(device.rlike("^[+-]?[0-9]+$"), device.try_cast("int")).alias("device"), number(2).alias("util"), number(3).alias("memory_mib"), number(4).alias("power"))
+    return read.dropna()
+
+
+def gpu_totals(lines: DataFrame, line: str) -> DataFrame:
+    """device, total_mib of CSV lines "device, total MiB"; a device that repeats keeps its largest total."""
+    c = F.split(F.col(line), ",")
+    read = lines.select(F.trim(F.get(c, F.lit(0))).try_cast("int").alias("device"), F.split_part(F.trim(F.get(c, F.lit(1))), F.lit(" "), F.lit(1)).try_cast("double").alias("total_mib")).dropna()
+    return read.groupBy("device").agg(F.max("total_mib").alias("total_mib"))
+
+
+def gpu_report(samples: DataFrame, totals: DataFrame) -> DataFrame:
+    """n, mean, p95 and peak of util, mean and peak of the memory share of devices with a known total, mean power."""
+    share = 100 * F.col("memory_mib") / F.col("total_mib")
+    r = lambda c, n: F.round(c, 2).alias(n)
+    return samples.join(totals, "device", "left").agg(F.count("*").alias("n"), r(F.avg("util"), "util_mean"), r(F.percentile("util", 0.95), "util_p95"), r(F.max("util"), "util_peak"), r(F.avg(share), "memory_mean"), r(F.max(share), "memory_peak"), r(F.avg("power"), "power_mean"))
+
+
+def cpu_report(busy: DataFrame) -> DataFrame:
+    """n, mean, p95 and peak of busy, as vmstat gives it."""
+    return busy.agg(F.count("*").alias("n"), *(F.round(c, 2).alias(n) for n, c in {"mean": F.avg("busy"), "p95": F.percentile("busy", 0.95), "peak": F.max(F.col("busy").cast("double"))}.items()))
