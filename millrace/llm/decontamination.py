@@ -14,7 +14,8 @@ slots are worked out again for those rows alone. The benchmark's hashes are sent
 if their counted number is within SENT_WINDOWS; beyond that the join is an ordinary one, of
 longs. Items shorter than W tokens are one window of their own length. Template windows with
 fewer than LITERALS words that are no slots are not keys, as any table of numbers would hold
-them; as written they are.
+them; as written they are. An item that is mostly slots, so that the other windows cover too
+little of it, has keys from FEW_LITERALS words on.
 
 Defined results: null or empty texts have no windows and leak nothing; an item that repeats
 is reported for each of its ids; repeated rows are reported once for each doc_id and item.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-WINDOW, COVERAGE, FITTING, LITERALS = 10, 0.5, 0.8, 0.5
+WINDOW, COVERAGE, FITTING, LITERALS, FEW_LITERALS = 10, 0.5, 0.8, 0.5, 0.2
 STRETCH = 256
 SENT_WINDOWS = 1_000_000
 SENT_ROWS = 500_000
@@ -114,6 +115,20 @@ def windows(rows: DataFrame, lengths: dict[str, list[int]], keep: list[str]) ->
     return rows
 
 
+def literals(form: str, n: int, window: int, coverage: float):
+    """The words that a template window of an item must hold to be a key.
+
+    LITERALS of it, unless such windows cover too little of the item for it ever to be found:
+    then FEW_LITERALS of a whole window (an item below a window's length keeps the first rule).
+    """
+    if n < window:
+        return F.lit(LITERALS * n)
+    words = lambda p: F.size(F.filter(F.slice(form, p + 1, n), lambda x: ~x.isin(SLOTS)))
+    rich = F.filter(F.sequence(F.lit(0), F.size(form) - n), lambda p: words(p) >= LITERALS * n)
+    covered = F.size(F.array_distinct(F.flatten(F.transform(rich, lambda p: F.sequence(p, p + n - 1)))))
+    return F.when(covered < coverage * F.size(form), FEW_LITERALS * n).otherwise(LITERALS * n)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """row (a hash of doc_id and text), doc_id, item_id, covered (0 to 1), n_slots: the items found in each document."""
     items = stored(templates(benchmark.where("text is not null"), "text", ["item_id"]))
@@ -123,9 +138,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     keys = None
     for form, n in ((f, n) for f in FORMS for n in lengths[f]):
         fits = (F.size(form) == n) if n < window else (F.size(form) >= n)
-        one = own.where(fits).select("item_id", "marked", form, F.posexplode(f"{form}_{n}").alias("item_at", "hash"))
+        least = literals(form, n, window, coverage) if form == "template" else F.lit(0.0)
+        one = own.where(fits).select("item_id", "marked", form, *_once(least=least), f"{form}_{n}").select("item_id", "marked", form, "least", F.posexplode(f"{form}_{n}").alias("item_at", "hash"))
         if form == "template":
-            one = one.where(F.size(F.filter(F.slice(form, F.col("item_at") + 1, n), lambda x: ~x.isin(SLOTS))) >= LITERALS * n)
+            one = one.where(F.size(F.filter(F.slice(form, F.col("item_at") + 1, n), lambda x: ~x.isin(SLOTS))) >= F.col("least"))
         tokens = F.slice(written(), F.col("item_at") + 1, n) if form == "template" else F.slice(form, F.col("item_at") + 1, n)
         one = one.select("item_id", "hash", "item_at", F.lit(form).alias("form"), F.lit(n).alias("n"), F.size(form).alias("item_size"), F.slice(form, F.col("item_at") + 1, n).alias("item_form"), tokens.alias("item_tokens"))
         keys = one if keys is None else keys.unionByName(one)

@@ -277,6 +277,36 @@ def test_decontamination_brute(spark):
     assert got == brute_leaks(texts, items) and 10 < len(got) < 120
 
 
+NUMERIC = "Compute {} + {} - {} * {}, {} + {} - {} and {} * {} - {} + {}, then {} + {} to end."
+
+
+def test_items_of_numbers(spark):
+    """An item that is mostly numbers is found with every number changed, and not in tables of numbers or where the slots do not fit."""
+    item = NUMERIC.format(*range(11, 24))
+    same = NUMERIC.format(*[7] * 13)
+    docs = table(spark, ["Before it. " + NUMERIC.format(*range(131, 144)) + " After it.", item, " ".join(map(str, range(400))), "Add 5 and 6 and 7 and 8, then 9 + 10 + 11 + 12 + 13 to end.", None, ""])
+    got = {r["doc_id"] for r in decontamination.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {0, 1}
+    # one value throughout cannot stand for thirteen
+    got = {r["doc_id"] for r in decontamination.leaks(docs, spark.createDataFrame([(1, same)], "item_id long, text string")).collect()}
+    assert got == set()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_recall_of_changed_items(spark, seed):
+    """Planted items with every number, name and unit changed: all are found, and no other item but one that tells half of the same story."""
+    r = random.Random(seed)
+    verbs = [w for w in "walks sails carries gathers borrows measures plants counts paints repairs crosses delivers".split()]
+    things = "apples boxes bricks plates ropes tickets maps pears lamps shells coins wheels".split()
+    story = [(r.choice(verbs), r.choice(things), r.choice(verbs), r.choice(things)) for _ in range(12)]
+    tell = lambda k, name, unit, off: f"In the story {name} {story[k][0]} {off} {story[k][1]} over {off + 5} {unit} and later {story[k][2]} {off + 9} {story[k][3]}; how many stay on day {off + 21} of trip {off + 2}?"
+    items = spark.createDataFrame([(k, tell(k, "Anna", "km", 3 + k)) for k in range(12)], "item_id long, text string")
+    docs = table(spark, [f"Some words first. {tell(k, 'Boris', 'miles', 50 + 3 * k)} Some words after." for k in range(12)])
+    got = {(x["doc_id"], x["item_id"]) for x in decontamination.leaks(docs, items).collect()}
+    assert {(k, k) for k in range(12)} <= got
+    assert all(story[d][:2] == story[i][:2] or story[d][2:] == story[i][2:] or d == i for d, i in got)
+
+
 def test_decontamination_joins_beyond_the_bounds(spark, monkeypatch):
     bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
     docs = table(spark, [f"We say: {ITEM} ok", "no", *AWKWARD])
