@@ -257,7 +257,7 @@ select doc_id, string_agg(code || ':' || keys || ':' || images, '|' order by cod
  when 9 then 'method set mismatch|fusion evidence is not the exact image/text plus telemetry union|telemetry-shuffled field budget differs from telemetry-only' else '' end as violations from pm group by doc_id, k""")
 def information_budgets(spark, sf):
     """Number of evidence keys and images of eight methods for every contract, and the invariants that broken payloads violate."""
-    views = blind.evidence(blind.sanitised(contract(spark, sf), "doc_id"), "doc_id")
+    views = stored(blind.evidence(blind.sanitised(contract(spark, sf), "doc_id"), "doc_id"))  # read by shapes and by violations
     runs = read(spark, sf, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.to_json(F.struct(F.count("*").alias("samples"), F.min("value").alias("low"), F.max("value").alias("high"))).alias("summary"))
     shots = read(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.format_string("A%d/F%02d", "conv_id", "turn"))).alias("own"))
     lent = lambda df, of, name: df.select((F.col("doc_id") - 1).alias("doc_id"), F.col(of).alias(name))

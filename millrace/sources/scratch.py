@@ -17,7 +17,11 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written once and read back, for what several steps read: lineage ends there."""
+    """df written once and read back, for what several steps read: lineage ends there.
+
+    Joins with it are merge joins unless one side is sent on purpose: Spark takes the files'
+    size for the table's, and sends tables of repeated words that are many times larger in memory.
+    """
     path = folder(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
