@@ -91,7 +91,8 @@ def occurrences(df: DataFrame, keys: list[str], text: str, pattern: str) -> Data
     return _placed(df.where(F.col(text).isNotNull()), keys, text, pattern).select(*keys, F.inline("found"))
 
 
-_BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x1c-\x1f]"
+#: White space at the ends of a sentence: what Python's strip() takes.
+_BLANK = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def sentences(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -99,8 +100,8 @@ def sentences(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     raw = _placed(df.where(F.col(text).isNotNull()), keys, text, r"[^.!?。\n]+[.!?。]?")
 
     def bare(m):
-        lead = F.length(F.regexp_extract(m["match"], f"^{_BLANK}*", 0))
-        return F.struct((m["start"] + lead).alias("start"), F.regexp_replace(m["match"], f"^{_BLANK}+|{_BLANK}+$", "").alias("quote"))
+        lead = F.length(m["match"]) - F.length(F.ltrim(m["match"], F.lit(_BLANK)))
+        return F.struct((m["start"] + lead).alias("start"), F.btrim(m["match"], F.lit(_BLANK)).alias("quote"))
 
     kept = raw.select(*keys, text, once(_kept=F.filter(F.transform("found", bare), lambda s: s["quote"] != "")))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col(text).alias("quote")))
@@ -123,10 +124,10 @@ def mentions(text: Column, terms: Terms) -> Column:
     return F.element_at(F.transform(F.array(every), lambda all_: F.filter(all_, lambda m: ~F.exists(all_, lambda o: (o != m) & F.contains(o, m)))), 1)
 
 
-def mention_nodes(df: DataFrame, key: str, text: str, terms: Terms) -> DataFrame:
-    """key, node_id (vehicle_1 ..), ord, label, source_start."""
-    listed = df.select(key, F.col(text).alias("_t"), F.posexplode(mentions(F.col(text), terms)).alias("ord", "label"))
-    return listed.select(key, F.format_string("vehicle_%d", F.col("ord") + 1).alias("node_id"), "ord", "label", (F.instr("_t", F.col("label")) - 1).alias("source_start"))
+def mention_nodes(df: DataFrame, key: str, text: str, terms: Terms, *more: str) -> DataFrame:
+    """key, node_id (vehicle_1 ..), ord, label, source_start, and what else of a row is named."""
+    listed = df.select(key, *more, F.col(text).alias("_t"), F.posexplode(mentions(F.col(text), terms)).alias("ord", "label"))
+    return listed.select(key, F.format_string("vehicle_%d", F.col("ord") + 1).alias("node_id"), "ord", "label", (F.instr("_t", F.col("label")) - 1).alias("source_start"), *more)
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:
@@ -168,32 +169,45 @@ def roles(found: DataFrame, nodes: DataFrame, key: str, terms: Terms) -> DataFra
     return out.where("agent is not null and target is not null")
 
 
-def maneuvers(df: DataFrame, key: str, text: str, terms: Terms) -> DataFrame:
-    """key, kind, term (its number), start, end, quote: every occurrence of every maneuver term, in one reading of the texts."""
+def maneuvers(df: DataFrame, key: str, text: str, terms: Terms, *more: str) -> DataFrame:
+    """key, more, kind, term (its number), start, end, quote: every occurrence of every maneuver term, in one reading of the texts."""
     one = lambda n, kind, term: F.transform(_found(F.col(text), "\\Q" + term + "\\E"), lambda m: F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("term"), m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("quote")))
     every = [F.when(F.contains(F.col(text), F.lit(term)), one(n, kind, term)) for n, (kind, term) in enumerate(dict.fromkeys(terms.maneuvers))]
-    return df.where(F.col(text).isNotNull()).select(key, F.inline(F.flatten(F.array_compact(F.array(*every)))))
+    return df.where(F.col(text).isNotNull()).select(key, *more, F.inline(F.flatten(F.array_compact(F.array(*every)))))
 
 
-def span_entities(spans: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
-    """key, start, quote, entities: the distinct entities that each sentence names."""
+def span_entities(spans: DataFrame, nodes: DataFrame, key: str, *more: str) -> DataFrame:
+    """key, start, quote, more, entities: the distinct entities that each sentence names."""
     met = spans.join(nodes.select(key, "node_id", "label"), key).where(F.contains(F.col("quote"), F.col("label")))
-    return met.groupBy(key, "start", "quote").agg(F.array_sort(F.collect_set(F.struct("node_id", "label"))).alias("entities"))
+    return met.groupBy(key, "start", "quote", *more).agg(F.array_sort(F.collect_set(F.struct("node_id", "label"))).alias("entities"))
 
 
 def drivers(spans: DataFrame, nodes: DataFrame, key: str, terms: Terms) -> DataFrame:
     """key, start, quote, driver, vehicle: sentences that speak of driving, name a person and exactly one vehicle."""
-    own = span_entities(spans.where(F.contains("quote", F.lit(terms.gate))), nodes, key).withColumn("driver", F.regexp_extract("quote", terms.driver, 1))
-    return own.where((F.col("driver") != "") & (F.size("entities") == 1)).select(key, "start", "quote", "driver", F.col("entities")[0]["node_id"].alias("vehicle"))
+    return drivers_of(gated(spans, nodes, key, terms), key, terms)
+
+
+def gated(spans: DataFrame, nodes: DataFrame, key: str, terms: Terms, *more: str) -> DataFrame:
+    """The entities of the sentences that speak of driving."""
+    return span_entities(spans.where(F.contains("quote", F.lit(terms.gate))), nodes, key, *more)
+
+
+def drivers_of(own: DataFrame, key: str, terms: Terms, *more: str) -> DataFrame:
+    own = own.where(F.size("entities") == 1).withColumn("driver", F.regexp_extract("quote", terms.driver, 1))
+    return own.where(F.col("driver") != "").select(key, "start", "quote", *more, "driver", F.col("entities")[0]["node_id"].alias("vehicle"))
 
 
 def same_as(spans: DataFrame, nodes: DataFrame, key: str, terms: Terms) -> DataFrame:
     """key, start, quote, role, model: sentences that speak of driving with exactly two vehicles, one named by role and one by model."""
-    own = span_entities(spans.where(F.contains("quote", F.lit(terms.gate))), nodes, key).where(F.size("entities") == 2)
+    return same_of(gated(spans, nodes, key, terms), key, terms)
+
+
+def same_of(own: DataFrame, key: str, terms: Terms, *more: str) -> DataFrame:
+    own = own.where(F.size("entities") == 2)
     role = lambda e: F.exists(F.array(*map(F.lit, terms.roles)), lambda w: F.contains(e["label"], w))
     one = F.filter("entities", lambda e: role(e))
     other = F.filter("entities", lambda e: ~role(e))
-    return own.where((F.size(one) == 1) & (F.size(other) == 1)).select(key, "start", "quote", one[0]["node_id"].alias("role"), other[0]["node_id"].alias("model"))
+    return own.where((F.size(one) == 1) & (F.size(other) == 1)).select(key, "start", "quote", *more, one[0]["node_id"].alias("role"), other[0]["node_id"].alias("model"))
 
 
 def event_order(events: DataFrame, key: str, at: str, event: str) -> DataFrame:

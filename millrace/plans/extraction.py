@@ -61,9 +61,8 @@ def entity_mentions(spark, sf):
 @query("evidence_rows", SENT_SQL + "select doc_id, 'ev_' || substr(sha256(source || '|' || start || '|' || stop || '|' || quote), 1, 12) as evidence_id, start, sha256(text) as source_text_sha256, cast(0.9 as double) as confidence from sent join documents using (doc_id)")
 def evidence_rows(spark, sf):
     d = docs(spark, sf)
-    s = spans.sentences(d, ["doc_id", "source"], "text")
-    ev = spans.evidence(s, "doc_id", "source", "sentence", 0.9)
-    return ev.join(d.select("doc_id", F.sha2("text", 256).alias("source_text_sha256")), "doc_id").select("doc_id", "evidence_id", "start", "source_text_sha256", "confidence")
+    s = spans.sentences(d.withColumn("source_text_sha256", F.sha2("text", 256)), ["doc_id", "source", "source_text_sha256"], "text")
+    return spans.evidence(s, "doc_id", "source", "sentence", 0.9).select("doc_id", "evidence_id", "start", "source_text_sha256", "confidence")
 
 
 CLAUSE_SQL = SENT_SQL + """, v as (select *, greatest(case when contains(quote, 'tion') then length(quote) - strpos(reverse(quote), 'noit') + 1 - 4 else -1 end, case when contains(quote, 'keit') then length(quote) - strpos(reverse(quote), 'tiek') + 1 - 4 else -1 end,

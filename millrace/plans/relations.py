@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import graphs
-from millrace.plans.base import registry
+from millrace.plans.base import read, registry
 from millrace.plans.extraction import CLAUSE_SQL, ENT_SQL, MENTION_SQL, PROSE, ROLE_SQL, SENT_SQL, STATUS_SQL, docs
+from millrace.sources.scratch import stored
 
 query, QUERIES, SQL = registry()
 
@@ -69,8 +70,6 @@ select case when n = 0 then 'pending_semantic_review' when n = total then 'compl
  a / n as agent_exact_match, t / n as target_exact_match, l / n as legal_status_accuracy, s / nullif(sn, 0) as sufficiency_accuracy, sn as sufficiency_n, un as unsupported_relations, re as relation_total, un / nullif(re, 0) as unsupported_relation_rate, op / n as resolver_abstention_rate from su""")
 def graph_semantics(spark, sf):
     """Scores of the graphs of all documents against an annotation of them that differs in entities, agents, statuses and sufficiency."""
-    from millrace.sources.scratch import stored
-
     _, g = graph(spark, sf)
     said = stored(graphs.flat_predictions(g, "doc_id"))
     k, c = (lambda n: F.col("doc_id") % n), F.col
@@ -92,6 +91,7 @@ def resolver_effects(spark, sf):
     """Answers for all graphs with open flags: what each adds, clears or notes, and what of it is not right when verified again."""
     d = docs(spark, sf)
     g = graphs.extracted(d, "doc_id", "text", "source", PROSE)
+    g = g._replace(evidence=stored(g.evidence), heads=stored(g.heads))  # both are read twice
     k = lambda n: F.col("doc_id") % n
     answers = d.where(k(4) != 0).select("doc_id", F.lit("vehicle_1").alias("agent"), F.when(k(7) == 3, "vehicle_1").otherwise("vehicle_2").alias("target"), F.when(k(4) == 1, "\u0007").otherwise(F.expr("right(text, 30)")).alias("quote"), F.lit(0.7).alias("confidence"))
     h = graphs.with_answers(g, d, answers, "doc_id", "text", "source", PROSE)
@@ -105,11 +105,9 @@ def resolver_effects(spark, sf):
 select problem, count(*) as n, count(distinct doc_id) as graphs from (select doc_id, 'source hash mismatch' as problem from sp join documents d using (doc_id) where n_chars % 11 = 0 union all select doc_id, 'quote/offset mismatch' from sp where not ok union all select doc_id, 'unsupported evidence' from ci where not ok) group by problem""")
 def graph_integrity(spark, sf):
     """Faults in all graphs whose evidence has reversed quotes at one place in five, and hashes of another text in one document of eleven."""
-    from millrace.plans.base import read
-
     _, g = graph(spark, sf)
     other = read(spark, sf, "documents").where("n_chars % 11 = 0").select("doc_id", F.lit("0" * 64).alias("_other"))
     evidence = g.evidence.join(other, "doc_id", "left").withColumn("source_text_sha256", F.coalesce("_other", "source_text_sha256")).drop("_other")
-    found = graphs.integrity(g._replace(evidence=evidence), read(spark, sf, "documents"), "doc_id", "text")
+    found = graphs.integrity(g._replace(evidence=stored(evidence)), read(spark, sf, "documents"), "doc_id", "text")
     kind = F.when(F.startswith("problem", F.lit("unsupported evidence")), "unsupported evidence").otherwise(F.col("problem"))
     return found.groupBy(kind.alias("problem")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("graphs"))
