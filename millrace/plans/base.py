@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.sources.scratch import stored
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """df over all cores, where its files are fewer than cores: one row group is one task otherwise."""
+    """df over all cores, where its files are fewer than cores: one row group is one task otherwise.
+
+    Dealt out once, for all that read it, and into as many parts as its size asks for.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return stored(df.repartition(key)) if len(df.inputFiles()) < cores else df
 
 
 def registry() -> tuple[Callable, dict, dict]:
