@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 A_TIER, B_TIER, C_TIER = "A_minimum_grounded", "B_defaults_needed", "C_reextract_or_review"
@@ -60,10 +60,10 @@ def distributions(df: DataFrame, columns: list[str], missing: str = "missing") -
 
 
 def stage_table(df: DataFrame, label: str) -> DataFrame:
-    """stage, n, percent of all; the total is one row of a grouping set, not a second scan."""
-    n = df.rollup(label).agg(F.count("*").alias("n"), F.grouping(label).alias("_all"))
-    total = n.where("_all = 1").select(F.col("n").alias("_total"))
-    return n.where("_all = 0").crossJoin(F.broadcast(total)).select(F.col(label).alias("stage"), "n", F.round(100 * F.col("n") / F.col("_total"), 3).alias("percent"))  # the broadcast side is one row
+    """stage, n, percent of all; the total is summed over the counted stages, so rows are labelled once."""
+    n = df.groupBy(label).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # a row for each stage
+    return n.select(F.col(label).alias("stage"), "n", F.round(100 * F.col("n") / total, 3).alias("percent"))
 
 
 def conserved(counts: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -116,5 +116,7 @@ def run_report(results: DataFrame, status: str, label: str, seconds: str, labels
 def routed_table(df: DataFrame, label: str, outcome: str, routed: str) -> DataFrame:
     """outcome, n, percent_of_routed, percent_of_all: where the rows that the rules left open end."""
     n = df.groupBy(label, outcome).agg(F.count("*").alias("_n"))
-    total = n.agg(F.sum("_n").alias("_all"), F.sum(F.when(F.col(label) == routed, F.col("_n"))).alias("_routed"))
-    return n.where(F.col(label) == routed).crossJoin(F.broadcast(total)).select(F.col(outcome).alias("outcome"), F.col("_n").alias("n"), F.round(100 * F.col("_n") / F.col("_routed"), 3).alias("percent_of_routed"), F.round(100 * F.col("_n") / F.col("_all"), 3).alias("percent_of_all"))  # the broadcast side is one row
+    # a row for each label and outcome: summed over these, so rows are labelled once
+    w = Window.partitionBy(F.lit(0))
+    n = n.withColumns({"_all": F.sum("_n").over(w), "_routed": F.sum(F.when(F.col(label) == routed, F.col("_n"))).over(w)})
+    return n.where(F.col(label) == routed).select(F.col(outcome).alias("outcome"), F.col("_n").alias("n"), F.round(100 * F.col("_n") / F.col("_routed"), 3).alias("percent_of_routed"), F.round(100 * F.col("_n") / F.col("_all"), 3).alias("percent_of_all"))
