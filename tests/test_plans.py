@@ -4,8 +4,9 @@ import re
 
 import pytest
 
-from millrace.operators import graphs, spans
+from millrace.operators import funnel, graphs, spans
 from millrace.plans.base import read, spread
+from millrace.plans.evaluation import trace_outcomes
 from millrace.plans.extraction import PROSE
 from millrace.sources.scratch import stored
 
@@ -51,3 +52,16 @@ def test_graph_tables_read_roles_and_drivers_that_are_worked_out_once(spark, pla
 def test_few_files_are_dealt_out_once(spark, plan):
     d = spread(read(spark, SF, "documents").select("doc_id", "text"), "doc_id")
     assert "Exchange" not in plan(d) and d.count() == read(spark, SF, "documents").count()
+
+
+def test_rows_are_labelled_once_for_their_counts_and_totals(spark, plan):
+    df = stored(spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), (None, "x")], "label string, end string"))
+    n, ends = funnel.stage_table(df, "label"), funnel.routed_table(df, "label", "end", "a")
+    assert all(plan(t).count("FileScan parquet") == 1 for t in (n, ends))
+    assert sorted(n.collect(), key=str) == sorted([("a", 2, 50.0), ("b", 1, 25.0), (None, 1, 25.0)], key=str)
+    assert sorted(ends.collect()) == [("x", 1, 50.0, 25.0), ("y", 1, 50.0, 25.0)]
+
+
+def test_traces_are_dealt_out_once_by_order(spark, plan):
+    text = plan(trace_outcomes(spark, SF))
+    assert text.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in text
