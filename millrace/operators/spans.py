@@ -54,7 +54,7 @@ def once(**columns: Column) -> Column:
 
 
 #: Ends are summed up in stretches of so many matches, as an array grows by being copied.
-STRETCH = 256
+STRETCH = 32
 
 
 def _sums(steps: Column, size: Column) -> Column:
@@ -95,18 +95,36 @@ def occurrences(df: DataFrame, keys: list[str], text: str, pattern: str) -> Data
 _BLANK = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
-def sentences(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, start, end, quote: sentences (lines cut after . ! ? 。), stripped; the whole text where there is none."""
-    raw = _placed(df.where(F.col(text).isNotNull()), keys, text, r"[^.!?。\n]+[.!?。]?")
+#: A text is cut after each of these and after each end of line; alone they are no sentence.
+_STOPS = (".", "!", "?", "。")
+
+
+def sentence_list(text: Column, told=None) -> Column:
+    """array<struct<start,end,quote>>: the sentences of a text in order, or those of them whose quote passes a test.
+
+    The text is cut once and nothing else is matched; what does not pass is neither stripped nor kept.
+    """
+    strip = lambda q: F.btrim(q, F.lit(_BLANK))
+    test = told or (lambda q: F.lit(True))
+
+    def bare(s):
+        lead = F.length(s["piece"]) - F.length(F.ltrim(s["piece"], F.lit(_BLANK)))
+        return F.transform(F.array(strip(s["piece"])), lambda q: F.struct((s["at"] + lead).alias("start"), (s["at"] + lead + F.length(q)).alias("end"), q.alias("quote")))[0]
 
-    def bare(m):
-        lead = F.length(m["match"]) - F.length(F.ltrim(m["match"], F.lit(_BLANK)))
-        return F.struct((m["start"] + lead).alias("start"), F.btrim(m["match"], F.lit(_BLANK)).alias("quote"))
+    def cut(pieces):
+        placed = F.zip_with(pieces, _sums(F.transform(pieces, F.length), F.size(pieces)), lambda q, e: F.struct((e - F.length(q)).cast("long").alias("at"), q.alias("piece")))
+        passed = F.filter(placed, lambda s: ~s["piece"].isin("", *_STOPS) & test(s["piece"]))  # white space can make a piece pass, but not keep it from it
+        found = F.filter(F.transform(passed, bare), lambda s: (s["quote"] != "") & test(s["quote"]))
+        none = ~F.exists(pieces, lambda q: ~q.isin("", *_STOPS) & (strip(q) != ""))
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length(text).cast("long").alias("end"), text.alias("quote")))
+        return F.when(none, F.filter(whole, lambda s: test(s["quote"]))).otherwise(found)
 
-    kept = raw.select(*keys, text, once(_kept=F.filter(F.transform("found", bare), lambda s: s["quote"] != "")))
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col(text).alias("quote")))
-    each = kept.select(*keys, F.inline(F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(whole)))
-    return each.select(*keys, "start", (F.col("start") + F.length("quote")).alias("end"), "quote")
+    return F.transform(F.array(F.split(text, r"(?<=[.!?。\n])", -1)), cut)[0]
+
+
+def sentences(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, start, end, quote: sentences (lines cut after . ! ? 。), stripped; the whole text where there is none."""
+    return df.where(F.col(text).isNotNull()).select(*keys, F.inline(sentence_list(F.col(text))))
 
 
 def legal_status(quote: Column, terms: Terms) -> Column:
@@ -120,14 +138,20 @@ def legal_status(quote: Column, terms: Terms) -> Column:
 
 def mentions(text: Column, terms: Terms) -> Column:
     """Distinct mentions in first-seen order, without those that are part of another."""
-    every = F.array_distinct(F.concat(*(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m: F.btrim(m, F.lit(" \t\n\r\f\u000b"))) for p in terms.mentions)))
+    raw = F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in terms.mentions)))
+    every = F.array_distinct(F.transform(raw, lambda m: F.btrim(m, F.lit(" \t\n\r\f\u000b"))))
     return F.element_at(F.transform(F.array(every), lambda all_: F.filter(all_, lambda m: ~F.exists(all_, lambda o: (o != m) & F.contains(o, m)))), 1)
 
 
+def before(text: Column, part: Column) -> Column:
+    """How many characters stand before a part that the text holds: by a pattern, which leaps where instr() compares at each place."""
+    return F.length(F.try_element_at(F.split(text, F.concat(F.lit("\\Q"), part, F.lit("\\E")), 2), F.lit(1)))
+
+
 def mention_nodes(df: DataFrame, key: str, text: str, terms: Terms, *more: str) -> DataFrame:
     """key, node_id (vehicle_1 ..), ord, label, source_start, and what else of a row is named."""
     listed = df.select(key, *more, F.col(text).alias("_t"), F.posexplode(mentions(F.col(text), terms)).alias("ord", "label"))
-    return listed.select(key, F.format_string("vehicle_%d", F.col("ord") + 1).alias("node_id"), "ord", "label", (F.instr("_t", F.col("label")) - 1).alias("source_start"), *more)
+    return listed.select(key, F.format_string("vehicle_%d", F.col("ord") + 1).alias("node_id"), "ord", "label", before(F.col("_t"), F.col("label")).alias("source_start"), *more)
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:
@@ -139,41 +163,67 @@ def evidence(spans: DataFrame, key: str, source: str, extractor: str, confidence
     return spans.withColumn("evidence_id", stable_id("ev", F.col(source), F.col("start"), F.col("end"), F.col("quote"))).withColumns({"extractor": F.lit(extractor), "confidence": F.lit(confidence), "provenance": F.lit("observed"), "supported": F.length("quote") > 0})
 
 
+def verb(quote: Column, terms: Terms) -> Column:
+    """The place of the last collision word, -1 where there is none."""
+    return F.greatest(*(F.when(F.contains(quote, F.lit(t)), F.length(quote) - F.length(F.substring_index(quote, t, -1)) - len(t)).otherwise(-1) for t in terms.collisions))
+
+
 def clauses(spans: DataFrame, key: str, terms: Terms) -> DataFrame:
     """Sentences with a collision word: number in the text and place of the last such word."""
-    last = F.greatest(*(F.when(F.contains(F.col("quote"), F.lit(t)), F.length("quote") - F.instr(F.reverse("quote"), t[::-1]) + 1 - len(t)).otherwise(-1) for t in terms.collisions))
     w = Window.partitionBy(key).orderBy("start")
-    return spans.withColumn("verb", last).where("verb >= 0").withColumn("clause", F.row_number().over(w)).withColumn("verb_start", F.col("start") + F.col("verb"))
+    return spans.withColumn("verb", verb(F.col("quote"), terms)).where("verb >= 0").withColumn("clause", F.row_number().over(w)).withColumn("verb_start", F.col("start") + F.col("verb"))
 
 
-def roles(found: DataFrame, nodes: DataFrame, key: str, terms: Terms) -> DataFrame:
-    """key, clause, agent, target (node ids) of each clause whose particles tell them; others give no row.
+def role(quote: Column, verb: Column, named: Column, terms: Terms) -> Column:
+    """struct<agent,target> (node ids) of a clause whose particles tell them, else null; named is array<struct<node_id,label>>.
 
-    Occurrences are a clause's own: the join is on the document, then on containment.
+    Each entity's occurrences before the verb count: the last one that an object particle follows is the target.
     """
-    met = found.select(key, "clause", "quote", "verb").join(nodes.select(key, "node_id", "label"), key).where(F.contains(F.col("quote"), F.col("label")))
-    places = F.split("quote", F.concat(F.lit("\\Q"), F.col("label"), F.lit("\\E")), -1)
-    each = met.select(key, "clause", "quote", "verb", "node_id", "label", F.posexplode(F.slice(places, 1, F.size(places) - 1)).alias("k", "gap"))
-    w = Window.partitionBy(key, "clause", "node_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    placed = each.withColumn("stop", F.sum(F.length("gap") + F.length("label")).over(w)).withColumn("begin", F.col("stop") - F.length("label")).where(F.col("begin") < F.col("verb"))
-    after = F.col("quote").substr((F.col("stop") + 1).cast("int"), (F.col("verb") - F.col("stop")).cast("int"))
-    near = lambda p: after.rlike(f"^(?s:.{{0,{terms.reach}}}?){p}")
-    marked = placed.select(key, "clause", "node_id", "begin", near(terms.object).alias("is_object"), near(terms.instrument).alias("is_instrument"), after.rlike(terms.subject).alias("has_subject"))
-    got = marked.groupBy(key, "clause").agg(
-        F.count_distinct("node_id").alias("entities"), F.max_by("node_id", F.when(F.col("is_object"), F.col("begin"))).alias("target"), F.max_by("node_id", F.when(F.col("is_instrument"), F.col("begin"))).alias("agent"),
-        F.min_by("node_id", "begin").alias("first"), F.min_by("has_subject", "begin").alias("subject"),
-    )
-    by_particle = F.col("agent").isNotNull() & F.col("target").isNotNull() & (F.col("agent") != F.col("target"))
-    by_subject = F.col("subject") & F.col("target").isNotNull() & (F.col("first") != F.col("target"))
-    out = got.where("entities >= 2").select(key, "clause", F.when(by_particle, F.col("agent")).when(by_subject, F.col("first")).alias("agent"), "target")
-    return out.where("agent is not null and target is not null")
+
+    def placed(e):
+        size = F.length(e["label"])
+        gaps = F.split(quote, F.concat(F.lit("\\Q"), e["label"], F.lit("\\E")), -1)
+        stops = F.transform(F.array(gaps), lambda g: _sums(F.transform(F.slice(g, 1, F.size(g) - 1), lambda p: F.length(p) + size), F.size(g) - 1))[0]
+        return F.transform(F.filter(stops, lambda stop: stop - size < verb), lambda stop: F.struct((stop - size).alias("begin"), stop.alias("stop"), e["node_id"].alias("node_id")))
+
+    def marked(o):
+        near = lambda a, p: a.rlike(f"^(?s:.{{0,{terms.reach}}}?){p}")
+        after = F.array(quote.substr((o["stop"] + 1).cast("int"), (verb - o["stop"]).cast("int")))
+        return F.transform(after, lambda a: F.struct(o["begin"].alias("begin"), o["node_id"].alias("node_id"), near(a, terms.object).alias("is_object"), near(a, terms.instrument).alias("is_instrument"), a.rlike(terms.subject).alias("has_subject")))[0]
+
+    def told(parts):
+        last = lambda flag: F.try_element_at(F.filter(parts, lambda o: o[flag]), F.lit(-1))["node_id"]
+        first = F.try_element_at(parts, F.lit(1))
+        return F.struct(F.size(F.array_distinct(F.transform(parts, lambda o: o["node_id"]))).alias("entities"), last("is_object").alias("target"), last("is_instrument").alias("agent"), first["node_id"].alias("first"), first["has_subject"].alias("subject"))
+
+    def judged(x):
+        by_particle = x["agent"].isNotNull() & (x["agent"] != x["target"])
+        agent = F.when(by_particle, x["agent"]).when(x["subject"] & (x["first"] != x["target"]), x["first"])
+        return F.when((x["entities"] >= 2) & x["target"].isNotNull() & agent.isNotNull(), F.struct(agent.alias("agent"), x["target"].alias("target")))
+
+    every = F.array_sort(F.transform(F.flatten(F.transform(named, placed)), marked))
+    return F.when(F.size(named) >= 2, F.transform(F.transform(F.array(every), told), judged)[0])
+
+
+def roles(found: DataFrame, nodes: DataFrame, key: str, terms: Terms) -> DataFrame:
+    """key, clause, agent, target (node ids) of each clause whose particles tell them; others give no row."""
+    known = nodes.groupBy(key).agg(F.collect_list(F.struct("node_id", "label")).alias("_known"))
+    met = found.select(key, "clause", "quote", "verb").join(known, key)
+    named = F.filter("_known", lambda e: F.contains(F.col("quote"), e["label"]))
+    got = met.select(key, "clause", "quote", "verb", once(_named=named)).where(F.size("_named") >= 2)
+    return got.select(key, "clause", once(_role=role(F.col("quote"), F.col("verb"), F.col("_named"), terms))).where("_role is not null").select(key, "clause", "_role.agent", "_role.target")
+
+
+def maneuver_list(text: Column, terms: Terms) -> Column:
+    """array<struct<kind,term,start,end,quote>>: every occurrence of every maneuver term, by term and place."""
+    one = lambda n, kind, term: F.transform(_found(text, "\\Q" + term + "\\E"), lambda m: F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("term"), m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("quote")))
+    every = [F.when(F.contains(text, F.lit(term)), one(n, kind, term)) for n, (kind, term) in enumerate(dict.fromkeys(terms.maneuvers))]
+    return F.flatten(F.array_compact(F.array(*every)))
 
 
 def maneuvers(df: DataFrame, key: str, text: str, terms: Terms, *more: str) -> DataFrame:
     """key, more, kind, term (its number), start, end, quote: every occurrence of every maneuver term, in one reading of the texts."""
-    one = lambda n, kind, term: F.transform(_found(F.col(text), "\\Q" + term + "\\E"), lambda m: F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("term"), m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("quote")))
-    every = [F.when(F.contains(F.col(text), F.lit(term)), one(n, kind, term)) for n, (kind, term) in enumerate(dict.fromkeys(terms.maneuvers))]
-    return df.where(F.col(text).isNotNull()).select(key, *more, F.inline(F.flatten(F.array_compact(F.array(*every)))))
+    return df.where(F.col(text).isNotNull()).select(key, *more, F.inline(maneuver_list(F.col(text), terms)))
 
 
 def span_entities(spans: DataFrame, nodes: DataFrame, key: str, *more: str) -> DataFrame:
@@ -202,12 +252,16 @@ def same_as(spans: DataFrame, nodes: DataFrame, key: str, terms: Terms) -> DataF
     return same_of(gated(spans, nodes, key, terms), key, terms)
 
 
+def pair(entities: Column, terms: Terms) -> Column:
+    """struct<role,model> (node ids) where one of two entities is named by its role and one by its model, else null."""
+    by_role = lambda e: F.exists(F.array(*map(F.lit, terms.roles)), lambda w: F.contains(e["label"], w))
+    first, second = F.try_element_at(entities, F.lit(1)), F.try_element_at(entities, F.lit(2))
+    both = lambda a, b: F.struct(a["node_id"].alias("role"), b["node_id"].alias("model"))
+    return F.when(F.size(entities) == 2, F.when(by_role(first) & ~by_role(second), both(first, second)).when(by_role(second) & ~by_role(first), both(second, first)))
+
+
 def same_of(own: DataFrame, key: str, terms: Terms, *more: str) -> DataFrame:
-    own = own.where(F.size("entities") == 2)
-    role = lambda e: F.exists(F.array(*map(F.lit, terms.roles)), lambda w: F.contains(e["label"], w))
-    one = F.filter("entities", lambda e: role(e))
-    other = F.filter("entities", lambda e: ~role(e))
-    return own.where((F.size(one) == 1) & (F.size(other) == 1)).select(key, "start", "quote", *more, one[0]["node_id"].alias("role"), other[0]["node_id"].alias("model"))
+    return own.select(key, "start", "quote", *more, once(_pair=pair(F.col("entities"), terms))).where("_pair is not null").select(key, "start", "quote", *more, "_pair.role", "_pair.model")
 
 
 def event_order(events: DataFrame, key: str, at: str, event: str) -> DataFrame:
