@@ -48,7 +48,7 @@ class Faulty(NamedTuple):
 
 
 def targets(c: Contract, key: str) -> DataFrame:
-    """key, need (omission, speed, pose, map), path, was: the mutable field that each contract fault takes first.
+    """key, omission, speed, pose, map: the mutable field (path, was) that each contract fault takes first, null where there is none.
 
     Actors of the collision come first, then the ego actor, then any, each by number; an
     omission takes lanes before speeds, a map fault the map where no lane of the collision is free.
@@ -62,18 +62,17 @@ def targets(c: Contract, key: str) -> DataFrame:
     ego = F.col("role") == "ego"
     lane, of_actor = F.col("lane"), F.when(hit.isNotNull(), hit).when(ego, 2).otherwise(3)
     late = F.when(ego, 4).otherwise(5)  # speeds of an omission: the collision's actors have no precedence
-    ranked = lambda need, rank: F.struct(F.lit(need).alias("need"), rank.alias("rank"))
-    ranks = F.array(
-        ranked("omission", F.when(lane, of_actor).otherwise(late)), ranked("speed", F.when(~lane, of_actor)), ranked("pose", F.when(lane, of_actor)), ranked("map", F.when(lane & hit.isNotNull(), hit)),
-    )
-    each = m.select(key, "path", "was", "ord", F.inline(ranks)).where("rank is not null")
-    towns = free.where("path = 'map_binding.map'").select(key, "path", "was", F.lit(0).alias("ord"), F.lit("map").alias("need"), F.lit(9).alias("rank"))
-    return each.unionByName(towns).groupBy(key, "need").agg(F.min_by(F.struct("path", "was"), F.struct("rank", "ord")).alias("t")).select(key, "need", "t.*")
+    ranks = {"omission": F.when(lane, of_actor).otherwise(late), "speed": F.when(~lane, of_actor), "pose": F.when(lane, of_actor), "map": F.when(lane & hit.isNotNull(), hit)}
+    each = m.select(key, "path", "was", "ord", *(rank.alias(need) for need, rank in ranks.items()))
+    towns = free.where("path = 'map_binding.map'").select(key, "path", "was", F.lit(0).alias("ord"), *(F.lit(9 if need == "map" else None).cast("int").alias(need) for need in ranks))
+    took = lambda need: F.min_by(F.struct("path", "was"), F.when(F.col(need).isNotNull(), F.struct(need, "ord"))).alias(need)
+    return each.unionByName(towns).groupBy(key).agg(*map(took, ranks))
 
 
 def injected(c: Contract, runs: Runs, plan: DataFrame, key: str) -> Faulty:
     """The linked tables of every trial after its fault, and the ledger: path, oracle_value, injected_value, basis, error.
 
+    Fields keep their value before the fault as ``clean``.
     A trial whose fault cannot be made has an error and no change.
     """
     kind, variant = F.col("fault_type"), F.coalesce("variant", F.lit("speed"))
@@ -82,8 +81,9 @@ def injected(c: Contract, runs: Runs, plan: DataFrame, key: str) -> Faulty:
     order = c.steps.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "event_id"))), lambda x: x["event_id"]).alias("_events"))
     frames = runs.keyframes.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "path"))), lambda x: x["path"]).alias("_frames"))
     lent = frames.withColumnsRenamed({key: "donor", "_frames": "_lent"})
-    m = plan.withColumn("need", need).join(targets(c, key), [key, "need"], "left")
-    m = m.join(pair, key, "left").join(order, key, "left").join(frames, key, "left").join(lent, "donor", "left")
+    # all that a key has beside it in one join each, without another deal in between; the donor's frames come last
+    m = plan.withColumn("need", need).join(targets(c, key), key, "left").join(pair, key, "left").join(order, key, "left").join(frames, key, "left").join(lent, "donor", "left")
+    m = m.withColumn("_took", F.coalesce(*(F.when(F.col("need") == n, F.col(n)) for n in ("omission", "speed", "pose", "map")))).withColumns({"path": F.col("_took.path"), "was": F.col("_took.was")})
     lane, was = F.endswith("path", F.lit("lane_position")), F.col("was").try_cast("double")
     town = F.coalesce(*(F.when(F.col("was") == a, b) for a, b in NEXT_MAP.items()), F.lit("Town01"))
     of_field = (
@@ -107,7 +107,7 @@ def injected(c: Contract, runs: Runs, plan: DataFrame, key: str) -> Faulty:
     done = ledger.where("error is null").select("trial_id", key, "fault_type", "donor", F.col("path").alias("_path"), "oracle_value", "injected_value", "_a", "_t")
 
     trial = done.select("trial_id", key, "_path", "injected_value", F.col("fault_type").isin(OMISSION, SPEED_POSE, MAP_LANE).alias("_own"))
-    fields = trial.join(c.fields, key).withColumn("value", F.when(F.col("_own") & (F.col("path") == F.col("_path")), F.col("injected_value")).otherwise(F.col("value"))).drop("_path", "injected_value", "_own", key)
+    fields = trial.join(c.fields, key).withColumns({"clean": F.col("value"), "value": F.when(F.col("_own") & (F.col("path") == F.col("_path")), F.col("injected_value")).otherwise(F.col("value"))}).drop("_path", "injected_value", "_own", key)
     run = done.where(F.col("fault_type").isin(SWAP, ORDER, FRAMES))
     met = run.select("trial_id", key, "fault_type", "_a", "_t").join(runs.collisions, key)
     turned = (F.col("fault_type") == SWAP) & (F.array_sort(F.array("actor_id", "other_actor_id")) == F.array_sort(F.array("_a", "_t")))

@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators import contracts
+from millrace.operators import contracts, spans
 from millrace.operators.graphs import Graph
 from millrace.sources.scratch import stored
 
@@ -62,18 +62,16 @@ def compiled(graph: Graph, docs: DataFrame, key: str, text: str, tier: str, plac
 
     events = graph.nodes.where("type = 'event'").select(key, "node_id", F.col("label").alias("kind"), "source_start", "evidence_ids")
     w = Window.partitionBy(key).orderBy(F.coalesce("source_start", F.lit(contracts.LATE)), "node_id")
-    numbered = events.join(first, key).withColumn("step", F.row_number().over(w))
-    crash = F.col("kind") == "vehicle_collision"
+    numbered = first.join(events, key, "left").withColumn("step", F.row_number().over(w))
+    bare = F.col("node_id").isNull()  # a collision without events of its own
+    crash = bare | (F.col("kind") == "vehicle_collision")
     told = F.when(crash, "required collision between grounded actors").otherwise(F.concat(F.lit("grounded pre-collision event: "), "kind"))
-    steps = numbered.select(
-        key, (F.col("step") - 1).alias("ord"), F.concat(F.lit("event_"), F.col("step").cast("string"), F.lit("_"), "kind").alias("event_id"), F.when(crash, "collision").otherwise(F.col("kind")).alias("kind"),
-        F.col("agent").alias("actor_id"), F.when(crash, F.col("other")).alias("target_id"), "step", told.alias("description"), F.lit("observed").alias("provenance"), F.when(crash, 0.9).otherwise(0.8).alias("confidence"), "evidence_ids",
-    )
-    bare = first.join(events.select(key), key, "left_anti").select(  # a collision without events of its own
-        key, F.lit(0).alias("ord"), F.lit("event_collision_1").alias("event_id"), F.lit("collision").alias("kind"), F.col("agent").alias("actor_id"), F.col("other").alias("target_id"), F.lit(1).alias("step"),
-        F.lit("required collision between grounded actors").alias("description"), F.col("_p").alias("provenance"), F.col("_sure").alias("confidence"), F.col("_ev").alias("evidence_ids"), F.lit(False).alias("cites"),
-    )
-    steps = stored(steps.withColumn("cites", F.size("evidence_ids") > 0).unionByName(bare))
+    steps = stored(numbered.select(
+        key, (F.col("step") - 1).alias("ord"), F.when(bare, "event_collision_1").otherwise(F.concat(F.lit("event_"), F.col("step").cast("string"), F.lit("_"), "kind")).alias("event_id"),
+        F.when(crash, "collision").otherwise(F.col("kind")).alias("kind"), F.col("agent").alias("actor_id"), F.when(crash, F.col("other")).alias("target_id"), "step", told.alias("description"),
+        F.when(bare, F.col("_p")).otherwise("observed").alias("provenance"), F.when(bare, F.col("_sure")).when(crash, 0.9).otherwise(0.8).alias("confidence"),
+        F.when(bare, F.col("_ev")).otherwise(F.col("evidence_ids")).alias("evidence_ids"), (~bare & (F.size("evidence_ids") > 0)).alias("cites"),
+    ))
     limits = first.select(key, F.lit(0).alias("ord"), F.col("agent").alias("actor_id"), F.col("other").alias("target_id"), F.col("_p").alias("provenance"), F.col("_ev").alias("evidence_ids"))
 
     kind, place = contracts.archetype(F.col(text), places)
@@ -82,19 +80,24 @@ def compiled(graph: Graph, docs: DataFrame, key: str, text: str, tier: str, plac
     topology = F.coalesce(*(F.when(F.col("archetype") == a, t) for a, t in TOPOLOGY.items()), F.lit("unknown"))
     fit = F.col("archetype").isin(*TOPOLOGY)
 
-    def field(df, path, value, provenance, sure, evidence=None, has=True):
+    def field(path, value, provenance, sure, evidence=None, has=True):
         text_of = lambda x: x if isinstance(x, Column) else F.lit(x)
-        return df.select(key, path.alias("path"), text_of(value).cast("string").alias("value"), text_of(provenance).alias("provenance"), text_of(sure).cast("double").alias("confidence"), (_nothing() if evidence is None else evidence).alias("evidence_ids"), F.lit(has).alias("has_value"))
+        return F.struct(path.alias("path"), text_of(value).cast("string").alias("value"), text_of(provenance).alias("provenance"), text_of(sure).cast("double").alias("confidence"), (_nothing() if evidence is None else evidence).alias("evidence_ids"), F.lit(has).alias("has_value"))
 
+    each = lambda df, *made: df.select(key, F.inline(F.array(*made)))
     at = lambda name: F.concat(F.lit("actors."), F.col("ord").cast("string"), F.lit("." + name))
     fields = _union([
-        field(actors, at("vehicle_type"), F.col("label"), F.when(F.size("evidence_ids") > 0, "observed").otherwise("inferred"), 0.8, F.col("evidence_ids")),
-        field(actors, at("blueprint"), contracts.blueprint(F.col("label")), "defaulted", 0.6), field(actors, at("lane_position"), "lane_relative", "defaulted", 0.5),
-        field(actors, at("initial_speed_mps"), F.when(F.col("role") == "ego", contracts.EGO_SPEED).otherwise(contracts.OTHER_SPEED), "defaulted", 0.4),
-        field(bound, F.lit("map_binding.archetype"), F.col("archetype"), F.when(known, "inferred").otherwise("unknown"), F.when(known, 0.7).otherwise(0.2)),
-        field(bound, F.lit("map_binding.map"), F.col("map"), "defaulted", 0.5), field(bound, F.lit("topology"), topology, F.when(fit, "inferred").otherwise("unknown"), F.when(fit, 0.55).otherwise(0.0)),
-        field(steps, F.concat(F.lit("event_sequence."), F.col("ord").cast("string"), F.lit(".description")), F.col("description"), F.col("provenance"), F.col("confidence"), F.col("evidence_ids")),
-        field(limits, F.lit("collision_constraints.0"), None, F.col("provenance"), 1.0, F.col("evidence_ids"), has=False),
+        each(
+            actors, field(at("vehicle_type"), F.col("label"), F.when(F.size("evidence_ids") > 0, "observed").otherwise("inferred"), 0.8, F.col("evidence_ids")),
+            field(at("blueprint"), contracts.blueprint(F.col("label")), "defaulted", 0.6), field(at("lane_position"), "lane_relative", "defaulted", 0.5),
+            field(at("initial_speed_mps"), F.when(F.col("role") == "ego", contracts.EGO_SPEED).otherwise(contracts.OTHER_SPEED), "defaulted", 0.4),
+        ),
+        each(  # the texts are read once for all three, and the archetype told once
+            bound.select(key, spans.once(archetype=F.col("archetype"), map=F.col("map"))), field(F.lit("map_binding.archetype"), F.col("archetype"), F.when(known, "inferred").otherwise("unknown"), F.when(known, 0.7).otherwise(0.2)),
+            field(F.lit("map_binding.map"), F.col("map"), "defaulted", 0.5), field(F.lit("topology"), topology, F.when(fit, "inferred").otherwise("unknown"), F.when(fit, 0.55).otherwise(0.0)),
+        ),
+        each(steps, field(F.concat(F.lit("event_sequence."), F.col("ord").cast("string"), F.lit(".description")), F.col("description"), F.col("provenance"), F.col("confidence"), F.col("evidence_ids"))),
+        each(limits, field(F.lit("collision_constraints.0"), None, F.col("provenance"), 1.0, F.col("evidence_ids"), has=False)),
     ])
 
     fixed = _union([

@@ -37,11 +37,13 @@ stt as (select *, case when actors < 2 then 'blocked' when len(issues) > 0 then
 """
 
 
-def contract(spark, sf):
+def contract(spark, sf, *kept):
+    """The contracts of all documents; kept names the tables that are read several times."""
     d = spread(read(spark, sf, "documents").select("doc_id", "text", "source", "n_chars"), "doc_id")
     d = d.withColumn("tier", F.when(F.col("n_chars") % 9 == 0, "C_reextract_or_review").otherwise("A_minimum_grounded"))
     g = graphs.extracted(d, "doc_id", "text", "source", PROSE)
-    return scenarios.Contract(*map(stored, scenarios.compiled(g, d, "doc_id", "text", "tier", PLACES)))  # each table is read several times
+    c = scenarios.compiled(g, d, "doc_id", "text", "tier", PLACES)
+    return c._replace(**{name: stored(getattr(c, name)) for name in kept})
 
 
 @query("contract_fields", CONTRACT_SQL + "select doc_id, path, value, provenance, cast(confidence as double) as confidence, has_value from fd")
@@ -55,7 +57,7 @@ select doc_id, tier, status, array_to_string(list_sort(issues), '|') as issues,
  array_to_string(case when actors < 2 then ['at least two actors are required'] else [] end || case when tier[1] = 'C' then ['Tier C is review-only and cannot be compiled'] else [] end || case when status <> 'needs_defaults' then ['contract status is ' || status] else [] end, '|') as problems from stt left join il using (doc_id)""")
 def contract_heads(spark, sf):
     """Status, review issues, immutable paths and problems of the contract of every document."""
-    c = contract(spark, sf)
+    c = contract(spark, sf, "heads", "actors", "fields")
     paths = F.col("immutable_paths")
     return c.heads.join(scenarios.problems(c, "doc_id"), "doc_id").select("doc_id", "tier", "status", F.array_join(F.array_sort("review_issues"), "|").alias("issues"), F.md5(F.array_join(paths, ",")).alias("immutable"), F.size(paths).cast("long").alias("paths"), F.array_join("problems", "|").alias("problems"))
 
@@ -81,7 +83,7 @@ ch as (select fd.doc_id, string_agg(fd.path || '=' || coalesce(nt.value, 'null')
 select doc_id, notes, coalesce(changed, '') as changed from gn left join ch using (doc_id)""")
 def guarded_repair(spark, sf):
     """Notes of six instructions for every contract, and what its fields are changed to after limit and roll-back."""
-    c = contract(spark, sf)
+    c = contract(spark, sf, *scenarios.Contract._fields)
     done, notes = scenarios.repaired(c, instructions(read(spark, sf, "documents")), "doc_id")
     was = c.fields.select("doc_id", "path", F.struct("value", "provenance").alias("_was"))
     new = F.struct("value", "provenance")
@@ -124,7 +126,7 @@ select doc_id, case when len(bad) > 0 then false else passed end as passed, arra
 def guarded_reports(spark, sf):
     """The first round of every loop after the guards: failures, accepted repairs, review and notes."""
     first = lambda df: df.where("iteration = 0").drop("iteration")
-    r = scenarios.guarded_report(contract(spark, sf), *map(first, rounds(spark, sf)), "doc_id")
+    r = scenarios.guarded_report(contract(spark, sf, "heads"), *map(first, rounds(spark, sf)), "doc_id")
     return r.select("doc_id", "passed", *(F.array_join(c, "|").alias(c) for c in ("failures", "accepted")), "rejected", "manual_review", F.array_join("notes", "|").alias("notes"))
 
 
@@ -150,13 +152,13 @@ KINDS = [faults.OMISSION, faults.SPEED_POSE, faults.MAP_LANE, faults.SWAP, fault
 
 
 def faulty(spark, sf):
-    c = contract(spark, sf)
+    c = contract(spark, sf, "actors", "fields")
     t = read(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("turn"), F.length("text").alias("l"))
     even = F.col("turn") % 2 == 0
     named = F.when(even, "vehicle_1").otherwise("vehicle_2").alias("actor_id"), F.when(even, "vehicle_2").otherwise("vehicle_3").alias("other_actor_id")
     results = t.where("turn < 3").select("doc_id", F.element_at(F.array(*map(F.lit, ("collision_target", "event_order", "lane"))), F.col("turn") + 1).alias("name"), (F.col("l") % 2 == 0).alias("passed"), F.lit("e").alias("expected"), F.col("l").cast("string").alias("observed"), F.lit(None).cast("string").alias("reason"))
     runs = faults.Runs(t.select("doc_id", F.col("turn").alias("n"), *named), results, t.select("doc_id", F.col("turn").alias("pos"), F.format_string("f%d_%d", "turn", "l").alias("path")))
-    plan = c.heads.select("doc_id", F.explode(F.array(*map(F.lit, KINDS))).alias("fault_type"))
+    plan = read(spark, sf, "documents").select("doc_id", F.explode(F.array(*map(F.lit, KINDS))).alias("fault_type"))
     plan = plan.select(F.concat(F.col("doc_id").cast("string"), F.lit("__"), "fault_type").alias("trial_id"), "doc_id", "fault_type", F.when(F.col("doc_id") % 2 == 0, "speed").otherwise("pose").alias("variant"), (F.col("doc_id") + 1).alias("donor"))
     return c, faults.injected(c, runs, plan, "doc_id")
 
@@ -188,15 +190,12 @@ union all select 'results', fault_type, count(*), count(*) filter (where put) fr
 union all select 'keyframes', fault_type, count(*), count(*) filter (where fault_type = 'mismatched_keyframes') from ok join cl on cl.doc_id = case when fault_type = 'mismatched_keyframes' then ok.doc_id + 1 else ok.doc_id end where fault_type in ('actor_target_swap', 'event_order_violation', 'mismatched_keyframes') group by all""")
 def fault_tables(spark, sf):
     """Rows of every linked table after the faults, and how many of them the faults have changed, by fault type."""
-    c, f = faulty(spark, sf)
+    f = faulty(spark, sf)[1]
     kind = F.split_part("trial_id", F.lit("__"), F.lit(2)).alias("fault_type")
-    doc = F.split_part("trial_id", F.lit("__"), F.lit(1)).cast("long").alias("doc_id")
     part = lambda name, df, changed: df.groupBy(F.lit(name).alias("part"), "fault_type").agg(F.count("*").alias("n"), F.count_if(changed).alias("changed"))
-    clean = c.fields.select("doc_id", "path", F.struct("value").alias("_was"))
-    fields = f.fields.select(kind, doc, "path", F.struct("value").alias("_now")).join(clean, ["doc_id", "path"])
     swapped = f.collisions.select("*", kind)
     return (
-        part("fields", fields, ~F.col("_now").eqNullSafe(F.col("_was")))
+        part("fields", f.fields.select("*", kind), ~F.col("value").eqNullSafe(F.col("clean")))
         .unionByName(part("collisions", swapped, F.when(F.col("n") % 2 == 0, F.col("actor_id") != "vehicle_1").otherwise(F.col("actor_id") != "vehicle_2")))
         .unionByName(part("results", f.results.select("*", kind), F.coalesce(F.startswith("reason", F.lit("controlled")), F.lit(False))))
         .unionByName(part("keyframes", f.keyframes.select("*", kind), F.col("fault_type") == faults.FRAMES))
@@ -239,14 +238,14 @@ BLIND_SQL = CONTRACT_SQL + """, vr as (select doc_id, 'actors' as section, ord,
 @query("sanitised_views", BLIND_SQL + "select doc_id, section, cast(ord as int) as ord, field, value from vr")
 def sanitised_views(spark, sf):
     """What may be seen of every contract: allow-listed fields, neutral ids, no markers."""
-    return blind.sanitised(hidden(contract(spark, sf)), "doc_id").rows.select("doc_id", "section", "ord", "field", "value")
+    return blind.sanitised(hidden(contract(spark, sf, "actors", "fields")), "doc_id").rows.select("doc_id", "section", "ord", "field", "value")
 
 
 @query("mutability_classes", BLIND_SQL + """select doc_id, 'actors.' || format('actor_{:02d}', ord + 1) || '.' || f as field, case when f = 'vehicle_type' then 'immutable' else 'mutable' end as class from ac, unnest(['vehicle_type', 'blueprint', 'lane_position', 'initial_speed_mps']) u(f)
  union all select doc_id, replace(replace(path, 'map_binding.map', 'map.runtime_map'), 'map_binding', 'map'), case when provenance = 'unknown' then 'review' else 'mutable' end from fd where path in ('map_binding.archetype', 'map_binding.map', 'topology')
  union all select doc_id, 'events.' || format('event_{:02d}', step), 'immutable' from sq union all select doc_id, 'collision_constraints', 'immutable' from fi""")
 def mutability_classes(spark, sf):
-    return blind.sanitised(contract(spark, sf), "doc_id").mutability
+    return blind.sanitised(contract(spark, sf, "actors", "fields"), "doc_id").mutability
 
 
 # A user's events are the telemetry of the document of its number, a conversation's turns its images; the next number lends both.
@@ -257,7 +256,7 @@ select doc_id, string_agg(code || ':' || keys || ':' || images, '|' order by cod
  when 9 then 'method set mismatch|fusion evidence is not the exact image/text plus telemetry union|telemetry-shuffled field budget differs from telemetry-only' else '' end as violations from pm group by doc_id, k""")
 def information_budgets(spark, sf):
     """Number of evidence keys and images of eight methods for every contract, and the invariants that broken payloads violate."""
-    views = stored(blind.evidence(blind.sanitised(contract(spark, sf), "doc_id"), "doc_id"))  # read by shapes and by violations
+    views = stored(blind.evidence(blind.sanitised(contract(spark, sf, "actors", "fields"), "doc_id"), "doc_id"))  # read by shapes and by violations
     runs = read(spark, sf, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.to_json(F.struct(F.count("*").alias("samples"), F.min("value").alias("low"), F.max("value").alias("high"))).alias("summary"))
     shots = read(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.format_string("A%d/F%02d", "conv_id", "turn"))).alias("own"))
     lent = lambda df, of, name: df.select((F.col("doc_id") - 1).alias("doc_id"), F.col(of).alias(name))

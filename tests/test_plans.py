@@ -4,10 +4,11 @@ import re
 
 import pytest
 
-from millrace.operators import funnel, graphs, spans
+from millrace.operators import funnel, graphs, scenarios, spans
 from millrace.plans.base import read, spread
 from millrace.plans.evaluation import trace_outcomes
 from millrace.plans.extraction import PROSE
+from millrace.plans.scenarios import fault_tables, faulty
 from millrace.sources.scratch import stored
 
 SF = "/root/testdata/sf0.001"
@@ -49,6 +50,40 @@ def test_graph_tables_read_roles_and_drivers_that_are_worked_out_once(spark, pla
     assert plan(graphs.verified(stored(g.evidence), stored(d), "doc_id", "text")).count("FileScan parquet") == 2
 
 
+def test_graphs_are_made_beside_their_texts(spark, plan):
+    d = read(spark, SF, "documents").limit(20)
+    g = graphs.extracted(d, "doc_id", "text", "source", PROSE)
+    assert not any("Exchange" in plan(t) or "Window" in plan(t) for t in g)
+
+
+def test_texts_are_cut_into_sentences_once(spark, plan):
+    stops = re.compile(r"[^.!?。\n]+[.!?。]?")
+    texts = ["a tion. b of c!\n\n d? ", "..", " . ", "", "\n \n", "tion", "\U0001f600tion。of x\n.ment", "a\r\nb..c . !"]
+    found = spans.sentences(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), ["id"], "t")
+    assert plan(found).count("regexp_extract_all") == 0
+    got = sorted((r["id"], r["start"], r["end"], r["quote"]) for r in found.collect())
+    want = []
+    for i, t in enumerate(texts):
+        own = [(i, m.start() + len(m[0]) - len(m[0].lstrip()), m[0].strip()) for m in stops.finditer(t) if m[0].strip()] or [(i, 0, t)]
+        want += [(i, at, at + len(q), q) for i, at, q in own]
+    assert got == want
+
+
+def test_contract_fields_read_each_text_once(spark, plan):
+    d = read(spark, SF, "documents").limit(20).selectExpr("doc_id", "text", "source", "'A' as tier")
+    g = graphs.Graph(*map(stored, graphs.extracted(d, "doc_id", "text", "source", PROSE)))
+    c = scenarios.compiled(g, stored(d), "doc_id", "text", "tier")
+    assert plan(c.fields).count("FileScan parquet") <= 5
+    assert c.fields.where("path = 'topology'").count() == 20
+
+
+def test_faulty_fields_keep_the_clean_value(spark, plan):
+    _, f = faulty(spark, SF)
+    rows = f.fields.where("not (value <=> clean)").groupBy("trial_id").count().collect()
+    assert rows and all(r["count"] == 1 for r in rows)
+    assert plan(fault_tables(spark, SF)).count("FileScan parquet") <= 12
+
+
 def test_few_files_are_dealt_out_once(spark, plan):
     d = spread(read(spark, SF, "documents").select("doc_id", "text"), "doc_id")
     assert "Exchange" not in plan(d) and d.count() == read(spark, SF, "documents").count()
