@@ -91,7 +91,6 @@ def resolver_effects(spark, sf):
     """Answers for all graphs with open flags: what each adds, clears or notes, and what of it is not right when verified again."""
     d = docs(spark, sf)
     g = graphs.extracted(d, "doc_id", "text", "source", PROSE)
-    g = g._replace(evidence=stored(g.evidence), heads=stored(g.heads))  # both are read twice
     k = lambda n: F.col("doc_id") % n
     answers = d.where(k(4) != 0).select("doc_id", F.lit("vehicle_1").alias("agent"), F.when(k(7) == 3, "vehicle_1").otherwise("vehicle_2").alias("target"), F.when(k(4) == 1, "\u0007").otherwise(F.expr("right(text, 30)")).alias("quote"), F.lit(0.7).alias("confidence"))
     h = graphs.with_answers(g, d, answers, "doc_id", "text", "source", PROSE)
