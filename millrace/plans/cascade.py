@@ -53,7 +53,8 @@ RULES_SQL = rules_sql(PROSE, "select doc_id, source, lang, text as t from docume
 
 
 def ruled(spark, sf, *keep):
-    return rules.classified(spread(read(spark, sf, "documents").select("doc_id", "text", *keep), "doc_id"), "text", PROSE)
+    """documents with doc_id, text and keep, each once, and their rule."""
+    return rules.classified(spread(read(spark, sf, "documents").select(*dict.fromkeys(["doc_id", "text", *keep])), "doc_id"), "text", PROSE)
 
 
 #: Korean phrases by column, so that every order tells an accident: who, where, what was hit, in which matter.

@@ -162,7 +162,7 @@ PAYLOAD = "source_text string, source_mode string, parsed struct<location: strin
 @query("payload_fields", RULES_SQL + "select doc_id, md5(d.text) as text_digest, 'prose' as source_mode, d.lang as location, label, cast(score as int) as score from r join documents d using (doc_id) where label = 'ambiguous'")
 def payload_fields(spark, sf):
     """Requests of the ambiguous documents, whole texts included, read back from their JSON."""
-    d = ruled(spark, sf, "text", "lang").select("doc_id", F.col("text").alias("source_text"), F.lit("prose").alias("source_mode"), F.struct(F.col("lang").alias("location")).alias("parsed"), "rule")
+    d = ruled(spark, sf, "lang").select("doc_id", F.col("text").alias("source_text"), F.lit("prose").alias("source_mode"), F.struct(F.col("lang").alias("location")).alias("parsed"), "rule")
     p = funnel.payloads(d, "doc_id", "rule", rules.AMBIGUOUS).select("doc_id", F.from_json("payload", PAYLOAD).alias("p"))
     return p.select("doc_id", F.md5("p.source_text").alias("text_digest"), "p.source_mode", "p.parsed.location", "p.rule_summary.label", "p.rule_summary.score")
 

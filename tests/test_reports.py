@@ -1,8 +1,11 @@
 """Reports on hand-made rows: gaps, repeated ids, empty tables, lines that do not read."""
 
+import hashlib
 import json
 
 from millrace.operators import assurance, consensus, funnel, rules, runtime
+from millrace.plans.cascade import ruled
+from millrace.plans.reports import payload_fields
 
 
 def test_role_status_and_overlap(spark):
@@ -101,3 +104,16 @@ def test_routed_table(spark):
     df = spark.createDataFrame([("open", "yes"), ("open", "no"), ("open", "yes"), ("yes", "yes")], "label string, final string")
     got = {r["outcome"]: tuple(r)[1:] for r in funnel.routed_table(df, "label", "final", "open").collect()}
     assert got == {"yes": (2, 66.667, 50.0), "no": (1, 33.333, 25.0)}
+
+
+def test_payload_fields_of_few_and_many_files(spark, tmp_path):
+    """The texts are read once, whether documents are dealt out anew or not."""
+    texts = ["the station was far", "nothing", "", None, "the \"station\"\nwas far", "the station was far"]
+    docs = spark.createDataFrame([(i, t, "en" if i else None, "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, files in (("few", 1), ("many", 3 * spark.sparkContext.defaultParallelism)):
+        for k in range(files):  # a file of its own for each part, empty ones too
+            docs.where(docs.doc_id % files == k).coalesce(1).write.mode("append").parquet(str(tmp_path / name / "documents.parquet"))
+        got = sorted(tuple(r) for r in payload_fields(spark, str(tmp_path / name)).collect())
+        want = sorted((r.doc_id, r.rule.label, r.rule.score) for r in ruled(spark, str(tmp_path / name)).collect() if r.rule.label == "ambiguous")
+        assert [(i, label, score) for i, *_, label, score in got] == want and {i for i, *_ in got} == {0, 4, 5}
+        assert all(tuple(r[1:4]) == (hashlib.md5(texts[r[0]].encode()).hexdigest(), "prose", "en" if r[0] else None) for r in got)
