@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 WINDOW, COVERAGE, FITTING, LITERALS, FEW_LITERALS = 10, 0.5, 0.8, 0.5, 0.2
-STRETCH = 256
 SENT_WINDOWS = 1_000_000
 SENT_ROWS = 500_000
 
@@ -74,45 +73,21 @@ def written():
     return F.regexp_extract_all("marked", F.lit(TOKEN), F.lit(0))
 
 
-def stretched(rows: DataFrame, keep: list[str], window: int, *more: str) -> DataFrame:
-    """keep, base and both forms (and more arrays) in stretches of STRETCH tokens that overlap by a window less one.
+def windows(rows: DataFrame, lengths: dict[str, list[int]], keep: list[str]) -> DataFrame:
+    """keep, form, n, tokens, at and hash: a row for each window of n tokens of each form.
 
-    What is worked out for a stretch is small, however long its text; windows that lie in the
-    overlap may come out twice, which counts for nothing.
+    No array is made for each window or for each text: all of it is compiled into one loop over places,
+    which needs functions without lambdas. tokens is the text's own array: it must not be moved with the windows.
     """
-    size = F.greatest(F.size("template"), F.size("plain"))
-    starts = F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(STRETCH))
-    part = lambda c, at: F.slice(c, at + 1, STRETCH + window - 1).alias(c)
-    return rows.select(*keep, F.inline(F.transform(starts, lambda at: F.struct(at.alias("base"), *(part(c, at) for c in (*FORMS, *more))))))
-
+    forms = F.array(*(F.struct(F.lit(f).alias("form"), F.lit(n).alias("n"), F.col(f).alias("tokens")) for f in FORMS for n in lengths.get(f, [])))
+    each = rows.select(*keep, F.inline(forms)).where(F.size("tokens") >= F.col("n"))
+    placed = each.select("*", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("n"))).alias("at"))
+    return placed.withColumn("hash", F.xxhash64(at_window("tokens")))
 
-def windows(rows: DataFrame, lengths: dict[str, list[int]], keep: list[str]) -> DataFrame:
-    """keep and, for each form and length, a column form_length of the hashes of all windows.
 
-    Hashes of 1, 2, 4 .. tokens are joined pairwise, so a window costs a few steps, whatever its length.
-    """
-    pair = lambda a, b, shift: F.zip_with(F.slice(a, 1, F.greatest(F.size(b) - shift, F.lit(0))), F.slice(b, shift + 1, F.greatest(F.size(b) - shift, F.lit(0))), lambda x, y: F.xxhash64(x, y))
-    kept = [*keep, *FORMS]
-    for form in FORMS:
-        own = lengths.get(form, [])
-        if not own:
-            continue
-        width, have = 1, [f"_{form}_1"]
-        rows = rows.select(*kept, *_once(**{f"_{form}_1": F.transform(form, lambda x: F.xxhash64(x))}))
-        while 2 * width <= max(own):
-            rows = rows.select(*kept, *have, *_once(**{f"_{form}_{2 * width}": pair(F.col(f"_{form}_{width}"), F.col(f"_{form}_{width}"), width)}))
-            width *= 2
-            have.append(f"_{form}_{width}")
-        made = []
-        for n in own:
-            powers = [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
-            got, whole = F.col(f"_{form}_{powers[0]}"), powers[0]
-            for w in powers[1:]:
-                got, whole = pair(got, F.col(f"_{form}_{w}"), whole), whole + w
-            made.append((f"{form}_{n}", got))
-        rows = rows.select(*kept, *_once(**dict(made)))
-        kept += [c for c, _ in made]
-    return rows
+def at_window(tokens: str):
+    """The tokens of a row of windows, or what stands at their places in an array beside them."""
+    return F.slice(tokens, F.col("at") + 1, F.col("n"))
 
 
 def literals(form: str, n: int, window: int, coverage: float):
@@ -134,46 +109,36 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     items = stored(templates(benchmark.where("text is not null"), "text", ["item_id"]))
     # at most ``window`` different lengths of each form, whatever the size of the benchmark
     lengths = {f: sorted(r[0] for r in items.where(F.size(f) > 0).select(F.least(F.size(f), F.lit(window))).distinct().collect()) for f in FORMS}
-    own = windows(items, lengths, ["item_id", "marked"])
-    keys = None
-    for form, n in ((f, n) for f in FORMS for n in lengths[f]):
-        fits = (F.size(form) == n) if n < window else (F.size(form) >= n)
-        least = literals(form, n, window, coverage) if form == "template" else F.lit(0.0)
-        one = own.where(fits).select("item_id", "marked", form, *_once(least=least), f"{form}_{n}").select("item_id", "marked", form, "least", F.posexplode(f"{form}_{n}").alias("item_at", "hash"))
-        if form == "template":
-            one = one.where(F.size(F.filter(F.slice(form, F.col("item_at") + 1, n), lambda x: ~x.isin(SLOTS))) >= F.col("least"))
-        tokens = F.slice(written(), F.col("item_at") + 1, n) if form == "template" else F.slice(form, F.col("item_at") + 1, n)
-        one = one.select("item_id", "hash", "item_at", F.lit(form).alias("form"), F.lit(n).alias("n"), F.size(form).alias("item_size"), F.slice(form, F.col("item_at") + 1, n).alias("item_form"), tokens.alias("item_tokens"))
-        keys = one if keys is None else keys.unionByName(one)
-    if keys is None:
+    if not any(lengths.values()):
         return docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id").where("false").join(benchmark.select("item_id").where("false")).withColumns({"covered": F.lit(0.0), "n_slots": F.lit(0).cast("long")})
-    keys = stored(keys)
+    least = {k: F.when(F.size("template") >= k, literals("template", k, window, coverage)).alias(f"least_{k}") for k in lengths["template"]}
+    own = windows(items.select("item_id", *FORMS, written().alias("written"), *least.values()), lengths, ["item_id", "written", *(f"least_{k}" for k in least)])
+    own = own.where(F.when(F.col("n") < window, F.size("tokens") == F.col("n")).otherwise(F.size("tokens") >= F.col("n")))
+    of_template = F.col("form") == "template"
+    own = own.select("item_id", "hash", F.col("at").alias("item_at"), "form", "n", F.size("tokens").alias("item_size"), at_window("tokens").alias("item_form"), F.when(of_template, at_window("written")).otherwise(at_window("tokens")).alias("item_tokens"), *(f"least_{k}" for k in least))
+    enough = F.lit(True)
+    for k in least:
+        enough = F.when(of_template & (F.col("n") == k), F.size(F.filter("item_form", lambda x: ~x.isin(SLOTS))) >= F.col(f"least_{k}")).otherwise(enough)
+    keys = stored(own.where(enough).drop(*(f"least_{k}" for k in least)))
     hashes = keys.select("hash").distinct()
     few = hashes.count() <= SENT_WINDOWS
 
     rows = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
     # both forms hash alike, so a text without slots is read once, in the lengths of both
     first = {"template": sorted({n for f in FORMS for n in lengths[f]}), "plain": lengths["plain"]}
-    every = [f"{f}_{n}" for f in FORMS for n in first[f]]
-    each = windows(stretched(templates(rows, "text", ["row"], both=False), ["row"], window), first, ["row"]).select("row", F.explode(F.concat(*every)).alias("hash"))
+    each = windows(templates(rows, "text", ["row"], both=False), first, ["row"]).select("row", "hash")
     hit = stored(each.join(F.broadcast(hashes) if few else hashes, "hash", "left_semi").select("row").distinct())  # at most SENT_WINDOWS longs
     some = hit if hit.count() > SENT_ROWS else F.broadcast(hit)  # at most SENT_ROWS longs
     own = ["row", "doc_id"]
     again = templates(rows.join(some, "row", "left_semi"), "text", own)
     again = again.select(*own, *FORMS, *_once(written=written()))
-    texts = windows(stretched(again, own, window, "written"), lengths, [*own, "base", "written"])
-
-    found = None
-    for form, n in ((f, n) for f in FORMS for n in lengths[f]):
-        mine = keys.where((F.col("form") == form) & (F.col("n") == n)).drop("form", "n")
-        met = texts.select("row", "doc_id", "base", "written", form, F.posexplode(f"{form}_{n}").alias("at", "hash"))
-        met = met.join(F.broadcast(mine) if few else mine, "hash").where(F.slice(form, F.col("at") + 1, n) == F.col("item_form"))
-        none = F.filter(F.arrays_zip(F.col("item_form").alias("kind"), F.col("item_form").alias("was"), F.col("item_form").alias("now")), lambda s: F.lit(False))
-        if form == "template":
-            slots = F.arrays_zip(F.col("item_form").alias("kind"), F.col("item_tokens").alias("was"), F.slice("written", F.col("at") + 1, n).alias("now"))
-            none = F.when(F.exists("item_form", lambda x: x.isin(SLOTS)), F.filter(slots, lambda s: s["kind"].isin(SLOTS))).otherwise(none)
-        part = met.select("row", "doc_id", "item_id", "item_at", "item_size", F.lit(form).alias("form"), (F.col("base") + F.col("at") - F.col("item_at")).alias("diagonal"), F.lit(n).alias("n"), none.alias("slots"))
-        found = part if found is None else found.unionByName(part)
+    met = windows(again, lengths, [*own, "written"])
+    met = met.select(*own, "form", "n", "at", "hash", at_window("tokens").alias("window"), F.when(F.col("form") == "template", at_window("written")).alias("now"))
+    mine = keys.withColumnsRenamed({"form": "item_of", "n": "item_n"})
+    met = met.join(F.broadcast(mine) if few else mine, "hash").where((F.col("form") == F.col("item_of")) & (F.col("n") == F.col("item_n")) & (F.col("window") == F.col("item_form")))
+    slots = F.arrays_zip(F.col("item_form").alias("kind"), F.col("item_tokens").alias("was"), F.coalesce("now", "item_tokens").alias("now"))
+    slots = F.filter(slots, lambda s: (F.col("form") == "template") & s["kind"].isin(SLOTS))
+    found = met.select(*own, "item_id", "item_at", "item_size", "form", (F.col("at") - F.col("item_at")).alias("diagonal"), "n", slots.alias("slots"))
     # every set below is bounded by the length of one benchmark item
     lines = found.groupBy("row", "doc_id", "item_id", "form", "diagonal").agg(F.collect_set("item_at").alias("places"), F.first("n").alias("n"), F.first("item_size").alias("item_size"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     was = F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["was"])))

@@ -668,3 +668,20 @@ def test_empty_tables(spark):
     assert secrets.scanned(none, F.col("source"), F.col("lang")).count() == 0
     assert pseudonyms.pseudonymised(none, "key").count() == 0
     assert html_extraction.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_windows_are_compiled_and_texts_read_once(spark, tmp_path):
+    """Windows cost no lambda for each token, and rows that hold any are worked out once, whatever the forms and lengths."""
+    shown = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    texts = ["", None, f"xx {' '.join(words)} 7", " ".join(words[:4]), f"Then, Mr {ITEM}"]
+    table(spark, texts).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    rows = decontamination.windows(decontamination.templates(docs, "text", ["doc_id"], both=False), {"template": [3, 10], "plain": [4]}, ["doc_id"]).select("doc_id", "form", "n", "at", "hash")
+    assert "lambda" not in shown(rows)
+    count = {tuple(r)[:3]: r["count"] for r in rows.groupBy("doc_id", "form", "n").count().collect()}
+    assert count[2, "template", 3] == 12 and count[2, "template", 10] == 5 and count[2, "plain", 4] == 11 and count[3, "template", 3] == 2 and (3, "template", 10) not in count
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:4])), (3, " ".join(words[:7])), (4, ITEM)], "item_id long, text string")
+    found = decontamination.leaks(docs, bench)
+    assert shown(found).count(f"{tmp_path}/docs") == 1
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(2, 1), (2, 2), (2, 3), (3, 2), (4, 4)}
